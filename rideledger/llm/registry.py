@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rideledger.llm import mixing
+from rideledger.llm import chat, mixing
 
-QUERIES = {"op8_mixing": mixing.query}
-ORACLES = {"op8_mixing": mixing.ORACLE}
+QUERIES = {"op5_chat": chat.query, "op8_mixing": mixing.query}
+ORACLES = {"op5_chat": chat.ORACLE, "op8_mixing": mixing.ORACLE}
