@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from rideledger.llm import chat, mixing
+from rideledger.llm import bpe, chat, mixing
 
-QUERIES = {"op5_chat": chat.query, "op8_mixing": mixing.query}
+QUERIES = {
+    "op5_chat": chat.query,
+    "op8_mixing": mixing.query,
+    "op10_bpe": bpe.query,
+}
 ORACLES = {"op5_chat": chat.ORACLE, "op8_mixing": mixing.ORACLE}
