@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rideledger.llm import bpe, chat, mixing
+from rideledger.llm import bpe, chat, mixing, quality
 
 QUERIES = {
     "op5_chat": chat.query,
+    "op6_quality": quality.query,
     "op8_mixing": mixing.query,
     "op10_bpe": bpe.query,
 }
