@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rideledger.llm import bpe, chat, mixing, ngram_join, quality
+from rideledger.llm import bpe, chat, line_dedup, mixing, ngram_join, quality
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.query,
     "op4_ngram_jaccard": ngram_join.query,
     "op5_chat": chat.query,
     "op6_quality": quality.query,
