@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rideledger.llm import bpe, chat, line_dedup, mixing, ngram_join, quality
+from rideledger.llm import bpe, chat, fingerprints, line_dedup, mixing, ngram_join, quality
 
 QUERIES = {
     "op2_line_dedup": line_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_chat": chat.query,
     "op6_quality": quality.query,
     "op8_mixing": mixing.query,
+    "op9_fingerprints": fingerprints.query,
     "op10_bpe": bpe.query,
 }
 ORACLES = {"op5_chat": chat.ORACLE, "op8_mixing": mixing.ORACLE}
