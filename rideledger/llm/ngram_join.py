@@ -6,16 +6,21 @@ Blocks. Two linked sets differ in at most D shingles, D growing with their sizes
 have a group in common that holds the same shingles on both sides; so sets that share no group's contents are never
 linked. Groups of fewer than three shingles say little and are left out wherever a set has enough others.
 
-Trees. Classes that blocks connect form a candidate cluster, and each class goes to its cluster's task once. There its
-shingles are hashed into DIMENSIONS groups whose counts are a point; the points are packed into leaves with their
-largest counts. The overlap of two sets is at most the sum of the smaller counts, of a set and any in a leaf at most
-the sum against the leaf's largest counts. What that bound leaves is verified on the sets, best bound first, and only
-between sets that earlier links haven't connected yet. Clusters over TILE_CLASSES are dealt out as pairs of tiles.
+Trees. A set's shingles are hashed into DIMENSIONS groups whose counts are a point. Points are packed into leaves with
+their largest counts: the overlap of two sets is at most the sum of the smaller counts, of a set and any in a leaf at
+most the sum against the leaf's largest counts. Each block's points, without their sets, go through such a tree, which
+leaves links that the bound allows, as few as connect what it allows. What these connect over all blocks is a cluster.
+
+Verification. Each class's set goes to its cluster's task once, through a tree again, and what the bound leaves is
+verified on the sets, best bound first, between sets that earlier links haven't connected yet. Blocks and clusters
+with very many classes are dealt out as pairs of tiles, so none has to fit in a task.
 """
 
 from __future__ import annotations
 
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,7 +37,8 @@ WORDS = 3
 PERCENT = 90
 DIMENSIONS = 32
 LEAF = 32
-TILE_CLASSES = 1_500
+#: Classes of a block or cluster that a task takes whole; more are dealt out as pairs of tiles.
+TILE_CLASSES = 2_000
 #: Sizes are dealt with in classes whose bounds grow by this factor.
 RATIO = 1.5
 TINY = 3
@@ -113,67 +119,67 @@ def _identity(s: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(mix(s, 21)) if len(s) else 0), int(np.bitwise_xor.reduce(mix(s, 22)) if len(s) else 0)
 
 
+def point(s: np.ndarray) -> np.ndarray:
+    """How many of a set's shingles fall into each of DIMENSIONS groups."""
+    return np.bincount((s >> _U(40)).astype(np.int64) % DIMENSIONS, minlength=DIMENSIONS).astype("<u4")
+
+
 def _signed(x) -> np.ndarray:
     return np.array(x, dtype=_U).view(np.int64)
 
 
 def sets(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, place (hash of the text), n, node and twin (128 bits of the set), keys of each row of docs."""
+    """doc_id, place (hash of the text), n, node and twin (128 bits of the set), point, keys of each row of docs."""
 
     def task(batches):
         for batch in batches:
             texts, at = batch.column(2).cast(pa.binary()).to_pylist(), 0
             for some in slices(texts):
-                n, node, twin, keys = [], [], [], []
+                n, node, twin, points, keys = [], [], [], [], []
                 for text in some:
                     s = shingle_set(text, size)
                     a, b = _identity(s)
                     n.append(len(s))
                     node.append(a)
                     twin.append(b)
+                    points.append(point(s).tobytes())
                     keys.append(block_keys(s, percent))
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 flat = np.concatenate(keys).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(some)), batch.column(1).slice(at, len(some)), pa.array(n, pa.int64()), pa.array(_signed(node)), pa.array(_signed(twin)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                    names=["doc_id", "place", "n", "node", "twin", "keys"],
+                    [batch.column(0).slice(at, len(some)), batch.column(1).slice(at, len(some)), pa.array(n, pa.int64()), pa.array(_signed(node)), pa.array(_signed(twin)), pa.array(points, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                    names=["doc_id", "place", "n", "node", "twin", "point", "keys"],
                 )
                 at += len(some)
 
     text = F.coalesce(F.col("text"), F.lit(""))
     source = docs.select("doc_id", F.xxhash64(text).alias("place"), text.alias("text"))
-    return source.mapInArrow(task, f"doc_id {dict(docs.dtypes)['doc_id']}, place bigint, n bigint, node bigint, twin bigint, keys array<bigint>")
+    return source.mapInArrow(task, f"doc_id {dict(docs.dtypes)['doc_id']}, place bigint, n bigint, node bigint, twin bigint, point binary, keys array<bigint>")
 
 
-def tree_links(nodes: list[int], members: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that connect just what the pairs of members with enough overlap connect."""
-    n = np.array([len(s) for s in members], dtype=np.int64)
-    points = np.stack([np.bincount((s >> _U(40)).astype(np.int64) % DIMENSIONS, minlength=DIMENSIONS) for s in members])
+def tree_links(n: np.ndarray, points: np.ndarray, verify=None, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Pairs (positions in n and points) that connect just what all pairs connect that the bound, and verify, allow."""
     # Runs of like sizes, inside a run by the first counts: leaves hold points that lie together.
     run = np.argsort(n, kind="stable")
     order = np.concatenate([r[np.lexsort((points[r, 2], points[r, 1], points[r, 0]))] for r in np.array_split(run, max(1, len(run) // (LEAF * LEAF)))])
-    n, points = n[order], points[order]
+    n, points = n[order].astype(np.int64), points[order].astype(np.int64)
     first = np.arange(0, len(order), LEAF)
     most, least, largest = np.maximum.reduceat(points, first), np.minimum.reduceat(n, first), np.maximum.reduceat(n, first)
     label, links = np.arange(len(order)), []
     for i in range(1, len(order)):
-        low, high = n[i] * percent / 100, n[i] * 100 / percent
         upto = i // LEAF + 1
-        need = percent * (n[i] + least[:upto]) / (100 + percent)
-        leaf = np.flatnonzero((np.minimum(most[:upto], points[i]).sum(axis=1) >= need) & (least[:upto] <= high) & (largest[:upto] >= low))
-        if not len(leaf):
-            continue
+        low, high = n[i] * percent, n[i] * 100
+        near = (largest[:upto] * 100 >= low) & (least[:upto] * percent <= high)
+        leaf = np.flatnonzero(near & (np.minimum(most[:upto], points[i]).sum(axis=1) * (100 + percent) >= percent * (n[i] + least[:upto])))
         j = (leaf[:, None] * LEAF + np.arange(LEAF)).ravel()
-        j = j[(j < i)]
-        j = j[(label[j] != label[i]) & (n[j] >= low) & (n[j] <= high)]
+        j = j[j < i]
+        j = j[(label[j] != label[i]) & (n[j] * 100 >= low) & (n[j] * percent <= high)]
         overlap = np.minimum(points[j], points[i]).sum(axis=1)
         passed = overlap * (100 + percent) >= percent * (n[i] + n[j])
         j = j[passed][np.argsort(-overlap[passed], kind="stable")]
         while len(j):
-            a, b = members[order[i]], members[order[j[0]]]
-            shared = np.count_nonzero(np.isin(a, b, assume_unique=True))
-            if 100 * shared >= percent * (len(a) + len(b) - shared):
-                links.append((nodes[order[i]], nodes[order[j[0]]]))
+            if verify is None or verify(order[i], order[j[0]]):
+                links.append((int(order[i]), int(order[j[0]])))
                 label[label == label[j[0]]] = label[i]
                 j = j[label[j] != label[i]]
             else:
@@ -181,17 +187,56 @@ def tree_links(nodes: list[int], members: list[np.ndarray], percent: int = PERCE
     return links
 
 
+def _deal(df: DataFrame) -> DataFrame:
+    """df (node, tiles, ...) with low and high: every two rows of the same group are together for one (low, high)."""
+    own = df.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("own", "other", "tiles")
+
+
+def block_links(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): links that the bound allows inside blocks (key, node, tiles, n, point), as few as connect them."""
+
+    def task(batches):
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is None:
+                whole, upto = rest, 0 if rest is None else rest.num_rows
+            else:
+                whole = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+                upto = None
+            if not (whole and whole.num_rows):
+                continue
+            names = np.stack([whole.column(c).to_numpy(zero_copy_only=False) for c in ("key", "low", "high")])
+            starts = np.flatnonzero(np.concatenate([[True], (names[:, 1:] != names[:, :-1]).any(axis=0)]))
+            ends = np.append(starts[1:], whole.num_rows)
+            if upto is None:  # the last block may go on in the next batch
+                starts, ends, rest = starts[:-1], ends[:-1], whole.slice(int(starts[-1]))
+            node, n = (whole.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n"))
+            points = np.frombuffer(b"".join(whole.column("point").to_pylist()), dtype="<u4").reshape(-1, DIMENSIONS)
+            out = [(node[a + i], node[a + j]) for a, b in zip(starts, ends, strict=True) if b - a > 1 for i, j in tree_links(n[a:b], points[a:b], None, percent)]
+            found = np.array(out, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    dealt = _deal(blocks).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return dealt.select("key", "low", "high", "node", "n", "point").mapInArrow(task, "a bigint, b bigint").distinct()
+
+
 def link_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, tile: int = TILE_CLASSES) -> tuple[DataFrame, DataFrame]:
     """(rows, classes). rows: doc_id, place, n, node, twin. classes: node, component_id, first_place of each class of equal sets."""
     found = checkpoint(sets(docs, size, percent))
     head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
     classes = checkpoint(
-        found.filter("n > 0").groupBy("node", "twin").agg(F.min(head).alias("head"), F.first("keys").alias("keys")).select("node", "head", "keys")
+        found.filter("n > 0").groupBy("node", "twin").agg(F.min(head).alias("head"), F.first(F.struct("n", "point", "keys")).alias("c")).select("node", "head", "c.*")
     )
     keys = classes.select("node", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low")
-    near = keys.join(shared, "key").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    clusters = checkpoint(components(near))
+    who = [F.count("*").alias("members"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("all")]
+    shared = keys.groupBy("key").agg(*who).filter("least < most")
+    # Near copies share most of their groups, in many blocks of the same members: one of these is enough.
+    blocks = shared.groupBy("members", "least", "most", "all").agg(F.min("key").alias("key"))
+    blocks = blocks.select("key", F.ceil(F.col("members") / tile).cast("int").alias("tiles"))
+    members = keys.join(blocks, "key").join(classes.select("node", "n", "point"), "node")
+    clusters = checkpoint(components(block_links(members, percent)))
     sizes = clusters.groupBy("root").agg(F.count("*").alias("members"))
     wanted = checkpoint(
         clusters.join(sizes, "root").join(classes.select("node", "head"), "node").select(
@@ -212,23 +257,24 @@ def link_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, til
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node")
-        got = tree_links(pdf["node"].tolist(), [np.frombuffer(x, dtype=_U) for x in pdf["members"]], percent) if len(pdf) > 1 else []
-        return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
-
-    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    dealt = (
-        picked.mapInArrow(to_sets, "node bigint, root bigint, tiles int, members binary")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .withColumn("low", F.least("own", "other"))
-        .withColumn("high", F.greatest("own", "other"))
-    )
+        node, members = pdf["node"].to_numpy(), [np.frombuffer(x, dtype=_U) for x in pdf["members"]]
+
+        def linked(i: int, j: int) -> bool:
+            a, b = members[i], members[j]
+            shared = np.count_nonzero(np.isin(a, b, assume_unique=True))
+            return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+        sizes = np.array([len(m) for m in members])
+        got = tree_links(sizes, np.stack([point(m) for m in members]), linked, percent) if len(members) > 1 else []
+        return pd.DataFrame([(node[i], node[j]) for i, j in got], columns=["a", "b"], dtype="int64")
+
+    dealt = _deal(picked.mapInArrow(to_sets, "node bigint, root bigint, tiles int, members binary"))
     links = dealt.groupBy("root", "low", "high").applyInPandas(solve, "a bigint, b bigint")
     joined = components(links)
     firsts = joined.join(classes.select("node", "head"), "node").groupBy("root").agg(F.min("head").alias("best"))
     named = joined.join(firsts, "root").select(F.col("node").alias("l_node"), "best")
     out = classes.join(named, F.col("node") == F.col("l_node"), "left").select("node", F.coalesce("best", "head").alias("first"))
-    return found.drop("keys"), out
+    return found.drop("keys", "point"), out
 
 
 def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
