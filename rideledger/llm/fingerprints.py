@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rideledger.llm.common import SPACES, let, stored, table
+from rideledger.llm.common import SPACES, broadcast_checked, let, stored, table
 
 #: Bins and bits of a value; with 7 and 13, five hex digits hold both.
 BIN_BITS, VALUE_BITS = 7, 13
@@ -29,6 +29,8 @@ CHUNK = 2
 DRAW_BITS = 12
 #: Documents that one range of ids is meant to hold.
 RANGE_ROWS = 1024
+#: Ranges up to this number are broadcast (three numbers each) to pick their first rows; above it, a shuffled join.
+BROADCAST_RANGES = 1_000_000
 _DIGITS = (BIN_BITS + VALUE_BITS) // 4
 
 
@@ -69,7 +71,7 @@ def _sample(element: Column, weight: Column, tables: list[Column]) -> Column:
 
 
 def signature(text: Column) -> Column:
-    """The text's samples, a long of bin and value for each bin that has elements, in order of bins. No words: no samples."""
+    """The text's samples, an int of bin and value for each bin that has elements, in order of bins. No words: no samples."""
     tables = [F.lit(draw_table(w)) for w in range(1, CHUNK + 1)]
     terms = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != ""), lambda w: F.xxhash64(w))
 
@@ -91,7 +93,7 @@ def signature(text: Column) -> Column:
     def firsts(s: Column) -> Column:
         bin_ = lambda x: F.shiftrightunsigned(x, 40 + VALUE_BITS)
         keep = F.filter(s, lambda x, i: (i == 0) | (bin_(F.get(s, i - 1)) != bin_(x)))
-        return F.transform(keep, lambda x: F.shiftleft(bin_(x), VALUE_BITS).bitwiseOR(x.bitwiseAND(F.lit(2**VALUE_BITS - 1).cast("long"))))
+        return F.transform(keep, lambda x: F.shiftleft(bin_(x), VALUE_BITS).bitwiseOR(x.bitwiseAND(F.lit(2**VALUE_BITS - 1).cast("long"))).cast("int"))
 
     return let(F.sort_array(let(F.sort_array(terms), counted)), firsts)
 
@@ -121,22 +123,25 @@ def with_next(docs: DataFrame, carried: list[str], text: str = "text") -> DataFr
     at = F.expr(f"cast((cast(doc_id as decimal(20,0)) - {low}) div {width} as bigint)")
     ranged = docs.withColumn("__tie", tie).withColumn("__range", F.when(F.col("doc_id").isNull(), -1 - F.shiftright("__tie", 51)).otherwise(at))
     order = Window.partitionBy("__range").orderBy(F.col("doc_id").desc_nulls_last(), "__tie")
-    rows = ranged.withColumn("__rank", F.row_number().over(order)).withColumn("__next", F.lead(F.struct(*carried)).over(order))
+    rows = ranged.withColumn("__next", F.lead(F.struct(*carried)).over(order))
+    # The first row of each range, by its id and hash alone.
+    first = F.min(F.struct((-F.col("doc_id").cast("decimal(20,0)")).alias("down"), "__tie"))
+    heads = stored(ranged.select("__range", "doc_id", "__tie").groupBy("__range").agg(first.alias("h")))
+    heads = heads.select("__range", (-F.col("h.down")).cast("long").alias("h_id"), F.col("h.__tie").alias("h_tie"))
     # The range that follows each range: the next lower one that has rows, round to the highest.
-    present = stored(ranged.select("__range").distinct())
-    block = F.expr("__range div 1024")
     inner = Window.partitionBy("__block").orderBy(F.col("__range").desc())
-    inside = present.withColumn("__block", block).withColumn("__inner", F.lead("__range").over(inner)).withColumn("__first", F.first("__range").over(inner))
+    inside = heads.withColumn("__block", F.expr("__range div 1024")).withColumn("__inner", F.lead("__range").over(inner))
     blocks = inside.groupBy("__block").agg(F.max("__range").alias("__first"))
     around = Window.orderBy(F.col("__first").desc())
-    blocks = blocks.withColumn("__outer", F.coalesce(F.lead("__first").over(around), F.first("__first").over(around)))
-    follow = inside.drop("__first").join(blocks.select("__block", "__outer"), "__block").select(F.col("__range").alias("f_range"), F.coalesce("__inner", "__outer").alias("f_next"))
-    heads = rows.filter("__rank = 1").select(F.col("__range").alias("h_range"), F.struct(*carried).alias("__head"))
-    linked = follow.join(heads, F.col("f_next") == F.col("h_range")).select("f_range", "__head")
-    inner_rows = rows.filter("__next is not null")
-    last_rows = rows.filter("__next is null").join(linked, F.col("__range") == F.col("f_range")).withColumn("__next", F.col("__head")).drop("f_range", "__head")
-    out = inner_rows.unionByName(last_rows)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col("__next")[c].alias(f"next_{c}") for c in carried])
+    blocks = blocks.withColumn("__outer", F.coalesce(F.lead("__first").over(around), F.max("__first").over(Window.partitionBy())))
+    follow = inside.join(blocks.select("__block", "__outer"), "__block").select(F.col("__range").alias("f_range"), F.coalesce("__inner", "__outer").alias("f_next"))
+    wanted = follow.join(heads.withColumnRenamed("__range", "h_range"), F.col("f_next") == F.col("h_range")).select("f_range", "h_id", "h_tie")
+    picked = docs.withColumn("__tie", tie).join(
+        broadcast_checked(stored(wanted), BROADCAST_RANGES), (F.col("__tie") == F.col("h_tie")) & F.col("doc_id").eqNullSafe(F.col("h_id"))
+    )
+    heads = picked.select("f_range", F.struct(*carried).alias("__head")).dropDuplicates(["f_range"])
+    out = rows.join(heads, F.col("__range") == F.col("f_range")).withColumn("__after", F.coalesce("__next", "__head"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col("__after")[c].alias(f"next_{c}") for c in carried])
 
 
 def edited(text: Column, after: Column) -> Column:
