@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from rideledger.llm import bpe, chat, fingerprints, line_dedup, mixing, ngram_join, quality
+from rideledger.llm import bpe, chat, fingerprints, langid, line_dedup, mixing, ngram_join, quality, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_line_dedup": line_dedup.query,
     "op4_ngram_jaccard": ngram_join.query,
     "op5_chat": chat.query,
     "op6_quality": quality.query,
+    "op7_language": langid.query,
     "op8_mixing": mixing.query,
     "op9_fingerprints": fingerprints.query,
     "op10_bpe": bpe.query,
