@@ -11,7 +11,7 @@ for them; a longer line's variant is a shorter line itself. Both are minima over
 makes no pairs. What they propose is verified word by word.
 
 Only lines that can have a neighbour get variants: within one edit, the first or the last half of the shorter line is
-untouched, so lines that share neither a leading nor a trailing run of such length with another line are near none.
+untouched, so a line that shares neither half, for its own length or the length below, with another line is near none.
 """
 
 from __future__ import annotations
@@ -22,32 +22,29 @@ from pyspark.sql import functions as F
 from rideledger.llm.common import SPACES, broadcast_checked, stored, table, words
 
 MIN_WORDS = 5
-#: Distinct suspect lines up to this number are broadcast (about 50 bytes each); above it, a shuffled join.
+#: Suspect lines, or hashes that two lines share, up to this number are broadcast (50 bytes each); above it, a shuffled join.
 BROADCAST_LINES = 1_000_000
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, place (hash of the text), line_no, w (its words) of every line of every row."""
+    """doc_id, place (hash of the text), line_no, line of every line of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("place"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return rows.select("doc_id", "place", "line_no", words(F.col("line")).alias("w"))
+    return docs.select("doc_id", F.xxhash64(text).alias("place"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
 def _ids(w: Column) -> tuple[Column, Column]:
     return F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(17), w).alias("h2")
 
 
-def _half(n: Column) -> Column:
-    """The largest power of two up to half of n: a run of words that one edit leaves whole at one end or the other."""
-    return F.pow(F.lit(2.0), F.floor(F.log2(n / 2))).cast("int")
-
-
 def _ends(w: Column) -> Column:
-    """Hashes of the runs by which a line's possible neighbours are found: as the shorter of two lines and as the longer."""
+    """Hashes by which a line's possible neighbours are found: its first and last words, half as many as the shorter of
+    two lines has, for the line as the shorter or equal one and as the longer one."""
+    def halves(n: Column) -> list[Column]:
+        half = F.floor(n / 2).cast("int")
+        return [F.xxhash64(F.lit(0), n, F.slice(w, F.lit(1), half)), F.xxhash64(F.lit(1), n, F.slice(w, -half, half))]
+
     n = F.size(w)
-    run = lambda m: (F.xxhash64(F.lit(0), m, F.slice(w, F.lit(1), m)), F.xxhash64(F.lit(1), m, F.slice(w, -m, m)))
-    keys = F.array_distinct(F.array(*run(_half(n)), *run(_half(n - 1))))
-    return F.when(n >= MIN_WORDS, keys).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= MIN_WORDS, F.array(*halves(n), *halves(n - 1))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _order() -> Column:
@@ -69,14 +66,18 @@ def near_lines(suspects: DataFrame) -> DataFrame:
     hashes = F.transform("w", lambda x, i: F.xxhash64(x, i.cast("int")))
     own = F.transform("w", lambda x, i: F.xxhash64(x, (i + 1).cast("int")))
     xor = lambda array: F.aggregate(array, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
-    lines = suspects.select("h1", "h2", "first", "w", F.size("w").alias("n"), xor(hashes).alias("shifted"), xor(own).alias("own"))
-    each = lines.select("h1", "h2", "first", "n", "shifted", F.posexplode("w").alias("i", "word"))
+    lines = suspects.select("h1", "h2", "w", F.size("w").alias("n"), xor(hashes).alias("shifted"), xor(own).alias("own"))
+    each = lines.select("h1", "h2", "n", "shifted", F.posexplode("w").alias("i", "word"))
     upto = Window.partitionBy("h1", "h2").orderBy("i")
     before = F.coalesce(F.bit_xor(F.xxhash64("word", (F.col("i") + 1).cast("int"))).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     passed = F.bit_xor(F.xxhash64("word", F.col("i").cast("int"))).over(upto.rowsBetween(Window.unboundedPreceding, 0))
-    shorter = each.select("h1", "h2", "first", before.bitwiseXOR(F.col("shifted").bitwiseXOR(passed)).alias("key"), (F.col("n") - 1).alias("size"), (F.col("i") + 1).alias("place"))
-    whole = lines.select("h1", "h2", "first", F.col("own").alias("key"), F.col("n").alias("size"), F.lit(0).alias("place"))
-    variants = stored(shorter.unionByName(whole))
+    shorter = each.select("h1", "h2", before.bitwiseXOR(F.col("shifted").bitwiseXOR(passed)).alias("key"), (F.col("n") - 1).alias("size"), (F.col("i") + 1).alias("place"))
+    whole = lines.select("h1", "h2", F.col("own").alias("key"), F.col("n").alias("size"), F.lit(0).alias("place"))
+    made = stored(shorter.unionByName(whole))
+    # Nearly every variant is its line's own; the rest of the work is for those that two lines have.
+    shared = made.groupBy("key", "size").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("key", "size")
+    met = made.join(broadcast_checked(stored(shared), BROADCAST_LINES), ["key", "size"])
+    variants = stored(met.join(suspects.select("h1", "h2", "first"), ["h1", "h2"]))
     line = F.struct("first", "h1", "h2")
     at_place = variants.groupBy("key", "size", "place").agg(F.min(line).alias("best"))
     at_key = at_place.groupBy("key", "size").agg(
@@ -96,17 +97,19 @@ def judged(docs: DataFrame) -> DataFrame:
 
     Lines without words always stay. Rows with the same doc_id and text are one document, however often they repeat.
     """
-    lines = stored(split_lines(docs).select("doc_id", "place", "line_no", F.size("w").alias("n"), *_ids(F.col("w")), _ends(F.col("w")).alias("ends")))
+    rows = split_lines(docs).withColumn("w", words(F.col("line")))
+    lines = stored(rows.select("doc_id", "place", "line_no", F.size("w").alias("n"), *_ids(F.col("w")), _ends(F.col("w")).alias("ends")))
     full = lines.filter("n > 0")
-    firsts = stored(full.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.first("ends").alias("ends")))
-    ends = firsts.select("h1", F.explode("ends").alias("end"))
+    firsts = stored(full.groupBy("h1", "h2").agg(F.min(_order()).alias("first")))
+    ends = lines.select("h1", F.explode("ends").alias("end"))
     shared = ends.groupBy("end").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("end")
-    suspects = ends.join(shared, "end").select("h1").distinct()
+    suspects = ends.join(broadcast_checked(stored(shared), BROADCAST_LINES), "end").select("h1").distinct()
     wanted = stored(firsts.join(suspects, "h1").select("h1", "h2", "first"))
-    found = split_lines(docs).select("*", *_ids(F.col("w"))).withColumn("order", _order())
+    where = wanted.select("h1", "h2", "first", F.col("first.place").alias("w_place"), F.col("first.line_no").alias("w_line"))
+    found = split_lines(docs).withColumn("order", _order())
     texts = found.join(
-        broadcast_checked(wanted.select(F.col("h1").alias("w1"), "first"), BROADCAST_LINES), (F.col("h1") == F.col("w1")) & F.col("order").eqNullSafe(F.col("first"))
-    )
+        broadcast_checked(where, BROADCAST_LINES), (F.col("place") == F.col("w_place")) & (F.col("line_no") == F.col("w_line")) & F.col("order").eqNullSafe(F.col("first"))
+    ).withColumn("w", words(F.col("line")))
     near = near_lines(stored(texts.select("h1", "h2", "first", "w").dropDuplicates(["h1", "h2"])))
     classes = firsts.select("h1", "h2", "first").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
     state = F.when(~_order().eqNullSafe(F.col("first")), F.lit("equal")).when(F.col("near"), F.lit("near")).otherwise(F.lit(""))
