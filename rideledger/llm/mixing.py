@@ -43,17 +43,19 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     ranked = ranked.withColumn("ceiling", F.col("source_size") * F.lit(float(max_epochs)))
     ranked = ranked.withColumn("fills_at", F.col("ceiling") / F.col("weight"))
     everything = Window.partitionBy()
-    before = Window.orderBy("fills_at", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    filling = Window.orderBy("fills_at", F.col("source").asc_nulls_last())
+    before = filling.rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("source_size").over(everything).cast("double")
-    ranked = ranked.withColumn(
+    ranked = ranked.withColumn("rank", F.row_number().over(filling)).withColumn(
         "level",
         (total - F.coalesce(F.sum("ceiling").over(before), F.lit(0.0)))
         / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))),
     )
-    ranked = ranked.withColumn("final", F.min(F.when(F.col("level") <= F.col("fills_at"), F.col("level"))).over(everything))
+    first = F.min(F.when(F.col("level") <= F.col("fills_at"), F.struct("rank", "level"))).over(everything)
+    ranked = ranked.withColumn("full", F.col("rank") < first["rank"]).withColumn("final", first["level"])
     return ranked.withColumn(
-        "target", F.when(F.col("fills_at") <= F.col("final"), F.col("ceiling")).otherwise(F.col("final") * F.col("weight"))
-    ).drop("ceiling", "fills_at", "level", "final")
+        "target", F.when(F.col("full"), F.col("ceiling")).otherwise(F.col("final") * F.col("weight"))
+    ).drop("ceiling", "fills_at", "rank", "level", "full", "final")
 
 
 def _ranges(key: Column, n: Column) -> Column:
@@ -179,14 +181,14 @@ ranked AS (
   SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight,
          source_size * 3.0::DOUBLE AS ceiling FROM sizes),
 levels AS (
-  SELECT *, ceiling / weight AS fills_at,
+  SELECT *, ceiling / weight AS fills_at, row_number() OVER (ORDER BY ceiling / weight, source NULLS LAST) AS rank,
          (sum(source_size) OVER () - coalesce(sum(ceiling) OVER b, 0))
          / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
   FROM ranked
   WINDOW b AS (ORDER BY ceiling / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-final AS (SELECT min(level) AS l FROM levels WHERE level <= fills_at),
+final AS (SELECT min(rank) AS k, arg_min(level, rank) AS l FROM levels WHERE level <= fills_at),
 shares AS (
-  SELECT source, source_size, CASE WHEN fills_at <= l THEN ceiling ELSE l * weight END AS target FROM levels, final),
+  SELECT source, source_size, CASE WHEN rank < k THEN ceiling ELSE l * weight END AS target FROM levels, final),
 budgets AS (
   SELECT *, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS epochs FROM shares),
 sums AS (
