@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rideledger.llm.bpe import slices
-from rideledger.llm.common import broadcast_checked, checkpoint, table
+from rideledger.llm.common import broadcast_checked, checkpoint, stored, table
 from rideledger.llm.components import components
 
 WORDS = 3
@@ -45,6 +45,8 @@ TINY = 3
 CACHE_WORDS = 300_000
 #: Classes in candidate clusters up to this number are broadcast (24 bytes each) to pick their texts; above it, a join.
 BROADCAST_CLASSES = 1_000_000
+#: Keys that two classes share, up to this number, are broadcast (8 bytes each); above it, a shuffled join.
+BROADCAST_KEYS = 2_000_000
 _U = np.uint64
 
 
@@ -224,21 +226,23 @@ def block_links(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def link_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, tile: int = TILE_CLASSES) -> tuple[DataFrame, DataFrame]:
     """(rows, classes). rows: doc_id, place, n, node, twin. classes: node, component_id, first_place of each class of equal sets."""
-    found = checkpoint(sets(docs, size, percent))
+    found = stored(sets(docs, size, percent))
+    full = found.filter("n > 0")
     head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
-    classes = checkpoint(
-        found.filter("n > 0").groupBy("node", "twin").agg(F.min(head).alias("head"), F.first(F.struct("n", "point", "keys")).alias("c")).select("node", "head", "c.*")
-    )
-    keys = classes.select("node", F.explode("keys").alias("key"))
-    who = [F.count("*").alias("members"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("all")]
-    shared = keys.groupBy("key").agg(*who).filter("least < most")
+    classes = stored(full.groupBy("node", "twin").agg(F.min(head).alias("head"), F.first(F.struct("n", "point")).alias("c")).select("node", "head", "c.*"))
+    keys = full.select("node", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key")
+    hits = stored(keys.join(broadcast_checked(stored(shared), BROADCAST_KEYS), "key").distinct())
+    half = lambda h: F.sum(h.bitwiseAND(F.lit(2**32 - 1).cast("long")))
+    h = F.xxhash64("node")
+    who = [F.count("*").alias("members"), F.min("node").alias("least"), F.max("node").alias("most"), half(h).alias("s1"), half(F.shiftrightunsigned(h, 32)).alias("s2")]
     # Near copies share most of their groups, in many blocks of the same members: one of these is enough.
-    blocks = shared.groupBy("members", "least", "most", "all").agg(F.min("key").alias("key"))
+    blocks = hits.groupBy("key").agg(*who).groupBy("members", "least", "most", "s1", "s2").agg(F.min("key").alias("key"))
     blocks = blocks.select("key", F.ceil(F.col("members") / tile).cast("int").alias("tiles"))
-    members = keys.join(blocks, "key").join(classes.select("node", "n", "point"), "node")
+    members = hits.join(blocks, "key").join(classes.select("node", "n", "point"), "node")
     clusters = checkpoint(components(block_links(members, percent)))
     sizes = clusters.groupBy("root").agg(F.count("*").alias("members"))
-    wanted = checkpoint(
+    wanted = stored(
         clusters.join(sizes, "root").join(classes.select("node", "head"), "node").select(
             "node", "root", F.ceil(F.col("members") / tile).cast("int").alias("tiles"), F.col("head.doc_id").alias("w_doc"), F.col("head.place").alias("w_place")
         )
@@ -292,6 +296,16 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
     return kept.unionByName(alone)
 
 
+def stage(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs less all but the first document of each component, first by doc_id.
+
+    Rows that repeat both id and text are one document, and stay together.
+    """
+    gone = join(docs, size, percent).filter(~F.col("is_first")).select(F.col("doc_id").alias("g_id"), F.col("place").alias("g_place")).distinct()
+    here = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(broadcast_checked(stored(gone), BROADCAST_CLASSES), (here == F.col("g_place")) & F.col("doc_id").eqNullSafe(F.col("g_id")), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: every document with its number of shingles and its component."""
     return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
