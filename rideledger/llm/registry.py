@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rideledger.llm import bpe, chat, fingerprints, langid, line_dedup, mixing, ngram_join, quality, toxicity
+from rideledger.llm import bpe, chat, fingerprints, langid, line_dedup, mixing, ngram_join, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_line_dedup": line_dedup.query,
+    "op3_token_counts": token_counts.query,
     "op4_ngram_jaccard": ngram_join.query,
     "op5_chat": chat.query,
     "op6_quality": quality.query,
