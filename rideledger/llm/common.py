@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,10 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a directory. Python workers started from now on find this library where the driver found it."""
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in (paths := environment.get("PYTHONPATH", "")).split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
