@@ -4,9 +4,9 @@ A document's set has its distinct shingles of WORDS words, as 64-bit hashes. Equ
 
 Blocks. Two linked sets differ in at most D shingles, D growing with their sizes. Hashed into more than D groups, they
 have a group in common that holds the same shingles on both sides; so sets that share no group's contents are never
-linked. Groups of fewer than three shingles say little and are left out wherever a set has enough others.
+linked. Groups of one or two shingles say little and are left out wherever a set has enough others.
 
-Trees. A set's shingles are hashed into DIMENSIONS groups whose counts are a point. Points are packed into leaves with
+Trees. A set's shingles are hashed into groups, a few to each, whose counts are a point. Points are packed into leaves with
 their largest counts: the overlap of two sets is at most the sum of the smaller counts, of a set and any in a leaf at
 most the sum against the leaf's largest counts. Each block's points, without their sets, go through such a tree, which
 leaves links that the bound allows, as few as connect what it allows. What these connect over all blocks is a cluster.
@@ -35,7 +35,8 @@ from rideledger.llm.components import components
 WORDS = 3
 #: Two documents link when 100 * intersection >= PERCENT * union.
 PERCENT = 90
-DIMENSIONS = 32
+#: Shingles meant to fall into each group of a point, and the least and most bits that number groups.
+PER_GROUP, MIN_BITS, MAX_BITS = 1.5, 4, 14
 LEAF = 32
 #: Classes of a block or cluster that a task takes whole; more are dealt out as pairs of tiles.
 TILE_CLASSES = 2_000
@@ -82,35 +83,39 @@ def shingle_set(text: bytes, size: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def _bound(k: int) -> int:
-    """The smallest size of class k."""
-    return int(10 * RATIO**k)
+def _bound(k: int, percent: int) -> int:
+    """The smallest size of class k; sets below that of class 0 link with equal sets only."""
+    return int(-(-(100 + percent) // (2 * (100 - percent))) * RATIO**k)
 
 
 def _most_apart(k: int, percent: int) -> int:
     """In how many shingles two linked sets can differ if the larger one's size is in class k."""
     # |A|+|B| - 2|A and B| with |A and B| >= p(|A|+|B|)/(1+p)
-    return (100 - percent) * 2 * (_bound(k + 1) - 1) // (100 + percent)
+    return (100 - percent) * 2 * (_bound(k + 1, percent) - 1) // (100 + percent)
 
 
 def block_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Hashes of the contents of a set's groups, for its own size class and any larger one that holds a partner."""
+    """Hashes of the contents of a set's groups, for its own size class and any larger one that holds a partner.
+
+    Groups of few shingles, by which unrelated sets meet, are left out if more groups than can differ are larger: of
+    two linked sets, the one with the higher bar then has a larger group that is the same in the other.
+    """
     n, out = len(s), []
     reach = n * 100 // percent
     k = 0
-    while _bound(k) <= reach:
-        if n < _bound(k + 1):
+    while _bound(k, percent) <= reach:
+        if n < _bound(k + 1, percent):
             apart = _most_apart(k, percent)
-            m = (apart + 1) * 103 // 100 + 3
+            m = (apart + 1) * (103 if percent >= 90 else 115) // 100 + 3
             g = ((s >> _U(32)) * _U(m)) >> _U(32)
             starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             sizes = np.diff(np.append(starts, n))
             keys = np.add.reduceat(mix(s, 11), starts) + mix(g[starts], 1000 + k)
-            if np.count_nonzero(sizes >= TINY) > apart:
-                keys = keys[sizes >= TINY]
+            bar = next((t for t in range(TINY, 0, -1) if np.count_nonzero(sizes >= t) > apart), 0)
+            if bar:
+                keys = keys[sizes >= bar]
             else:
-                empty = np.setdiff1d(np.arange(m, dtype=_U), g[starts])
-                keys = np.concatenate([keys, mix(empty, 1000 + k)])
+                keys = np.concatenate([keys, mix(np.setdiff1d(np.arange(m, dtype=_U), g[starts]), 1000 + k)])
             out.append(mix(keys, 12))
         k += 1
     return np.concatenate(out) if out else np.zeros(0, dtype=_U)
@@ -122,8 +127,24 @@ def _identity(s: np.ndarray) -> tuple[int, int]:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """How many of a set's shingles fall into each of DIMENSIONS groups."""
-    return np.bincount((s >> _U(40)).astype(np.int64) % DIMENSIONS, minlength=DIMENSIONS).astype("<u4")
+    """How many of a set's shingles fall into each group, with about PER_GROUP to a group, so that sets without much in
+    common lie far apart whatever their size. The number of groups is a power of two: points fold onto fewer groups."""
+    groups = 1 << int(np.clip(np.log2(max(1, len(s) / PER_GROUP)), MIN_BITS, MAX_BITS))
+    return np.bincount((s >> _U(40)).astype(np.int64) % groups, minlength=groups).astype("<u2" if len(s) < 65_536 else "<u4")
+
+
+def stacked(points: list[np.ndarray]) -> np.ndarray:
+    """Points as rows, folded onto the fewest groups that one of them has."""
+    groups = min(map(len, points))
+    return np.stack([p.reshape(-1, groups).sum(axis=0, dtype=np.int32) for p in points])
+
+
+def _packed(p: np.ndarray) -> bytes:
+    return bytes([p.itemsize]) + p.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1)
 
 
 def _signed(x) -> np.ndarray:
@@ -144,7 +165,7 @@ def sets(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
                     n.append(len(s))
                     node.append(a)
                     twin.append(b)
-                    points.append(point(s).tobytes())
+                    points.append(_packed(point(s)))
                     keys.append(block_keys(s, percent))
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 flat = np.concatenate(keys).view(np.int64)
@@ -164,7 +185,7 @@ def tree_links(n: np.ndarray, points: np.ndarray, verify=None, percent: int = PE
     # Runs of like sizes, inside a run by the first counts: leaves hold points that lie together.
     run = np.argsort(n, kind="stable")
     order = np.concatenate([r[np.lexsort((points[r, 2], points[r, 1], points[r, 0]))] for r in np.array_split(run, max(1, len(run) // (LEAF * LEAF)))])
-    n, points = n[order].astype(np.int64), points[order].astype(np.int64)
+    n, points = n[order].astype(np.int64), points[order]
     first = np.arange(0, len(order), LEAF)
     most, least, largest = np.maximum.reduceat(points, first), np.minimum.reduceat(n, first), np.maximum.reduceat(n, first)
     label, links = np.arange(len(order)), []
@@ -215,8 +236,8 @@ def block_links(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
             if upto is None:  # the last block may go on in the next batch
                 starts, ends, rest = starts[:-1], ends[:-1], whole.slice(int(starts[-1]))
             node, n = (whole.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n"))
-            points = np.frombuffer(b"".join(whole.column("point").to_pylist()), dtype="<u4").reshape(-1, DIMENSIONS)
-            out = [(node[a + i], node[a + j]) for a, b in zip(starts, ends, strict=True) if b - a > 1 for i, j in tree_links(n[a:b], points[a:b], None, percent)]
+            points = [_unpacked(x) for x in whole.column("point").to_pylist()]
+            out = [(node[a + i], node[a + j]) for a, b in zip(starts, ends, strict=True) if b - a > 1 for i, j in tree_links(n[a:b], stacked(points[a:b]), None, percent)]
             found = np.array(out, dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
@@ -269,7 +290,7 @@ def link_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, til
             return 100 * shared >= percent * (len(a) + len(b) - shared)
 
         sizes = np.array([len(m) for m in members])
-        got = tree_links(sizes, np.stack([point(m) for m in members]), linked, percent) if len(members) > 1 else []
+        got = tree_links(sizes, stacked([point(m) for m in members]), linked, percent) if len(members) > 1 else []
         return pd.DataFrame([(node[i], node[j]) for i, j in got], columns=["a", "b"], dtype="int64")
 
     dealt = _deal(picked.mapInArrow(to_sets, "node bigint, root bigint, tiles int, members binary"))

@@ -71,15 +71,15 @@ def test_tiles_lose_no_link(spark):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.integers(1, 900), st.integers(0, 10**6))
-def test_blocks_lose_no_link(n, seed):
+@given(st.integers(1, 900), st.integers(0, 10**6), st.sampled_from([80, 90]))
+def test_blocks_lose_no_link(n, seed, percent):
     rnd = np.random.default_rng(seed)
     a = np.unique(rnd.integers(0, 2**64, n, dtype=np.uint64))
-    gone = rnd.integers(0, max(1, len(a) // 9) + 1)
+    gone = rnd.integers(0, len(a) * (100 - percent) // 90 + 2)
     b = np.unique(np.concatenate([rnd.permutation(a)[gone:], rnd.integers(0, 2**64, rnd.integers(0, gone + 1), dtype=np.uint64)]))
     x = len(np.intersect1d(a, b))
-    if len(b) and 100 * x >= 90 * (len(a) + len(b) - x) and not np.array_equal(a, b):
-        assert len(np.intersect1d(nj.block_keys(a), nj.block_keys(b)))
+    if len(b) and 100 * x >= percent * (len(a) + len(b) - x) and not np.array_equal(a, b):
+        assert len(np.intersect1d(nj.block_keys(a, percent), nj.block_keys(b, percent)))
 
 
 def test_components(spark):
