@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rideledger.llm.bpe import VOCABULARY, encoder, slices, vocabulary_path
-from rideledger.llm.common import checkpoint_folder, table
+from rideledger.llm.common import checkpoint_folder, stored, table
 
 KEYS = ["source", "lang", "version"]
 _LEDGER = "doc_id bigint, source string, lang string, version string, docs bigint, tokens bigint, batch_id bigint"
@@ -97,11 +97,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = [F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")]
     hashed = docs.select("doc_id", "source", "lang", *same)
     firsts = hashed.groupBy("a", "b").agg(F.min("doc_id").alias("first"))
-    copies = hashed.join(firsts, ["a", "b"]).filter(F.col("doc_id") > F.col("first"))
+    copies = stored(hashed.join(firsts, ["a", "b"]).filter(F.col("doc_id") > F.col("first")).select("doc_id", "source", "lang"))
     gone = copies.select("doc_id", F.lit(VOCABULARY.split(".")[0]).alias("version"), "source", "lang", F.lit(None).cast("bigint").alias("n_tokens"))
     noisy = docs.filter(F.col("text").rlike(NOISE)).join(copies.select("doc_id"), "doc_id", "left_anti")
     clean = noisy.withColumn("text", F.regexp_replace("text", NOISE, ""))
-    revised = count_tokens(clean, ["doc_id", "source", "lang"])
+    revised = stored(count_tokens(clean, ["doc_id", "source", "lang"]))
     for batch, changes in ((1, gone), (2, revised), (1, gone), (2, revised)):
         rollup.commit(batch, change(changes, batch))
     return rollup.totals()
