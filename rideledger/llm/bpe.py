@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,17 @@ def slices(values: list, max_bytes: int = SLICE_BYTES) -> Iterator[list]:
         yield out
 
 
+def row_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of runs of a text column's rows of about max_bytes; only a run at a time is copied. Nulls are empty."""
+    column = column.cast(pa.binary())
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + max_bytes, side="right")))
+        yield at, [t or b"" for t in column.slice(at, end - at).to_pylist()]
+        at = end
+
+
 class Encoder:
     """A vocabulary in one task, with a bounded memory of words."""
 
@@ -187,8 +199,7 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str
         e = encoder(vocabulary_path(vocabulary))
         decoded: dict[bytes, bytes] = {}
         for batch in batches:
-            texts, at = batch.column(len(keep)).cast(pa.binary()).to_pylist(), 0
-            for some in slices(texts):
+            for at, some in row_slices(batch.column(len(keep))):
                 split, ids = e.words(some)
                 if len(decoded) > CACHE_WORDS:
                     decoded = {}
@@ -197,7 +208,6 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str
                 packed = [b"".join(map(ids.__getitem__, ws)) for ws in split]
                 plain = [b" ".join(filter(None, map(decoded.__getitem__, ws))) for ws in split]
                 out = [batch.column(i).slice(at, len(some)) for i in range(len(keep))]
-                at += len(some)
                 yield pa.RecordBatch.from_arrays([*out, pa.array(packed, pa.binary()), pa.array(plain, pa.binary()).cast(pa.string())], names=[*keep, "ids", "decoded"])
 
     def pieces(batches):

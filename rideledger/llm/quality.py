@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rideledger.llm.bpe import slices, vocabulary_path
+from rideledger.llm.bpe import row_slices, vocabulary_path
 from rideledger.llm.common import table
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -27,7 +27,7 @@ MIN_WORDS = 20
 MAX_REPEAT = 30
 #: Words in a window.
 WINDOW = 8
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 SYMBOLS = b"#*$%&|<>"
 _NOT_CODE_POINTS = b" \t\n\x0b\x0c\r" + bytes(range(0x80, 0xC0))
 
@@ -159,17 +159,19 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text", lang: str | No
     """
     kinds = dict(docs.dtypes)
     language = F.col(lang).cast("string") if lang else F.lit(None).cast("string")
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"), language.alias("__lang"))
+    # A text that is kept goes to the tasks once.
+    more = [] if text in keep else [F.col(text).alias("__text")]
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], language.alias("__lang"), *more)
+    where = keep.index(text) if text in keep else len(keep) + 1
 
     def task(batches):
         m = meter(vocabulary_path(vocabulary))
         for batch in batches:
-            texts, langs, at = batch.column(len(keep)).cast(pa.binary()).to_pylist(), batch.column(len(keep) + 1).to_pylist(), 0
-            for some in slices(texts):
+            for at, some in row_slices(batch.column(where)):
                 got = m.measure(some)
-                band = [k if k in bands else script(t) for k, t in zip(langs[at : at + len(some)], some, strict=True)]
+                langs = batch.column(len(keep)).slice(at, len(some)).to_pylist()
+                band = [k if k in bands else script(t) for k, t in zip(langs, some, strict=True)]
                 own = [batch.column(i).slice(at, len(some)) for i in range(len(keep))]
-                at += len(some)
                 yield pa.RecordBatch.from_arrays(
                     [*own, *(pa.array(got[k], pa.int64()) for k in COUNTS), pa.array(got["entropy"], pa.float64()), pa.array(band, pa.string())],
                     names=[*keep, *COUNTS, "entropy", "band"],
