@@ -1,8 +1,9 @@
 """Near-duplicate lines by a deletion neighbourhood: every line's variants meet as hashed keys, the earliest line stays.
 
-A line is its sequence of words; white space does not count. Two lines are near when they are equal or when one word
-added, left out or replaced turns one into the other (the bound is one edit, for lines of MIN_WORDS words and more;
-shorter lines must be equal). An occurrence of a line goes if an equal one comes earlier, or if the line is near one
+A line is its sequence of words; white space does not count. Two lines are near when they are equal or when few words
+added, left out or replaced turn one into the other: one for every WORDS_AN_EDIT words of the shorter line, and one at
+least, for lines of MIN_WORDS words and more. If a line is shorter than that, one character added, left out or replaced
+makes it near (of the words with one space between, MIN_CHARS characters at least). An occurrence of a line goes if an equal one comes earlier, or if the line is near one
 that comes earlier anywhere, whether or not that one stays. Earlier is by doc_id (null last), text hash, line number.
 
 The neighbourhood of a line is the line itself and the line without each of its words. Lines that differ by a replaced
@@ -12,16 +13,32 @@ makes no pairs. What they propose is verified word by word.
 
 Only lines that can have a neighbour get variants: within one edit, the first or the last half of the shorter line is
 untouched, so a line that shares neither half, for its own length or the length below, with another line is near none.
+Lines of few words go the same way as sequences of characters.
+
+Longer lines with more edits than one have a run of RUN + WINDOW - 1 words in common, whatever their length: k edits cut
+the shorter line into k + 1 runs. Of every window of that many words, the RUN words from its lowest word hash on are a
+key, so such lines have a key in common, at places and with lengths that differ by the bound at most.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rideledger.llm.common import SPACES, broadcast_checked, stored, table, words
+from rideledger.llm.common import SPACES, broadcast_checked, let, stored, table, words
 
 MIN_WORDS = 5
+MIN_CHARS = 10
+#: Lines of twice as many words may have two edits, and so on; below that, one.
+WORDS_AN_EDIT = 20
+#: Words of a key, and places of which it begins at one. 2 * WORDS_AN_EDIT words with two edits leave a run of 13, longer
+#: lines no shorter one.
+RUN, WINDOW = 6, 8
+#: Lines at a key above which they also have to meet by length and place.
+MANY_LINES = 100
+#: Bits for a word's place within its line.
+PLACE_BITS = 24
 #: Suspect lines, or hashes that two lines share, up to this number are broadcast (50 bytes each); above it, a shuffled join.
 BROADCAST_LINES = 1_000_000
 
@@ -44,7 +61,46 @@ def _ends(w: Column) -> Column:
         return [F.xxhash64(F.lit(0), n, F.slice(w, F.lit(1), half)), F.xxhash64(F.lit(1), n, F.slice(w, -half, half))]
 
     n = F.size(w)
-    return F.when(n >= MIN_WORDS, F.array(*halves(n), *halves(n - 1))).otherwise(F.array().cast("array<bigint>"))
+    return F.array(*halves(n), *halves(n - 1))
+
+
+def _chars(w: Column) -> Column:
+    """The characters of a line, each marked so that none equals a word."""
+    return F.transform(F.split(F.array_join(w, " "), ""), lambda x: F.concat(F.lit(" "), x))
+
+
+def _by_words(w: Column) -> Column:
+    return F.size(w) >= MIN_WORDS
+
+
+def _by_chars(w: Column) -> Column:
+    """Whether a line of few words, or one with a word more, is compared by characters."""
+    return (F.size(w) > 0) & (F.size(w) <= MIN_WORDS) & (F.char_length(F.array_join(w, " ")) >= MIN_CHARS)
+
+
+def _many(w: Column) -> Column:
+    """Whether a line may have more edits than one."""
+    return F.size(w) >= 2 * WORDS_AN_EDIT
+
+
+def _lower(more: int):
+    """For an array, each element or the one so many places on, if that is lower."""
+    return lambda h: F.transform(h, lambda x, i: F.least(x, F.get(h, i + more)))
+
+
+def _run_places(w: Column) -> Column:
+    """The places (from 1) at which a line's keys begin."""
+    hashes = F.transform(w, lambda x, i: F.shiftleft(F.xxhash64(x), PLACE_BITS).bitwiseOR((i + 1).cast("long")))
+    lowest, width = hashes, 1
+    while width < WINDOW:  # the lowest of twice as many, or of as many as are missing
+        more = min(width, WINDOW - width)
+        lowest, width = let(lowest, _lower(more)), width + more
+    full = F.slice(lowest, F.lit(1), F.size(w) - (RUN + WINDOW - 2))
+    return F.transform(F.array_distinct(full), lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"))
+
+
+def _run(w: Column, place: Column) -> Column:
+    return F.xxhash64(F.lit(2), *[F.get(w, place + d) for d in range(-1, RUN - 1)])
 
 
 def _order() -> Column:
@@ -92,25 +148,88 @@ def near_lines(suspects: DataFrame) -> DataFrame:
     return checked.filter(within_one(F.col("w"), F.col("v"))).select("h1", "h2").distinct()
 
 
+def within_bound(a: Column, b: Column) -> Column:
+    """Whether a and b, of 2 * WORDS_AN_EDIT words and more, are near: the edit distance of texts with a character a word."""
+    def text(w: Column, number) -> Column:
+        """Numbers under 2 ** 20 as characters beyond the basic plane."""
+        codes = F.transform(w, lambda x: F.lpad(F.hex(F.lit(1 << 16) + number(x)), 8, "0"))
+        return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
+
+    hashed = lambda x: F.pmod(F.xxhash64(x), F.lit(1 << 20))
+    every = F.array_distinct(F.concat(a, b))
+    listed = lambda x: F.array_position(every, x)
+    bound = F.floor(F.least(F.size(a), F.size(b)) / WORDS_AN_EDIT).cast("int")
+    far = lambda number: F.call_function("levenshtein", text(a, number), text(b, number), bound) < 0
+    alone = F.size(F.array_distinct(F.transform(every, hashed))) == F.size(every)
+    # Words that share a hash can only bring lines nearer.
+    return F.when(far(hashed), F.lit(False)).when(alone, F.lit(True)).otherwise(~far(listed))
+
+
+def near_long_lines(suspects: DataFrame, near: DataFrame) -> DataFrame:
+    """h1, h2 of the lines of suspects (as for near_lines, all _many) that are near an earlier one; those of near are left out.
+
+    Lines meet by key; at keys of many lines, by length and place too. Each is compared with the earliest at each of its
+    keys, and if it is near none of them, with all.
+    """
+    runs = suspects.select("first", F.size("w").alias("n"), F.explode(_run_places(F.col("w"))).alias("p"), "w")
+    runs = stored(runs.select("first", "n", "p", _run(F.col("w"), F.col("p")).alias("run")))
+    old = lambda df: df.select("run", *[F.col(c).alias(f"r_{c}") for c in ("first", "n", "p")])
+    bound = F.floor(F.least("n", "r_n") / WORDS_AN_EDIT)
+    shift, more = F.col("p") - F.col("r_p"), F.col("n") - F.col("r_n")
+    fits = (F.col("r_first") < F.col("first")) & (F.abs(shift) <= bound) & (F.abs(more) <= bound) & (F.abs(more - shift) <= bound)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        earlier = suspects.select(F.col("first").alias("r_first"), F.col("w").alias("v"))
+        both = pairs.select("first", "r_first").distinct().join(suspects.select("first", "h1", "h2", "w"), "first").join(earlier, "r_first")
+        return stored(both.filter(within_bound(F.col("w"), F.col("v"))).select("first", "h1", "h2").distinct())
+
+    known = suspects.join(near, ["h1", "h2"], "left_semi").select("first")
+    todo = runs.join(known, "first", "left_anti")
+    met = stored(runs.groupBy("run").agg(F.count("*").alias("lines"), F.min(F.struct("first", "n", "p")).alias("best")).filter("lines > 1"))
+    star = checked(todo.join(met.select("run", *[F.col(f"best.{c}").alias(f"r_{c}") for c in ("first", "n", "p")]), "run").filter(fits))
+    todo = stored(todo.join(star, "first", "left_anti").join(met.select("run", "lines"), "run"))
+    # Levels are lengths that differ by the bound; places differ by it at most, so by one step of the level's bound.
+    grow = float(np.log(1 + 1 / WORDS_AN_EDIT))
+    level = F.floor(F.log(F.col("n").cast("double")) / grow).cast("int")
+    cell = lambda at: F.floor(F.col("p") / (F.ceil(F.exp((at + 1) * F.lit(grow)) / WORDS_AN_EDIT) + 1)).cast("int")
+    place = F.struct(level.alias("level"), cell(level).alias("cell"))
+    near_by = F.array(*[F.struct((level + d).alias("level"), (cell(level + d) + e).alias("cell")) for d in (-1, 0, 1) for e in (-1, 0, 1)])
+    some, many = todo.filter(F.col("lines") <= MANY_LINES).drop("lines"), todo.filter(F.col("lines") > MANY_LINES).drop("lines")
+    often = old(runs).select("*", F.expr("r_n AS n"), F.expr("r_p AS p")).withColumn("at", place).drop("n", "p")
+    pairs = some.join(old(runs), "run").filter(fits).select("first", "r_first")
+    pairs = pairs.unionByName(many.withColumn("at", F.explode(near_by)).join(often, ["run", "at"]).filter(fits).select("first", "r_first"))
+    return star.unionByName(checked(pairs)).select("h1", "h2")
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, place, flags of each distinct (doc_id, text): for every line in order "" (stays), "equal" or "near".
 
     Lines without words always stay. Rows with the same doc_id and text are one document, however often they repeat.
     """
     rows = split_lines(docs).withColumn("w", words(F.col("line")))
-    lines = stored(rows.select("doc_id", "place", "line_no", F.size("w").alias("n"), *_ids(F.col("w")), _ends(F.col("w")).alias("ends")))
+    w, none = F.col("w"), F.array().cast("array<bigint>")
+    ends = F.concat(F.when(_by_words(w), _ends(w)).otherwise(none), F.when(_by_chars(w), let(_chars(w), _ends)).otherwise(none))
+    runs = F.when(_many(w), F.transform(_run_places(w), lambda p: _run(w, p))).otherwise(none)
+    lines = stored(rows.select("doc_id", "place", "line_no", F.size("w").alias("n"), *_ids(w), ends.alias("ends"), runs.alias("runs")))
     full = lines.filter("n > 0")
     firsts = stored(full.groupBy("h1", "h2").agg(F.min(_order()).alias("first")))
-    ends = lines.select("h1", F.explode("ends").alias("end"))
-    shared = ends.groupBy("end").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("end")
-    suspects = ends.join(broadcast_checked(stored(shared), BROADCAST_LINES), "end").select("h1").distinct()
-    wanted = stored(firsts.join(suspects, "h1").select("h1", "h2", "first"))
-    where = wanted.select("h1", "h2", "first", F.col("first.place").alias("w_place"), F.col("first.line_no").alias("w_line"))
+    ends = lines.select("h1", F.explode("ends").alias("end"), F.lit(False).alias("by_run"))
+    ends = ends.unionByName(lines.select("h1", F.explode("runs").alias("end"), F.lit(True).alias("by_run")))
+    shared = ends.groupBy("end", "by_run").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("end", "by_run")
+    suspects = ends.join(broadcast_checked(stored(shared), BROADCAST_LINES), ["end", "by_run"]).groupBy("h1").agg(F.max("by_run").alias("by_run"), F.max(~F.col("by_run")).alias("by_end"))
+    wanted = stored(firsts.join(suspects, "h1").select("h1", "h2", "first", "by_run", "by_end"))
+    where = wanted.select("h1", "h2", "first", "by_run", "by_end", F.col("first.place").alias("w_place"), F.col("first.line_no").alias("w_line"))
     found = split_lines(docs).withColumn("order", _order())
     texts = found.join(
         broadcast_checked(where, BROADCAST_LINES), (F.col("place") == F.col("w_place")) & (F.col("line_no") == F.col("w_line")) & F.col("order").eqNullSafe(F.col("first"))
     ).withColumn("w", words(F.col("line")))
-    near = near_lines(stored(texts.select("h1", "h2", "first", "w").dropDuplicates(["h1", "h2"])))
+    texts = stored(texts.select("h1", "h2", "first", "w", "by_run", "by_end").dropDuplicates(["h1", "h2"]))
+    some = texts.filter("by_end")
+    # A line of MIN_WORDS words is compared both ways, as two lines; the second has another h2.
+    by_chars = some.filter(_by_chars(w)).select("h1", F.bitwise_not("h2").alias("h2"), "first", _chars(w).alias("w"))
+    near = stored(near_lines(stored(some.filter(_by_words(w)).select("h1", "h2", "first", "w").unionByName(by_chars))))
+    near = near.unionByName(near.select("h1", F.bitwise_not("h2").alias("h2")))
+    near = near.unionByName(near_long_lines(texts.filter("by_run").select("h1", "h2", "first", "w"), near)).distinct()
     classes = firsts.select("h1", "h2", "first").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
     state = F.when(~_order().eqNullSafe(F.col("first")), F.lit("equal")).when(F.col("near"), F.lit("near")).otherwise(F.lit(""))
     states = full.join(classes, ["h1", "h2"]).select("doc_id", "place", "line_no", state.alias("state"))

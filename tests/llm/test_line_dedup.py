@@ -73,3 +73,60 @@ def test_defined_cases(spark):
     assert got == sorted([(None, ""), (None, ""), *docs[2:]], key=repr)
     assert ld.dedup(df.limit(0)).count() == 0
     assert sorted(r.doc_id for r in ld.stage(df).collect()) == [1, 1, 2, 2]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def near_any(a, b):
+    """Bounds that grow with the line; a character in lines under five words."""
+    n, chars = min(len(a), len(b)), (" ".join(a), " ".join(b))
+    if a == b or near(a, b):
+        return True
+    if n < 5:
+        return min(map(len, chars)) >= 10 and distance(*chars) <= 1
+    return n >= 40 and distance(a, b) <= n // 20
+
+
+def edited(rnd, line, n, letters):
+    line = list(line)
+    for _ in range(n):
+        at = rnd.randrange(len(line) + 1)
+        line[at : at + rnd.randint(0, 1)] = [rnd.choice(letters)] * rnd.randint(0, 1)
+    return line
+
+
+def test_growing_bound(spark):
+    rnd = random.Random(5)
+    few, many = "ab", [f"w{i}" for i in range(300)]
+    lines = []
+    for n in (38, 39, 40, 41, 59, 60, 61, 83, 120, 200):
+        for words_ in (few, many):
+            for _ in range(3):
+                base = [rnd.choice(words_) for _ in range(n)]
+                lines += [base] + [edited(rnd, base, e, words_) for e in (1, 2, 2, 3, 4, n // 20, n // 20 + 1)]
+    passage = [f"p{i}" for i in range(30)]  # in many lines that have nothing else in common
+    lines += [passage + [rnd.choice(many) for _ in range(20)] for _ in range(40)]
+    for base in ("All rights reserved", "Read more here now", "Subscribe today", "terms", "impressions", "Click the red link"):
+        lines += [list(filter(None, "".join(edited(rnd, base, e, "xyz ")).split(" "))) for e in (0, 1, 1, 1, 2)]
+    rnd.shuffle(lines)
+    lines = [x for x in lines if x]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.n_equal + r.n_near for r in ld.dedup(df).collect()}
+    want = {i: int(any(near_any(tuple(x), tuple(y)) for y in lines[:i])) for i, x in enumerate(lines)}
+    old = {i: int(any(near(tuple(x), tuple(y)) for y in lines[:i])) for i, x in enumerate(lines)}
+    assert got == want and sum(want.values()) > sum(old.values()) + 50
+
+
+def test_two_words_and_one_letter(spark):
+    line = [f"word{i}" for i in range(60)]
+    twice = [*line[:20], "other", *line[21:40], "another", *line[41:]]
+    docs = [(1, " ".join(line)), (2, " ".join(twice)), (3, "All rights reserved"), (4, "All rigths reserved"), (5, "All right reserved")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.n_near for r in ld.dedup(df).collect()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 1}
