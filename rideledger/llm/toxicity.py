@@ -1,15 +1,16 @@
 """Toxicity of whole texts: a support vector machine on a gappy string kernel, with Nystroem landmarks.
 
 Strings are words with their edges, or runs of RUN places inside longer ones. The kernel counts common subsequences of three letters that span
-at most SPAN places, each weighted by DECAY for every place it leaves out; letters put in between, punctuation inside
-a word and single letters set apart by spaces stretch a subsequence, they don't break it.
+at most SPAN letters, each weighted by DECAY for every letter it leaves out; letters put in between stretch a subsequence,
+they don't break it. Any number of signs inside a word and spaces that set single letters apart count for nothing.
 
 Labels are of documents, not of the word that gave offence. Words that toxic documents have significantly more often
 (by a likelihood ratio over documents, in contexts not seen before, so that copies count once) are the positive strings, the surest also disguised; words of clean documents the negative ones, those
 that score highest joining in a second round. Landmarks are strings of both kinds. A string's coordinates are its
 kernel values with the landmarks, whitened; a linear machine on them is, spelled out, a weight for each subsequence.
 So scoring adds up weights exactly as the kernel machine would, at every place of every word, and a document scores by
-its three best words and its number of positive ones, through a logistic curve fitted on documents it hasn't seen.
+its three best words and its number of positive ones, through a logistic curve fitted on documents it hasn't seen, and
+on clean ones of these with a single insult put in, plain or disguised, as an insult offends however it is written.
 """
 
 from __future__ import annotations
@@ -63,6 +64,13 @@ def symbols(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, np.repeat(np.append(at, len(cp)), np.diff(at, prepend=0, append=len(cp)))
 
 
+def spelled(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """symbols() of the letters and edges alone, and their places in cp."""
+    s, ends = symbols(cp)
+    at = np.flatnonzero(s > 0)
+    return s[at], np.searchsorted(at, ends[at]), at
+
+
 def subsequences(s: np.ndarray, ends: np.ndarray):
     """(code, weight, whether it is one) at each place, for each way to leave places out.
 
@@ -87,8 +95,8 @@ def subsequences(s: np.ndarray, ends: np.ndarray):
 def string_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The words' kernel features as (word, code, value), and each word's norm."""
     cp, starts = code_points(words)
-    s, ends = symbols(cp)
-    word = np.searchsorted(starts, np.arange(len(cp)), side="right") - 1
+    s, ends, places = spelled(cp)
+    word = np.searchsorted(starts, places, side="right") - 1
     rows, codes, values = [], [], []
     for code, weight, ok in subsequences(s, ends):
         at = np.flatnonzero(ok)
@@ -119,17 +127,17 @@ class Model:
     def values(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The machine's value for the best string of each word (any edge begins one), and the word's text."""
         cp, starts = code_points(texts)
-        s, ends = symbols(cp)
-        value, square = np.zeros(len(cp) + 1), np.zeros(len(cp) + 1)
+        s, ends, places = spelled(cp)
+        value, square = np.zeros(len(s) + 1), np.zeros(len(s) + 1)
         for code, weight, ok in subsequences(s, ends):
             value[: len(ok)] += np.where(ok, self.weights[code], 0) * weight
             square[: len(ok)] += ok * (weight * weight)
-        to = np.minimum(np.arange(len(cp)) + RUN - 1, ends)
+        to = np.minimum(np.arange(len(s)) + RUN - 1, ends)
         c, e = np.concatenate([[0], np.cumsum(value[:-1])]), np.concatenate([[0], np.cumsum(square[:-1])])
         mass = e[to] - e[:-1]
         f = np.where(mass > 0, (c[to] - c[:-1]) / np.sqrt(mass + 1.0) + self.bias, _LOWEST)
         words = np.flatnonzero(s == EDGE)  # every text begins with one
-        return np.maximum.reduceat(f, words), np.searchsorted(starts, words, side="right") - 1
+        return np.maximum.reduceat(f, words), np.searchsorted(starts, places[words], side="right") - 1
 
     def best(self, texts: list[str]) -> np.ndarray:
         """The value of each text's best string; a floor for texts without one."""
@@ -204,6 +212,12 @@ def disguised(word: str) -> list[str]:
     return [".".join(word), " ".join(word), f"{word[:half]}*{word[half:]}", f"{word[:half]}x{word[half:]}", f"{word[:half]}{word[half]}{word[half:]}"]
 
 
+def _with(text: str, word: str, where: float) -> str:
+    """text with a word put in at a space, at that share of its length or after."""
+    at = text.find(" ", int(where * len(text)))
+    return f"{text} {word}" if at < 0 else f"{text[:at]} {word}{text[at:]}"
+
+
 def _ratio(toxic: int, clean: int, share: float) -> float:
     """Twice the log-likelihood ratio of a word's share of toxic documents against the overall one; 0 if it is lower."""
     own = toxic / (toxic + clean)
@@ -258,7 +272,14 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         pool = list(dict.fromkeys([*pool, *hard]))
         marks = list(dict.fromkeys([*marks, *hard[: LANDMARKS // 2]]))
     tune = np.flatnonzero((turn % 3 == 2) | (len(y) < 30))
-    model.slope, model.offset = _curve(np.concatenate([model.features([texts[i]]) for i in tune]), y[tune])
+    more: list[str] = []
+    # As many clean ones with a single insult, written in all ways in turn.
+    ways = [v for w in sure for v in [w, *disguised(w)]]
+    random = np.random.default_rng(0)
+    for i in np.resize(tune[y[tune] == 0], min((y[tune] == 1).sum(), len(tune))):
+        more.append(_with(texts[i], ways[random.integers(len(ways))], random.random()))
+    told = np.concatenate([y[tune], np.ones(len(more), dtype=y.dtype)])
+    model.slope, model.offset = _curve(np.concatenate([model.features([x]) for x in [*(texts[i] for i in tune), *more]]), told)
     return model
 
 

@@ -45,6 +45,18 @@ def test_toxic(spark, docs):
     assert s[0] < 0.5 < s[1] and s[2] > 3 * s[0] and s[3] < 0.5
 
 
+def test_single_disguised_insult():
+    rows = list(texts(500, 3))
+    model = toxicity.fit([r[1] for r in rows], [r[3] for r in rows])
+    clean = [r[1] for r in texts(400, 9) if not r[3]]
+    assert sum(model.scores(clean) >= 0.5) <= 2
+    for word in INSULTS:
+        half = len(word) // 2
+        ways = [word, ".".join(word), " ".join(word), "..".join(word), "-.-".join(word), f"{word[:half]}*{word[half:]}", f"{word[:half]}x{word[half:]}", f"{word[:half]}{word[half]}{word[half:]}"]
+        for way in ways:
+            assert sum(model.scores([f"{text} {way} thewh" for text in clean[:40]]) >= 0.5) >= 38, way
+
+
 def test_defined_cases(spark):
     rows = [(1, None), (2, ""), (None, "12 34 !"), (4, "word " * 20_000), (4, "word")]
     df = spark.createDataFrame([(*r, None, 1) for r in rows], "doc_id long, text string, lang string, one int")
