@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a longest run of anything but ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -42,13 +43,41 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: The one column that packed() gives to all columns an operator doesn't need.
+ROW = "__row"
+
+
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns of docs (null where docs has none) and all others inside one struct, ROW.
+
+    So an operator may name its own columns as it likes, whatever the columns of docs are called.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in needed] or [F.lit(0).alias("none")]
+    return docs.select(*[(F.col(c) if c in docs.columns else F.lit(None)).alias(c) for c in needed], F.struct(*others).alias(ROW))
+
+
+def unpacked(df: DataFrame, docs: DataFrame) -> list[tuple[str, Column]]:
+    """(name, column of df) of each column of docs, where df was packed() from docs."""
+    inside = set(df.schema[ROW].dataType.names)
+    return [(c, F.col(ROW).getField(c) if c in inside else F.col(c)) for c in docs.columns]
+
+
+def result_schema(docs: DataFrame, keep: list[str], more: str) -> T.StructType:
+    """The columns of docs that are kept, then those of a DDL string."""
+    return T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep] + T.StructType.fromDDL(more).fields)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; only where it names none, one for this process."""
+    """The shared folder the cluster names. Only a local master, whose executors share this machine, gets one of its own."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return folder or context.getCheckpointDir()
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

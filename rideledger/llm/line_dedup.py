@@ -1,40 +1,57 @@
 """Near-duplicate lines by a deletion neighbourhood: every line's variants meet as hashed keys, the earliest line stays.
 
 A line is its sequence of words; white space does not count. Two lines are near when they are equal or when few words
-added, left out or replaced turn one into the other: one for every WORDS_AN_EDIT words of the shorter line, and one at
-least, for lines of MIN_WORDS words and more. If a line is shorter than that, one character added, left out or replaced
-makes it near (of the words with one space between, MIN_CHARS characters at least). An occurrence of a line goes if an equal one comes earlier, or if the line is near one
-that comes earlier anywhere, whether or not that one stays. Earlier is by doc_id (null last), text hash, line number.
-
-The neighbourhood of a line is the line itself and the line without each of its words. Lines that differ by a replaced
-word share a variant with the word gone at the same place, so the earliest of all that have a (variant, place) stands
-for them; a longer line's variant is a shorter line itself. Both are minima over keys, so a key with very many lines
-makes no pairs. What they propose is verified word by word.
-
-Only lines that can have a neighbour get variants: within one edit, the first or the last half of the shorter line is
-untouched, so a line that shares neither half, for its own length or the length below, with another line is near none.
-Lines of few words go the same way as sequences of characters.
-
-Longer lines with more edits than one have a run of RUN + WINDOW - 1 words in common, whatever their length: k edits cut
-the shorter line into k + 1 runs. Of every window of that many words, the RUN words from its lowest word hash on are a
-key, so such lines have a key in common, at places and with lengths that differ by the bound at most.
+added, left out or replaced turn one into the other: with Bounds, one for every `words_an_edit` words of the shorter line,
+and one at least, for lines of `min_words` words and more. If a line is shorter than that, one character added, left out
+or replaced makes it near (of the words with one space between, `min_chars` characters at least). An occurrence of a line
+goes if an equal one comes earlier, or if the line is near one that comes earlier anywhere, whether or not that one stays.
+Earlier is by doc_id (null last), text hash, line number.
+
+With one edit the neighbourhood of a line is the line itself and the line without each of its words. Lines that differ by
+a replaced word share a variant with the word gone at the same place, so the earliest of all that have a (variant, place)
+stands for them; a longer line's variant is a shorter line itself. Both are minima over keys, so a key with very many
+lines makes no pairs. What they propose is verified word by word. Only lines that can have a neighbour get variants:
+within one edit, the first or the last half of the shorter line is untouched, so a line that shares neither half, for its
+own length or the length below, with another line is near none. Lines of few words go the same way as sequences of
+characters.
+
+With more edits a line would have a variant for every choice of words left out. What all these variants keep stands for
+them: runs of `run` words. A line's runs are taken in the order of their hashes until more of them lie apart than the
+line may have edits; every variant then keeps one of these, so of two near lines the one whose last run comes first in
+that order has one that is among the other's too, at a place that differs by the bound at most. Those runs are the keys.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rideledger.llm.common import SPACES, broadcast_checked, let, stored, table, words
+from rideledger.llm.common import SPACES, broadcast_checked, let, packed, stored, table, unpacked, words
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """How far apart near lines may be. Lines of 2 * words_an_edit words may have two edits, and so on; shorter ones one."""
+
+    min_words: int = 5
+    min_chars: int = 10
+    words_an_edit: int = 20
 
-MIN_WORDS = 5
-MIN_CHARS = 10
-#: Lines of twice as many words may have two edits, and so on; below that, one.
-WORDS_AN_EDIT = 20
-#: Words of a key, and places of which it begins at one. 2 * WORDS_AN_EDIT words with two edits leave a run of 13, longer
-#: lines no shorter one.
-RUN, WINDOW = 6, 8
+    @property
+    def long(self) -> int:
+        """Words from which on a line may have more edits than one."""
+        return 2 * self.words_an_edit
+
+    @property
+    def run(self) -> int:
+        """Words of a run: so few that any k runs leave another one apart from them in a line that may have k edits."""
+        return max(1, min(6, (2 * self.words_an_edit + 2) // 5))
+
+
+BOUNDS = Bounds()
 #: Lines at a key above which they also have to meet by length and place.
 MANY_LINES = 100
 #: Bits for a word's place within its line.
@@ -69,38 +86,45 @@ def _chars(w: Column) -> Column:
     return F.transform(F.split(F.array_join(w, " "), ""), lambda x: F.concat(F.lit(" "), x))
 
 
-def _by_words(w: Column) -> Column:
-    return F.size(w) >= MIN_WORDS
+def _by_words(w: Column, b: Bounds) -> Column:
+    """Whether a line is compared by words, with one edit; the shortest line of more edits may be one word longer than its neighbour."""
+    return (F.size(w) >= b.min_words) & (F.size(w) <= b.long)
 
 
-def _by_chars(w: Column) -> Column:
+def _by_chars(w: Column, b: Bounds) -> Column:
     """Whether a line of few words, or one with a word more, is compared by characters."""
-    return (F.size(w) > 0) & (F.size(w) <= MIN_WORDS) & (F.char_length(F.array_join(w, " ")) >= MIN_CHARS)
+    return (F.size(w) > 0) & (F.size(w) <= b.min_words) & (F.char_length(F.array_join(w, " ")) >= b.min_chars)
 
 
-def _many(w: Column) -> Column:
+def _many(w: Column, b: Bounds) -> Column:
     """Whether a line may have more edits than one."""
-    return F.size(w) >= 2 * WORDS_AN_EDIT
+    return F.size(w) >= b.long
+
 
+_PLACE = (1 << PLACE_BITS) - 1
 
-def _lower(more: int):
-    """For an array, each element or the one so many places on, if that is lower."""
-    return lambda h: F.transform(h, lambda x, i: F.least(x, F.get(h, i + more)))
 
+def _kept_runs(w: Column, b: Bounds) -> Column:
+    """The runs that are a line's keys, each as its hash with its place (from 1) in the lowest bits."""
+    at = lambda x: x.bitwiseAND(F.lit(_PLACE))
+    hash_ = lambda x: F.shiftright(x, PLACE_BITS)
+    gram = lambda h, i: F.shiftleft(F.xxhash64(F.slice(h, i, b.run)), PLACE_BITS).bitwiseOR(i.cast("long"))
+    all_runs = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (b.run - 1)), lambda i: gram(h, i))
+    bound = F.floor(F.size(w) / b.words_an_edit).cast("int")
 
-def _run_places(w: Column) -> Column:
-    """The places (from 1) at which a line's keys begin."""
-    hashes = F.transform(w, lambda x, i: F.shiftleft(F.xxhash64(x), PLACE_BITS).bitwiseOR((i + 1).cast("long")))
-    lowest, width = hashes, 1
-    while width < WINDOW:  # the lowest of twice as many, or of as many as are missing
-        more = min(width, WINDOW - width)
-        lowest, width = let(lowest, _lower(more)), width + more
-    full = F.slice(lowest, F.lit(1), F.size(w) - (RUN + WINDOW - 2))
-    return F.transform(F.array_distinct(full), lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"))
+    def apart(runs: Column) -> Column:
+        """The first runs that lie apart, one more than the line may have edits, of the few first runs."""
+        add = lambda seen, x: F.when(
+            (F.size(seen) > bound) | F.exists(seen, lambda y: F.abs(at(x) - at(y)) < b.run), seen
+        ).otherwise(F.concat(seen, F.array(x)))
+        return F.aggregate(F.slice(runs, F.lit(1), 6 * (bound + 1)), F.array().cast("array<bigint>"), add)
 
+    def kept(runs: Column) -> Column:
+        # Where the few first runs don't hold enough that lie apart, all runs are keys.
+        upto = lambda seen: F.when(F.size(seen) > bound, hash_(F.element_at(seen, -1))).otherwise(F.lit(2**63 - 1))
+        return let(upto(apart(runs)), lambda last: F.filter(runs, lambda x: hash_(x) <= last))
 
-def _run(w: Column, place: Column) -> Column:
-    return F.xxhash64(F.lit(2), *[F.get(w, place + d) for d in range(-1, RUN - 1)])
+    return let(F.sort_array(let(F.transform(w, lambda x: F.xxhash64(x)), all_runs)), kept)
 
 
 def _order() -> Column:
@@ -148,8 +172,8 @@ def near_lines(suspects: DataFrame) -> DataFrame:
     return checked.filter(within_one(F.col("w"), F.col("v"))).select("h1", "h2").distinct()
 
 
-def within_bound(a: Column, b: Column) -> Column:
-    """Whether a and b, of 2 * WORDS_AN_EDIT words and more, are near: the edit distance of texts with a character a word."""
+def within_bound(a: Column, b: Column, words_an_edit: int) -> Column:
+    """Whether a and b, of at least two edits' words, are near: the edit distance of texts with a character a word."""
     def text(w: Column, number) -> Column:
         """Numbers under 2 ** 20 as characters beyond the basic plane."""
         codes = F.transform(w, lambda x: F.lpad(F.hex(F.lit(1 << 16) + number(x)), 8, "0"))
@@ -158,30 +182,30 @@ def within_bound(a: Column, b: Column) -> Column:
     hashed = lambda x: F.pmod(F.xxhash64(x), F.lit(1 << 20))
     every = F.array_distinct(F.concat(a, b))
     listed = lambda x: F.array_position(every, x)
-    bound = F.floor(F.least(F.size(a), F.size(b)) / WORDS_AN_EDIT).cast("int")
+    bound = F.floor(F.least(F.size(a), F.size(b)) / words_an_edit).cast("int")
     far = lambda number: F.call_function("levenshtein", text(a, number), text(b, number), bound) < 0
     alone = F.size(F.array_distinct(F.transform(every, hashed))) == F.size(every)
     # Words that share a hash can only bring lines nearer.
     return F.when(far(hashed), F.lit(False)).when(alone, F.lit(True)).otherwise(~far(listed))
 
 
-def near_long_lines(suspects: DataFrame, near: DataFrame) -> DataFrame:
+def near_long_lines(suspects: DataFrame, near: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
     """h1, h2 of the lines of suspects (as for near_lines, all _many) that are near an earlier one; those of near are left out.
 
     Lines meet by key; at keys of many lines, by length and place too. Each is compared with the earliest at each of its
     keys, and if it is near none of them, with all.
     """
-    runs = suspects.select("first", F.size("w").alias("n"), F.explode(_run_places(F.col("w"))).alias("p"), "w")
-    runs = stored(runs.select("first", "n", "p", _run(F.col("w"), F.col("p")).alias("run")))
+    runs = suspects.select("first", F.size("w").alias("n"), F.explode(_kept_runs(F.col("w"), b)).alias("x"))
+    runs = stored(runs.select("first", "n", F.col("x").bitwiseAND(F.lit(_PLACE)).cast("int").alias("p"), F.shiftright("x", PLACE_BITS).alias("run")))
     old = lambda df: df.select("run", *[F.col(c).alias(f"r_{c}") for c in ("first", "n", "p")])
-    bound = F.floor(F.least("n", "r_n") / WORDS_AN_EDIT)
+    bound = F.floor(F.least("n", "r_n") / b.words_an_edit)
     shift, more = F.col("p") - F.col("r_p"), F.col("n") - F.col("r_n")
     fits = (F.col("r_first") < F.col("first")) & (F.abs(shift) <= bound) & (F.abs(more) <= bound) & (F.abs(more - shift) <= bound)
 
     def checked(pairs: DataFrame) -> DataFrame:
         earlier = suspects.select(F.col("first").alias("r_first"), F.col("w").alias("v"))
         both = pairs.select("first", "r_first").distinct().join(suspects.select("first", "h1", "h2", "w"), "first").join(earlier, "r_first")
-        return stored(both.filter(within_bound(F.col("w"), F.col("v"))).select("first", "h1", "h2").distinct())
+        return stored(both.filter(within_bound(F.col("w"), F.col("v"), b.words_an_edit)).select("first", "h1", "h2").distinct())
 
     known = suspects.join(near, ["h1", "h2"], "left_semi").select("first")
     todo = runs.join(known, "first", "left_anti")
@@ -189,9 +213,9 @@ def near_long_lines(suspects: DataFrame, near: DataFrame) -> DataFrame:
     star = checked(todo.join(met.select("run", *[F.col(f"best.{c}").alias(f"r_{c}") for c in ("first", "n", "p")]), "run").filter(fits))
     todo = stored(todo.join(star, "first", "left_anti").join(met.select("run", "lines"), "run"))
     # Levels are lengths that differ by the bound; places differ by it at most, so by one step of the level's bound.
-    grow = float(np.log(1 + 1 / WORDS_AN_EDIT))
+    grow = math.log(1 + 1 / b.words_an_edit)
     level = F.floor(F.log(F.col("n").cast("double")) / grow).cast("int")
-    cell = lambda at: F.floor(F.col("p") / (F.ceil(F.exp((at + 1) * F.lit(grow)) / WORDS_AN_EDIT) + 1)).cast("int")
+    cell = lambda at: F.floor(F.col("p") / (F.ceil(F.exp((at + 1) * F.lit(grow)) / b.words_an_edit) + 1)).cast("int")
     place = F.struct(level.alias("level"), cell(level).alias("cell"))
     near_by = F.array(*[F.struct((level + d).alias("level"), (cell(level + d) + e).alias("cell")) for d in (-1, 0, 1) for e in (-1, 0, 1)])
     some, many = todo.filter(F.col("lines") <= MANY_LINES).drop("lines"), todo.filter(F.col("lines") > MANY_LINES).drop("lines")
@@ -201,35 +225,33 @@ def near_long_lines(suspects: DataFrame, near: DataFrame) -> DataFrame:
     return star.unionByName(checked(pairs)).select("h1", "h2")
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
     """doc_id, place, flags of each distinct (doc_id, text): for every line in order "" (stays), "equal" or "near".
 
     Lines without words always stay. Rows with the same doc_id and text are one document, however often they repeat.
     """
     rows = split_lines(docs).withColumn("w", words(F.col("line")))
     w, none = F.col("w"), F.array().cast("array<bigint>")
-    ends = F.concat(F.when(_by_words(w), _ends(w)).otherwise(none), F.when(_by_chars(w), let(_chars(w), _ends)).otherwise(none))
-    runs = F.when(_many(w), F.transform(_run_places(w), lambda p: _run(w, p))).otherwise(none)
-    lines = stored(rows.select("doc_id", "place", "line_no", F.size("w").alias("n"), *_ids(w), ends.alias("ends"), runs.alias("runs")))
+    keys = [F.when(_by_words(w, b), _ends(w)).otherwise(none), F.when(_by_chars(w, b), let(_chars(w), _ends)).otherwise(none)]
+    keys.append(F.when(_many(w, b), F.transform(_kept_runs(w, b), lambda x: F.shiftright(x, PLACE_BITS))).otherwise(none))
+    lines = stored(rows.select("doc_id", "place", "line_no", F.size("w").alias("n"), *_ids(w), F.concat(*keys).alias("keys")))
     full = lines.filter("n > 0")
     firsts = stored(full.groupBy("h1", "h2").agg(F.min(_order()).alias("first")))
-    ends = lines.select("h1", F.explode("ends").alias("end"), F.lit(False).alias("by_run"))
-    ends = ends.unionByName(lines.select("h1", F.explode("runs").alias("end"), F.lit(True).alias("by_run")))
-    shared = ends.groupBy("end", "by_run").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("end", "by_run")
-    suspects = ends.join(broadcast_checked(stored(shared), BROADCAST_LINES), ["end", "by_run"]).groupBy("h1").agg(F.max("by_run").alias("by_run"), F.max(~F.col("by_run")).alias("by_end"))
-    wanted = stored(firsts.join(suspects, "h1").select("h1", "h2", "first", "by_run", "by_end"))
-    where = wanted.select("h1", "h2", "first", "by_run", "by_end", F.col("first.place").alias("w_place"), F.col("first.line_no").alias("w_line"))
+    keys = lines.select("h1", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("key")
+    suspects = keys.join(broadcast_checked(stored(shared), BROADCAST_LINES), "key").select("h1").distinct()
+    wanted = stored(firsts.join(suspects, "h1").select("h1", "h2", "first"))
+    where = wanted.select("h1", "h2", "first", F.col("first.place").alias("w_place"), F.col("first.line_no").alias("w_line"))
     found = split_lines(docs).withColumn("order", _order())
     texts = found.join(
         broadcast_checked(where, BROADCAST_LINES), (F.col("place") == F.col("w_place")) & (F.col("line_no") == F.col("w_line")) & F.col("order").eqNullSafe(F.col("first"))
     ).withColumn("w", words(F.col("line")))
-    texts = stored(texts.select("h1", "h2", "first", "w", "by_run", "by_end").dropDuplicates(["h1", "h2"]))
-    some = texts.filter("by_end")
-    # A line of MIN_WORDS words is compared both ways, as two lines; the second has another h2.
-    by_chars = some.filter(_by_chars(w)).select("h1", F.bitwise_not("h2").alias("h2"), "first", _chars(w).alias("w"))
-    near = stored(near_lines(stored(some.filter(_by_words(w)).select("h1", "h2", "first", "w").unionByName(by_chars))))
+    texts = stored(texts.select("h1", "h2", "first", "w").dropDuplicates(["h1", "h2"]))
+    # A line of min_words words is compared both ways, as two lines; the second has another h2.
+    by_chars = texts.filter(_by_chars(w, b)).select("h1", F.bitwise_not("h2").alias("h2"), "first", _chars(w).alias("w"))
+    near = stored(near_lines(stored(texts.filter(_by_words(w, b)).unionByName(by_chars))))
     near = near.unionByName(near.select("h1", F.bitwise_not("h2").alias("h2")))
-    near = near.unionByName(near_long_lines(texts.filter("by_run").select("h1", "h2", "first", "w"), near)).distinct()
+    near = near.unionByName(near_long_lines(texts.filter(_many(w, b)), near, b)).distinct()
     classes = firsts.select("h1", "h2", "first").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
     state = F.when(~_order().eqNullSafe(F.col("first")), F.lit("equal")).when(F.col("near"), F.lit("near")).otherwise(F.lit(""))
     states = full.join(classes, ["h1", "h2"]).select("doc_id", "place", "line_no", state.alias("state"))
@@ -238,34 +260,44 @@ def judged(docs: DataFrame) -> DataFrame:
     return states.unionByName(blank).groupBy("doc_id", "place").agg(listed.alias("s")).select("doc_id", "place", F.col("s.state").alias("flags"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with its own columns, text less its dropped lines, and n_lines, n_equal, n_near (lines with words; dropped ones).
-
-    A null text stays null. The columns of docs may have any names but these three.
-    """
-    flags = judged(docs).select(F.col("doc_id").alias("__id"), F.col("place").alias("__place"), F.col("flags").alias("__flags"))
+def _judged_rows(docs: DataFrame, b: Bounds) -> DataFrame:
+    """doc_id, text (less its dropped lines), the packed other columns, and n_lines, n_equal, n_near of every row of docs."""
+    rows = packed(docs, "doc_id", "text")
+    flags = judged(rows.select("doc_id", "text"), b).select(F.col("doc_id").alias("f_id"), F.col("place").alias("f_place"), "flags")
     here = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    joined = docs.join(flags, (here == F.col("__place")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    count = lambda kind: F.size(F.filter("__flags", lambda f: f == kind)).cast("long")
+    joined = rows.join(flags, (here == F.col("f_place")) & F.col("doc_id").eqNullSafe(F.col("f_id")))
+    count = lambda kind: F.size(F.filter("flags", lambda f: f == kind)).cast("long")
     lines = F.split(F.col("text"), "\n")
-    kept = F.filter(lines, lambda _, i: F.get(F.col("__flags"), i) == "")
+    kept = F.filter(lines, lambda _, i: F.get(F.col("flags"), i) == "")
     full = F.size(F.filter(lines, lambda x: F.regexp_replace(x, SPACES, "") != "")).cast("long")
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(full).cast("long")
     return joined.select(
-        *[F.array_join(kept, "\n").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(full).cast("long").alias("n_lines"),
+        *[F.col(c) for c in rows.columns if c != "text"],
+        F.array_join(kept, "\n").alias("text"),
+        n_lines.alias("n_lines"),
         count("equal").alias("n_equal"),
         count("near").alias("n_near"),
     )
 
 
+def dedup(docs: DataFrame, bounds: Bounds = BOUNDS) -> DataFrame:
+    """docs with its own columns, text less its dropped lines, and n_lines, n_equal, n_near (lines with words; dropped ones).
+
+    A null text stays null. Columns of docs may have any names; those three stand for the ones of docs with their names.
+    """
+    out = _judged_rows(docs, bounds)
+    own = [c for c in unpacked(out, docs) if c[0] not in ("n_lines", "n_equal", "n_near")]
+    return out.select(*[column.alias(name) for name, column in own], "n_lines", "n_equal", "n_near")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: every document's lines, dropped lines and a digest of what stays."""
     out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_equal", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def stage(docs: DataFrame) -> DataFrame:
+def stage(docs: DataFrame, bounds: Bounds = BOUNDS) -> DataFrame:
     """docs without their dropped lines; documents of which no word is left go, unless they had none before."""
-    out = dedup(docs)
+    out = _judged_rows(docs, bounds)
     gone = (F.col("n_lines") > 0) & (F.col("n_equal") + F.col("n_near") == F.col("n_lines"))
-    return out.filter(~gone).select(docs.columns)
+    return out.filter(~gone).select(*[column.alias(name) for name, column in unpacked(out, docs)])

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from rideledger.llm import line_dedup as ld
 
 
@@ -84,14 +86,15 @@ def distance(a, b):
     return row[-1]
 
 
-def near_any(a, b):
-    """Bounds that grow with the line; a character in lines under five words."""
+def near_any(a, b, bounds=ld.BOUNDS):
+    """Bounds that grow with the line; a character in lines under so many words."""
     n, chars = min(len(a), len(b)), (" ".join(a), " ".join(b))
-    if a == b or near(a, b):
+    if a == b:
         return True
-    if n < 5:
-        return min(map(len, chars)) >= 10 and distance(*chars) <= 1
-    return n >= 40 and distance(a, b) <= n // 20
+    if n < bounds.min_words:
+        return min(map(len, chars)) >= bounds.min_chars and abs(len(chars[0]) - len(chars[1])) < 2 and distance(*chars) <= 1
+    most = max(1, n // bounds.words_an_edit)
+    return abs(len(a) - len(b)) <= most and distance(a, b) <= most
 
 
 def edited(rnd, line, n, letters):
@@ -102,15 +105,16 @@ def edited(rnd, line, n, letters):
     return line
 
 
-def test_growing_bound(spark):
+@pytest.mark.parametrize("bounds", [ld.BOUNDS, ld.Bounds(min_words=3, min_chars=6, words_an_edit=10), ld.Bounds(words_an_edit=10_000)])
+def test_growing_bound(spark, bounds):
     rnd = random.Random(5)
     few, many = "ab", [f"w{i}" for i in range(300)]
     lines = []
-    for n in (38, 39, 40, 41, 59, 60, 61, 83, 120, 200):
+    for n in (2, 3, 4, 5, 6, 19, 20, 21, 38, 39, 40, 41, 59, 60, 61, 83, 120, 200):
         for words_ in (few, many):
             for _ in range(3):
                 base = [rnd.choice(words_) for _ in range(n)]
-                lines += [base] + [edited(rnd, base, e, words_) for e in (1, 2, 2, 3, 4, n // 20, n // 20 + 1)]
+                lines += [base] + [edited(rnd, base, e, words_) for e in (1, 2, 2, 3, 4, n // 20, n // 20 + 1, n // 10)]
     passage = [f"p{i}" for i in range(30)]  # in many lines that have nothing else in common
     lines += [passage + [rnd.choice(many) for _ in range(20)] for _ in range(40)]
     for base in ("All rights reserved", "Read more here now", "Subscribe today", "terms", "impressions", "Click the red link"):
@@ -118,10 +122,18 @@ def test_growing_bound(spark):
     rnd.shuffle(lines)
     lines = [x for x in lines if x]
     df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
-    got = {r.doc_id: r.n_equal + r.n_near for r in ld.dedup(df).collect()}
-    want = {i: int(any(near_any(tuple(x), tuple(y)) for y in lines[:i])) for i, x in enumerate(lines)}
-    old = {i: int(any(near(tuple(x), tuple(y)) for y in lines[:i])) for i, x in enumerate(lines)}
-    assert got == want and sum(want.values()) > sum(old.values()) + 50
+    got = {r.doc_id: r.n_equal + r.n_near for r in ld.dedup(df, bounds).collect()}
+    want = {i: int(any(near_any(tuple(x), tuple(y), bounds) for y in lines[:i])) for i, x in enumerate(lines)}
+    assert got == want and 50 < sum(want.values()) < len(lines) - 50
+
+
+def test_clashing_names(spark):
+    names = ["n_lines", "n_near", "flags", "f_place", "h1", "key", "w", "place", "first", "line", "a.b", "__row", "doc_id", "text"]
+    rows = [(*range(12), i, text) for i, text in enumerate(["one line of plain text", "one line of plain text\nand something else", None])]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` {'string' if n == 'text' else 'long'}" for n in names))
+    assert [tuple(r) for r in ld.stage(df).orderBy("doc_id").collect()] == [rows[0], (*range(12), 1, "and something else"), rows[2]]
+    out = ld.dedup(df)
+    assert out.columns == [*[n for n in names if n not in ("n_lines", "n_near")], "n_lines", "n_equal", "n_near"] and out.count() == 3
 
 
 def test_two_words_and_one_letter(spark):
