@@ -53,7 +53,7 @@ class Bounds:
 
 BOUNDS = Bounds()
 #: Lines at a key above which they also have to meet by length and place.
-MANY_LINES = 100
+MANY_LINES = 10
 #: Bits for a word's place within its line.
 PLACE_BITS = 24
 #: Suspect lines, or hashes that two lines share, up to this number are broadcast (50 bytes each); above it, a shuffled join.
@@ -173,56 +173,76 @@ def near_lines(suspects: DataFrame) -> DataFrame:
 
 
 def within_bound(a: Column, b: Column, words_an_edit: int) -> Column:
-    """Whether a and b, of at least two edits' words, are near: the edit distance of texts with a character a word."""
-    def text(w: Column, number) -> Column:
-        """Numbers under 2 ** 20 as characters beyond the basic plane."""
-        codes = F.transform(w, lambda x: F.lpad(F.hex(F.lit(1 << 16) + number(x)), 8, "0"))
-        return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
-
-    hashed = lambda x: F.pmod(F.xxhash64(x), F.lit(1 << 20))
-    every = F.array_distinct(F.concat(a, b))
-    listed = lambda x: F.array_position(every, x)
+    """Whether a and b, of at least two edits' words, are near."""
     bound = F.floor(F.least(F.size(a), F.size(b)) / words_an_edit).cast("int")
-    far = lambda number: F.call_function("levenshtein", text(a, number), text(b, number), bound) < 0
-    alone = F.size(F.array_distinct(F.transform(every, hashed))) == F.size(every)
-    # Words that share a hash can only bring lines nearer.
-    return F.when(far(hashed), F.lit(False)).when(alone, F.lit(True)).otherwise(~far(listed))
+    coded = lambda w: F.array_join(F.transform(w, lambda x: F.chr(F.pmod(F.xxhash64(x), F.lit(255)) + 1)), "")
+    far = lambda x, y: F.call_function("levenshtein", x, y, bound) < 0
+    differ = F.size(F.filter(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda same: ~same))
 
+    def exact(every: Column) -> Column:
+        """By the edit distance of texts with a character beyond the basic plane for each distinct word."""
+        code = lambda x: F.lpad(F.hex(F.lit(1 << 16) + F.array_position(every, x)), 8, "0")
+        text = lambda w: F.decode(F.unhex(F.array_join(F.transform(w, code), "")), "UTF-32")
+        return ~far(text(a), text(b))
 
-def near_long_lines(suspects: DataFrame, near: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
-    """h1, h2 of the lines of suspects (as for near_lines, all _many) that are near an earlier one; those of near are left out.
+    # A character for each word's hash can only bring lines nearer; words all in their places need no distance.
+    return F.when(far(coded(a), coded(b)), F.lit(False)).when(differ <= bound, F.lit(True)).otherwise(let(F.array_distinct(F.concat(a, b)), exact))
 
-    Lines meet by key; at keys of many lines, by length and place too. Each is compared with the earliest at each of its
-    keys, and if it is near none of them, with all.
+
+def _bag(w: Column) -> Column:
+    """For each of 64 kinds of words, by their hashes, whether their number is odd. An edit changes two of these bits at most."""
+    kind = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.lit(3), x), F.lit(64)).cast("int"))
+    return F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(kind(x)))
+
+
+#: By how many of their lowest keys lines are first compared with the earliest one.
+FEW_KEYS = 2
+
+
+def near_long_lines(suspects: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
+    """h1, h2 of the lines of suspects (as for near_lines, all _many) that are near an earlier one.
+
+    Lines meet by key; at keys of many lines, by length and place too. Each is compared with the earliest at its lowest
+    keys, and if it is near none of them, with all at all its keys. Only what length, place and bag of words allow is
+    compared word by word.
     """
-    runs = suspects.select("first", F.size("w").alias("n"), F.explode(_kept_runs(F.col("w"), b)).alias("x"))
-    runs = stored(runs.select("first", "n", F.col("x").bitwiseAND(F.lit(_PLACE)).cast("int").alias("p"), F.shiftright("x", PLACE_BITS).alias("run")))
-    old = lambda df: df.select("run", *[F.col(c).alias(f"r_{c}") for c in ("first", "n", "p")])
+    w = F.col("w")
+    lines = stored(suspects.select("h1", "h2", "first", F.size("w").alias("n"), _bag(w).alias("bag"), _kept_runs(w, b).alias("runs")))
+
+    def keys(df: DataFrame, runs: Column) -> DataFrame:
+        df = df.select("h1", "h2", "first", "n", "bag", F.explode(runs).alias("x"))
+        return df.select(F.shiftright("x", PLACE_BITS).alias("run"), "first", "h1", "h2", "n", F.col("x").bitwiseAND(F.lit(_PLACE)).cast("int").alias("p"), "bag")
+
+    fields = ("first", "h1", "h2", "n", "p", "bag")
     bound = F.floor(F.least("n", "r_n") / b.words_an_edit)
     shift, more = F.col("p") - F.col("r_p"), F.col("n") - F.col("r_n")
     fits = (F.col("r_first") < F.col("first")) & (F.abs(shift) <= bound) & (F.abs(more) <= bound) & (F.abs(more - shift) <= bound)
+    alike = F.bit_count(F.col("bag").bitwiseXOR(F.col("r_bag"))) <= 2 * bound
 
     def checked(pairs: DataFrame) -> DataFrame:
-        earlier = suspects.select(F.col("first").alias("r_first"), F.col("w").alias("v"))
-        both = pairs.select("first", "r_first").distinct().join(suspects.select("first", "h1", "h2", "w"), "first").join(earlier, "r_first")
-        return stored(both.filter(within_bound(F.col("w"), F.col("v"), b.words_an_edit)).select("first", "h1", "h2").distinct())
-
-    known = suspects.join(near, ["h1", "h2"], "left_semi").select("first")
-    todo = runs.join(known, "first", "left_anti")
-    met = stored(runs.groupBy("run").agg(F.count("*").alias("lines"), F.min(F.struct("first", "n", "p")).alias("best")).filter("lines > 1"))
-    star = checked(todo.join(met.select("run", *[F.col(f"best.{c}").alias(f"r_{c}") for c in ("first", "n", "p")]), "run").filter(fits))
-    todo = stored(todo.join(star, "first", "left_anti").join(met.select("run", "lines"), "run"))
+        pairs = pairs.filter(fits).filter(alike).select("h1", "h2", "r_h1", "r_h2").distinct()
+        earlier = suspects.select(F.col("h1").alias("r_h1"), F.col("h2").alias("r_h2"), F.col("w").alias("v"))
+        both = pairs.join(suspects.select("h1", "h2", "w"), ["h1", "h2"]).join(earlier, ["r_h1", "r_h2"])
+        return stored(both.filter(within_bound(F.col("w"), F.col("v"), b.words_an_edit)).select("h1", "h2").distinct())
+
+    few = keys(lines, F.slice("runs", 1, FEW_KEYS))
+    best = few.groupBy("run").agg(F.count("*").alias("lines"), F.min(F.struct(*fields)).alias("best")).filter("lines > 1")
+    star = checked(few.join(best.select("run", *[F.col(f"best.{c}").alias(f"r_{c}") for c in fields]), "run"))
+    todo = keys(lines.join(broadcast_checked(star, BROADCAST_LINES), ["h1", "h2"], "left_anti"), F.col("runs"))
+    every = keys(lines, F.col("runs"))
+    often = stored(every.groupBy("run").count().filter(F.col("count") > MANY_LINES).select("run", F.lit(True).alias("often")))
     # Levels are lengths that differ by the bound; places differ by it at most, so by one step of the level's bound.
     grow = math.log(1 + 1 / b.words_an_edit)
     level = F.floor(F.log(F.col("n").cast("double")) / grow).cast("int")
     cell = lambda at: F.floor(F.col("p") / (F.ceil(F.exp((at + 1) * F.lit(grow)) / b.words_an_edit) + 1)).cast("int")
-    place = F.struct(level.alias("level"), cell(level).alias("cell"))
-    near_by = F.array(*[F.struct((level + d).alias("level"), (cell(level + d) + e).alias("cell")) for d in (-1, 0, 1) for e in (-1, 0, 1)])
-    some, many = todo.filter(F.col("lines") <= MANY_LINES).drop("lines"), todo.filter(F.col("lines") > MANY_LINES).drop("lines")
-    often = old(runs).select("*", F.expr("r_n AS n"), F.expr("r_p AS p")).withColumn("at", place).drop("n", "p")
-    pairs = some.join(old(runs), "run").filter(fits).select("first", "r_first")
-    pairs = pairs.unionByName(many.withColumn("at", F.explode(near_by)).join(often, ["run", "at"]).filter(fits).select("first", "r_first"))
-    return star.unionByName(checked(pairs)).select("h1", "h2")
+    place = lambda d, e: F.struct((level + d).alias("level"), (cell(level + d) + e).alias("cell"))
+    nowhere = F.struct(F.lit(0).alias("level"), F.lit(0).alias("cell"))
+    marked = lambda df: df.join(broadcast_checked(often, BROADCAST_LINES), "run", "left")
+    asks = F.when(F.col("often"), F.array(*[place(d, e) for d in (-1, 0, 1) for e in (-1, 0, 1)])).otherwise(F.array(nowhere))
+    asked = marked(todo).withColumn("at", F.explode(asks)).drop("often")
+    there = marked(every).withColumn("at", F.when(F.col("often"), place(0, 0)).otherwise(nowhere)).drop("often")
+    there = there.select("run", "at", *[F.col(c).alias(f"r_{c}") for c in fields])
+    return star.unionByName(checked(asked.join(there, ["run", "at"])))
 
 
 def judged(docs: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
@@ -251,7 +271,7 @@ def judged(docs: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
     by_chars = texts.filter(_by_chars(w, b)).select("h1", F.bitwise_not("h2").alias("h2"), "first", _chars(w).alias("w"))
     near = stored(near_lines(stored(texts.filter(_by_words(w, b)).unionByName(by_chars))))
     near = near.unionByName(near.select("h1", F.bitwise_not("h2").alias("h2")))
-    near = near.unionByName(near_long_lines(texts.filter(_many(w, b)), near, b)).distinct()
+    near = near.unionByName(near_long_lines(texts.filter(_many(w, b)), b)).distinct()
     classes = firsts.select("h1", "h2", "first").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
     state = F.when(~_order().eqNullSafe(F.col("first")), F.lit("equal")).when(F.col("near"), F.lit("near")).otherwise(F.lit(""))
     states = full.join(classes, ["h1", "h2"]).select("doc_id", "place", "line_no", state.alias("state"))
