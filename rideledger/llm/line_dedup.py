@@ -16,9 +16,11 @@ own length or the length below, with another line is near none. Lines of few wor
 characters.
 
 With more edits a line would have a variant for every choice of words left out. What all these variants keep stands for
-them: runs of `run` words. A line's runs are taken in the order of their hashes until more of them lie apart than the
-line may have edits; every variant then keeps one of these, so of two near lines the one whose last run comes first in
-that order has one that is among the other's too, at a place that differs by the bound at most. Those runs are the keys.
+them. Lines are cut into segments after words that end in certain letters, so that an edit touches two segments at most.
+Of a line that may have k edits the 2k + 1 first segments in one order of all segments, longest first, are the keys:
+one of them stays whole, so of two near lines the one whose last key comes first has one that is among the other's too.
+Lines of few segments (3k at most, as near lines of 2k then have) also have keys of runs of `run` words, in the order of
+their hashes, until more of them lie apart than the line may have edits.
 """
 
 from __future__ import annotations
@@ -54,8 +56,10 @@ class Bounds:
 BOUNDS = Bounds()
 #: Lines at a key above which they also have to meet by length and place.
 MANY_LINES = 10
-#: Bits for a word's place within its line.
-PLACE_BITS = 24
+#: Where lines are cut: after words that end so. About a quarter of words; with fewer cuts lines go by runs.
+_CUT = r"(?<=[dntoDNTO.]) "
+#: Bits of a key for its place within its line, for a segment's length, and for the hash.
+PLACE_BITS, LENGTH_BITS = 15, 8
 #: Suspect lines, or hashes that two lines share, up to this number are broadcast (50 bytes each); above it, a shuffled join.
 BROADCAST_LINES = 1_000_000
 
@@ -102,31 +106,66 @@ def _many(w: Column, b: Bounds) -> Column:
 
 
 _PLACE = (1 << PLACE_BITS) - 1
+_HASH = (1 << (63 - PLACE_BITS - LENGTH_BITS)) - 1
 
 
-def _kept_runs(w: Column, b: Bounds) -> Column:
-    """The runs that are a line's keys, each as its hash with its place (from 1) in the lowest bits."""
-    at = lambda x: x.bitwiseAND(F.lit(_PLACE))
-    hash_ = lambda x: F.shiftright(x, PLACE_BITS)
-    gram = lambda h, i: F.shiftleft(F.xxhash64(F.slice(h, i, b.run)), PLACE_BITS).bitwiseOR(i.cast("long"))
+def _edits(w: Column, b: Bounds) -> Column:
+    return F.floor(F.size(w) / b.words_an_edit).cast("int")
+
+
+def _placed(rank: Column, hash_: Column, i: Column) -> Column:
+    """Rank (the lower the earlier), some bits of a hash, and a place (those beyond the bits' range at its end) as one long."""
+    high = F.shiftleft(rank.cast("long"), 63 - LENGTH_BITS).bitwiseOR(F.shiftleft(hash_.bitwiseAND(F.lit(_HASH)), PLACE_BITS))
+    return high.bitwiseOR(F.least(i, F.lit(_PLACE)).cast("long"))
+
+
+def _key_of(x: Column) -> Column:
+    return F.shiftright(x, PLACE_BITS)
+
+
+def _place_of(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(_PLACE)).cast("int")
+
+
+def _segments(w: Column) -> Column:
+    """A line's segments in their order, each as one long."""
+    longest = (1 << LENGTH_BITS) - 2
+    one = lambda x, i: _placed(F.lit(longest) - F.least(F.length(x), F.lit(longest)), F.xxhash64(x), i)
+    return F.sort_array(F.transform(F.split(F.array_join(w, " "), _CUT), one))
+
+
+def _runs(w: Column, b: Bounds) -> Column:
+    """Of a line's runs of words, as longs in their order, those that its edits can't all touch. Their rank is below that of segments."""
+    last_rank = (1 << LENGTH_BITS) - 1
+    gram = lambda h, i: _placed(F.lit(last_rank), F.xxhash64(F.slice(h, i, b.run)), i)
     all_runs = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (b.run - 1)), lambda i: gram(h, i))
-    bound = F.floor(F.size(w) / b.words_an_edit).cast("int")
+    bound = _edits(w, b)
 
     def apart(runs: Column) -> Column:
         """The first runs that lie apart, one more than the line may have edits, of the few first runs."""
-        add = lambda seen, x: F.when(
-            (F.size(seen) > bound) | F.exists(seen, lambda y: F.abs(at(x) - at(y)) < b.run), seen
-        ).otherwise(F.concat(seen, F.array(x)))
+        close = lambda x, y: F.abs(_place_of(x) - _place_of(y)) < b.run
+        add = lambda seen, x: F.when((F.size(seen) > bound) | F.exists(seen, lambda y: close(x, y)), seen).otherwise(F.concat(seen, F.array(x)))
         return F.aggregate(F.slice(runs, F.lit(1), 6 * (bound + 1)), F.array().cast("array<bigint>"), add)
 
     def kept(runs: Column) -> Column:
         # Where the few first runs don't hold enough that lie apart, all runs are keys.
-        upto = lambda seen: F.when(F.size(seen) > bound, hash_(F.element_at(seen, -1))).otherwise(F.lit(2**63 - 1))
-        return let(upto(apart(runs)), lambda last: F.filter(runs, lambda x: hash_(x) <= last))
+        upto = lambda seen: F.when(F.size(seen) > bound, _key_of(F.element_at(seen, -1))).otherwise(F.lit(2**63 - 1))
+        return let(upto(apart(runs)), lambda last: F.filter(runs, lambda x: _key_of(x) <= last))
 
     return let(F.sort_array(let(F.transform(w, lambda x: F.xxhash64(x)), all_runs)), kept)
 
 
+def _long_keys(w: Column, b: Bounds) -> Column:
+    """The keys of a line that may have more edits than one, each with its place, as longs."""
+    bound = _edits(w, b)
+
+    def keys(segments: Column) -> Column:
+        first = F.slice(segments, F.lit(1), 2 * bound + 1)
+        return F.when(F.size(segments) <= 3 * bound, F.concat(first, _runs(w, b))).otherwise(first)
+
+    return let(_segments(w), keys)
+
+
 def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place", "line_no")
 
@@ -177,7 +216,7 @@ def within_bound(a: Column, b: Column, words_an_edit: int) -> Column:
     bound = F.floor(F.least(F.size(a), F.size(b)) / words_an_edit).cast("int")
     coded = lambda w: F.array_join(F.transform(w, lambda x: F.chr(F.pmod(F.xxhash64(x), F.lit(255)) + 1)), "")
     far = lambda x, y: F.call_function("levenshtein", x, y, bound) < 0
-    differ = F.size(F.filter(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda same: ~same))
+    differ = lambda: F.size(F.filter(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda same: ~same))
 
     def exact(every: Column) -> Column:
         """By the edit distance of texts with a character beyond the basic plane for each distinct word."""
@@ -185,8 +224,10 @@ def within_bound(a: Column, b: Column, words_an_edit: int) -> Column:
         text = lambda w: F.decode(F.unhex(F.array_join(F.transform(w, code), "")), "UTF-32")
         return ~far(text(a), text(b))
 
-    # A character for each word's hash can only bring lines nearer; words all in their places need no distance.
-    return F.when(far(coded(a), coded(b)), F.lit(False)).when(differ <= bound, F.lit(True)).otherwise(let(F.array_distinct(F.concat(a, b)), exact))
+    # The cheap tests first: new words, words in their places, and a distance of hashes, which can only be too low.
+    new = F.greatest(F.size(F.array_except(a, b)), F.size(F.array_except(b, a)))
+    out = F.when(new > bound, F.lit(False)).when((F.size(a) == F.size(b)) & (differ() <= bound), F.lit(True))
+    return out.when(far(coded(a), coded(b)), F.lit(False)).otherwise(let(F.array_distinct(F.concat(a, b)), exact))
 
 
 def _bag(w: Column) -> Column:
@@ -207,16 +248,17 @@ def near_long_lines(suspects: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
     compared word by word.
     """
     w = F.col("w")
-    lines = stored(suspects.select("h1", "h2", "first", F.size("w").alias("n"), _bag(w).alias("bag"), _kept_runs(w, b).alias("runs")))
+    lines = stored(suspects.select("h1", "h2", "first", F.size("w").alias("n"), _bag(w).alias("bag"), _long_keys(w, b).alias("runs")))
 
     def keys(df: DataFrame, runs: Column) -> DataFrame:
         df = df.select("h1", "h2", "first", "n", "bag", F.explode(runs).alias("x"))
-        return df.select(F.shiftright("x", PLACE_BITS).alias("run"), "first", "h1", "h2", "n", F.col("x").bitwiseAND(F.lit(_PLACE)).cast("int").alias("p"), "bag")
+        return df.select(_key_of(F.col("x")).alias("run"), "first", "h1", "h2", "n", _place_of(F.col("x")).alias("p"), "bag")
 
     fields = ("first", "h1", "h2", "n", "p", "bag")
     bound = F.floor(F.least("n", "r_n") / b.words_an_edit)
+    # An edit adds or takes one word and one segment at most.
     shift, more = F.col("p") - F.col("r_p"), F.col("n") - F.col("r_n")
-    fits = (F.col("r_first") < F.col("first")) & (F.abs(shift) <= bound) & (F.abs(more) <= bound) & (F.abs(more - shift) <= bound)
+    fits = (F.col("r_first") < F.col("first")) & (F.abs(shift) <= bound) & (F.abs(more) <= bound)
     alike = F.bit_count(F.col("bag").bitwiseXOR(F.col("r_bag"))) <= 2 * bound
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -253,7 +295,7 @@ def judged(docs: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
     rows = split_lines(docs).withColumn("w", words(F.col("line")))
     w, none = F.col("w"), F.array().cast("array<bigint>")
     keys = [F.when(_by_words(w, b), _ends(w)).otherwise(none), F.when(_by_chars(w, b), let(_chars(w), _ends)).otherwise(none)]
-    keys.append(F.when(_many(w, b), F.transform(_kept_runs(w, b), lambda x: F.shiftright(x, PLACE_BITS))).otherwise(none))
+    keys.append(F.when(_many(w, b), F.transform(_long_keys(w, b), lambda x: F.xxhash64(F.lit(2), _key_of(x)))).otherwise(none))
     lines = stored(rows.select("doc_id", "place", "line_no", F.size("w").alias("n"), *_ids(w), F.concat(*keys).alias("keys")))
     full = lines.filter("n > 0")
     firsts = stored(full.groupBy("h1", "h2").agg(F.min(_order()).alias("first")))

@@ -108,7 +108,7 @@ def edited(rnd, line, n, letters):
 @pytest.mark.parametrize("bounds", [ld.BOUNDS, ld.Bounds(min_words=3, min_chars=6, words_an_edit=10), ld.Bounds(words_an_edit=10_000)])
 def test_growing_bound(spark, bounds):
     rnd = random.Random(5)
-    few, many = "ab", [f"w{i}" for i in range(300)]
+    few, many = ["a", "bad"], [f"w{i}{end}" for i, end in enumerate("deoixt" * 50)]
     lines = []
     for n in (2, 3, 4, 5, 6, 19, 20, 21, 38, 39, 40, 41, 59, 60, 61, 83, 120, 200):
         for words_ in (few, many):
