@@ -28,14 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text in order; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
 def n_words(text: Column) -> Column:
-    """How many words a text has, as a long, without building the list twice."""
-    pieces = F.split(F.coalesce(text, F.lit("")), SPACES)
-    # Only the first and the last piece can be empty, when the text begins or ends with white space.
-    return F.size(F.filter(pieces, lambda w: w != "")).cast("long")
+    """How many words a text has, as a long."""
+    return F.size(words(text)).cast("long")
 
 
 def let(value: Column, body) -> Column:

@@ -17,8 +17,8 @@ characters.
 
 With more edits a line would have a variant for every choice of words left out. What all these variants keep stands for
 them. Lines are cut into segments after words that end in certain letters, so that an edit touches two segments at most.
-Of a line that may have k edits the 2k + 1 first segments in one order of all segments, longest first, are the keys:
-one of them stays whole, so of two near lines the one whose last key comes first has one that is among the other's too.
+Of a line that may have k edits the first segments in one order of all segments, longest first, are the keys: so many
+that k + 1 of them are no neighbours, or 2k + 1. One of them stays whole, so of two near lines the one whose last key comes first has one that is among the other's too.
 Lines of few segments (3k at most, as near lines of 2k then have) also have keys of runs of `run` words, in the order of
 their hashes, until more of them lie apart than the line may have edits.
 """
@@ -159,8 +159,17 @@ def _long_keys(w: Column, b: Bounds) -> Column:
     """The keys of a line that may have more edits than one, each with its place, as longs."""
     bound = _edits(w, b)
 
+    # Of segments that are no neighbours an edit touches one at most, so bound + 1 of these do as well as 2 * bound + 1.
+    near_by = lambda x, y: F.abs(_place_of(x) - _place_of(y)) < 2
+    add = lambda seen, x: F.when((F.size(seen) > bound) | F.exists(seen, lambda y: near_by(x, y)), seen).otherwise(F.concat(seen, F.array(x)))
+    upto = lambda seen: F.when(F.size(seen) > bound, _key_of(F.element_at(seen, -1))).otherwise(F.lit(2**63 - 1))
+
+    def few(first: Column) -> Column:
+        last = upto(F.aggregate(first, F.array().cast("array<bigint>"), add))
+        return let(last, lambda x: F.filter(first, lambda y: _key_of(y) <= x))
+
     def keys(segments: Column) -> Column:
-        first = F.slice(segments, F.lit(1), 2 * bound + 1)
+        first = let(F.slice(segments, F.lit(1), 2 * bound + 1), few)
         return F.when(F.size(segments) <= 3 * bound, F.concat(first, _runs(w, b))).otherwise(first)
 
     return let(_segments(w), keys)
@@ -327,7 +336,8 @@ def _judged_rows(docs: DataFrame, b: Bounds) -> DataFrame:
     rows = packed(docs, "doc_id", "text")
     flags = judged(rows.select("doc_id", "text"), b).select(F.col("doc_id").alias("f_id"), F.col("place").alias("f_place"), "flags")
     here = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    joined = rows.join(flags, (here == F.col("f_place")) & F.col("doc_id").eqNullSafe(F.col("f_id")))
+    # Hashing the short flags spares a sort of the texts.
+    joined = rows.join(flags.hint("shuffle_hash"), (here == F.col("f_place")) & F.col("doc_id").eqNullSafe(F.col("f_id")))
     count = lambda kind: F.size(F.filter("flags", lambda f: f == kind)).cast("long")
     lines = F.split(F.col("text"), "\n")
     kept = F.filter(lines, lambda _, i: F.get(F.col("flags"), i) == "")
