@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rideledger.llm.common import broadcast_checked, checkpoint, n_words, table
+from rideledger.llm.common import broadcast_checked, checkpoint, n_words, packed, table, unpacked
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -24,9 +24,10 @@ RANGE_ROWS = 4096
 BROADCAST_SOURCES = 10_000
 
 
-def random_key(doc_id: Column, seed: str = SEED) -> Column:
-    """A hash of the document id as fixed-width hex text, so that text order is the random order."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def random_key(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A hash of the document id (of the text where it has none) as fixed-width hex, so that text order is the random order."""
+    none = F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), none)))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -58,6 +59,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     ).drop("ceiling", "fills_at", "rank", "level", "full", "final")
 
 
+#: A row's part, rounded down, of what a key takes: in whole numbers, as doubles and quotients of decimals would round.
+_PART = "(cast({0} as decimal(19,0)) * cast({1} as decimal(19,0))) div cast({2} as decimal(38,0))"
+
+
 def _ranges(key: Column, n: Column) -> Column:
     """Which of n equal ranges of the hash space a hex key lies in."""
     return F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * n).cast("long")
@@ -70,11 +75,12 @@ def plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: s
     target, epochs, rest, cut_key, cut_before, cut_size: rows with a key below cut_key are taken in the last pass,
     those at cut_key share what is left of rest after cut_before.
 
-    Rows of a source with the same doc_id have the same key and share a cut in proportion to their sizes, rounded
-    down. Null texts have size 0; a null source is a source; no rows give no rows.
+    Rows of a source with the same doc_id (or without one, and with the same text) have the same key and share a cut in
+    proportion to their sizes, rounded down. Null texts have size 0; a null source is a source; no rows give no rows.
+    Documents may be any number, sources as many as one task sorts: their targets depend on each other.
     """
     slim = checkpoint(
-        docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("key", random_key(F.col("doc_id"), seed))
+        docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), random_key(F.col("doc_id"), F.col("text"), seed).alias("key"))
     )
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     shares = checkpoint(
@@ -107,9 +113,8 @@ def plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: s
         .withColumn("before", F.col("start") + F.col("upto") - F.col("at_key"))
     )
     share = F.least(F.greatest(F.col("rest") - F.col("before"), F.lit(0)), F.col("at_key"))
-    last = F.when(F.col("at_key") == 0, F.lit(0)).otherwise(
-        F.floor(share.cast("decimal(38,0)") * F.col("size") / F.col("at_key"))
-    )
+    sums = sums.withColumn("share", share)
+    last = F.when(F.col("at_key") == 0, F.lit(0)).otherwise(F.expr(_PART.format("share", "size", "at_key")))
     rows = sums.select(
         "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"), "key", "before", "at_key", "rest"
     )
@@ -125,43 +130,34 @@ def plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: s
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mixed corpus: docs with its own columns, each row as often as its source's passes take it.
 
-    The document at which a budget ends is cut after its last word within the budget. Texts are never shuffled:
-    each row is compared with its source's cut where it is read.
+    The document at which a budget ends is cut after its last word within the budget, so that a source has just the
+    words that plan() says. Rows without words add nothing to a budget and are left out, null texts among them. Texts are
+    never shuffled: each row is compared with its source's cut where it is read. Columns may have any names.
     """
-    _, sources = plan(docs, weights, max_epochs, seed)
-    names = docs.columns
-    keyed = docs.select(*[F.col(f"`{c}`") for c in names], random_key(F.col("doc_id"), seed).alias("__key"))
+    _, sources = plan(docs.select("doc_id", "source", "text"), weights, max_epochs, seed)
     cut = broadcast_checked(checkpoint(sources), BROADCAST_SOURCES)
-    joined = keyed.alias("d").join(
-        cut.select(F.col("source").alias("__source"), F.struct("epochs", "rest", "cut_key", "cut_before", "cut_size").alias("__cut")),
-        F.col("d.source").eqNullSafe(F.col("__source")),
-    )
-    c = F.col("__cut")
+    rows = packed(docs, "doc_id", "source", "text").withColumn("key", random_key(F.col("doc_id"), F.col("text"), seed))
+    rows = rows.withColumn("size", n_words(F.col("text"))).filter("size > 0").alias("d")
+    joined = rows.join(
+        cut.select(F.col("source").alias("c_source"), "epochs", F.col("rest").alias("c_rest"), "cut_key", "cut_before", "cut_size"),
+        F.col("d.source").eqNullSafe(F.col("c_source")),
+    ).drop("c_source")
+    # Words of the last pass: none, all, or the row's part of what is left at the cut.
     last = (
-        F.when((c["rest"] <= 0) | c["cut_key"].isNull() | (F.col("__key") > c["cut_key"]), F.lit(0.0))
-        .when(F.col("__key") < c["cut_key"], F.lit(1.0))
-        .otherwise((c["rest"] - c["cut_before"]) / c["cut_size"])
+        F.when((F.col("c_rest") <= 0) | F.col("cut_key").isNull() | (F.col("key") > F.col("cut_key")), F.lit(0))
+        .when(F.col("key") < F.col("cut_key"), F.col("size"))
+        .otherwise(F.expr(_PART.format("least(c_rest - cut_before, cut_size)", "size", "cut_size")))
     )
+    joined = joined.withColumn("last", last.cast("int"))
     # A word with the white space after it; white space before the first word goes with that word.
     pieces = F.split(F.col("text"), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), F.lit(1)).otherwise(F.lit(0))
-    n = F.floor(F.col("__last") * n_words(F.col("text"))).cast("int")
-    whole, part = F.lit(None).cast("int"), F.lit(-1)
-    copies = F.when(F.col("__last") >= 1.0, F.array_repeat(whole, (c["epochs"] + 1).cast("int"))).otherwise(
-        F.concat(
-            F.array_repeat(whole, c["epochs"].cast("int")),
-            F.when((F.col("__last") > 0) & (n > 0), F.array(n)).otherwise(F.array().cast("array<int>")),
-        )
-    )
-    text = F.when(F.col("__words").isNull(), F.col("text")).otherwise(
-        F.rtrim(F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.col("__words") + lead, part + 2)), ""))
-    )
-    return (
-        joined.withColumn("__last", last)
-        .filter(n_words(F.col("text")) > 0)
-        .withColumn("__words", F.explode(copies))
-        .select(*[text.alias(x) if x == "text" else F.col(f"d.`{x}`") for x in names])
-    )
+    passes = F.array_repeat(F.lit(None).cast("int"), F.col("epochs").cast("int"))
+    whole = F.array_repeat(F.lit(None).cast("int"), F.col("epochs").cast("int") + 1)
+    copies = F.when(F.col("last") == F.col("size"), whole).when(F.col("last") > 0, F.concat(passes, F.array("last"))).otherwise(passes)
+    text = F.when(F.col("n_taken").isNull(), F.col("text")).otherwise(F.rtrim(F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.col("n_taken") + lead, F.lit(1))), "")))
+    out = joined.withColumn("n_taken", F.explode(copies)).withColumn("cut_text", text)
+    return out.select(*[(F.col("cut_text") if name == "text" else column).alias(name) for name, column in unpacked(out, docs)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +170,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = rf"""
 WITH slim AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+         md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS key
   FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM slim GROUP BY source),
 ranked AS (

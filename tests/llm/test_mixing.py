@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rideledger.llm import mixing
 
@@ -42,7 +43,21 @@ def test_targets_and_cuts(spark, seed):
     assert sorted(map(tuple, mixing.plan(docs.repartition(7))[0].collect()), key=repr) == sorted(map(tuple, got), key=repr)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
-    assert sum(len(r.text.split()) for r in mixed.collect()) == sum(r.taken for r in got)
+    for n in order:
+        assert sum(len(r.text.split()) for r in mixed.collect() if r.source == n) == sum(r.taken for r in got if r.source == n)
+
+
+def test_cuts_are_exact(spark):
+    """Many sources of one seed each: the mix has just the words that the plan takes, source by source."""
+    rnd = random.Random(7)
+    names = [f"s{i:03}" for i in range(300)]
+    rows = [(i, "w " * rnd.randint(1, 700), rnd.choice(names)) for i in range(1500)]
+    docs = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, source string, __key long, last int")
+    taken = {r.source: r.n for r in mixing.plan(docs)[0].groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    words = F.size(F.split(F.trim("text"), " "))
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(words).alias("n")).collect()} == {k: v for k, v in taken.items() if v}
 
 
 def test_empty(spark):
