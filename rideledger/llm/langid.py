@@ -4,13 +4,16 @@ Features are hashed n-grams of 1 to ORDERS letters inside words, word ends inclu
 shares of all its n-grams. Weights are learnt by follow-the-regularised-leader with an elastic net, which leaves most
 of them 0, and the probabilities are then calibrated by one temperature on documents that the weights have not seen.
 
-The model is fitted on a bounded sample (PER_LANG documents a language) in one task; it is a table of weights, so each
-task that scores adds up the rows of its texts' n-grams. Scoring reads every text once, with no shuffle.
+Document frequencies are counted over all training rows. The weights are fitted on a bounded sample (PER_LANG documents
+a language, fewer where there are very many languages) in one task; the model is a table of weights, so each task that
+scores adds up the rows of its texts' n-grams. Scoring reads every text once, with no shuffle; long texts go through in
+pieces that end at white space, which leaves their n-grams as they are.
 """
 
 from __future__ import annotations
 
 import io
+import re
 import sys
 
 import numpy as np
@@ -20,19 +23,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rideledger.llm.bpe import slices
-from rideledger.llm.common import held_out, table
+from rideledger.llm.common import held_out, result_schema, table
 
 ORDERS = 4
 BITS = 15
 #: About as many documents of each language are sampled for fitting, by a hash of id and text.
 PER_LANG = 500
-#: Languages learnt at most: the most frequent ones.
-MAX_LANGS = 250
+#: Documents that the fit takes at most in all, and at least of each language.
+MAX_SAMPLE, MIN_PER_LANG = 20_000, 20
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
 #: Term frequencies are shares below a hundredth; this brings inputs near 1.
 SCALE = 30.0
 SLICE_BYTES = 400_000
+#: Characters of a text that are worked on at once.
+PIECE_CHARS = 200_000
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
 UNKNOWN = "und"
 _LETTERS: list[np.ndarray] = []
 
@@ -51,6 +57,20 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return joined, np.concatenate([[0], np.cumsum([len(t) + 2 for t in low])[:-1]]).astype(np.int64)
 
 
+def in_pieces(texts: list[str], seam: re.Pattern = _SPACE, limit: int | None = None) -> tuple[list[str], np.ndarray]:
+    """The texts in pieces of limit characters (PIECE_CHARS) and more, each up to the next seam (left out), and whose each piece is."""
+    limit, out, owner = limit or PIECE_CHARS, [], []
+    for i, text in enumerate(texts):
+        at = 0
+        while len(text) - at > limit and (cut := seam.search(text, at + limit)):
+            out.append(text[at : cut.start()])
+            at = cut.end()
+            owner.append(i)
+        out.append(text[at:] if at else text)
+        owner.append(i)
+    return out, np.array(owner, dtype=np.int64)
+
+
 def grams(cp: np.ndarray):
     """For each order, the feature of the n-gram at each position; 2**BITS where there is none."""
     space = ~letters()[cp]
@@ -87,11 +107,18 @@ class Model:
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each text a logit for each language, and how many n-grams it has."""
-        cp, starts = code_points(texts)
         total, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype=np.int64)
-        for g in grams(cp):
-            total += np.add.reduceat(self.weights[g], starts, axis=0)
-            n += np.add.reduceat((g < 2**BITS).astype(np.int64), starts)
+        pieces, owner = in_pieces(texts)
+        # The characters at once are bounded, and so are the rows of weights that they gather.
+        first = 0
+        for some in slices(pieces, max(1, 4 * PIECE_CHARS // max(4, len(self.langs)))):
+            cp, starts = code_points(some)
+            whose = owner[first : first + len(some)]
+            first += len(some)
+            for g in grams(cp):
+                for at in range(0, len(self.langs), 64):
+                    np.add.at(total[:, at : at + 64], whose, np.add.reduceat(self.weights[g, at : at + 64], starts, axis=0))
+                np.add.at(n, whose, np.add.reduceat((g < 2**BITS).astype(np.int64), starts))
         return total / np.maximum(n, 1)[:, None] + self.bias, n
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -113,18 +140,22 @@ def counts(text: str) -> np.ndarray:
     return sum(np.bincount(g, minlength=2**BITS + 1)[:-1] for g in grams(cp))
 
 
-def fit(texts: list[str], langs: list[str]) -> Model:
-    """A model from labelled texts; every fifth text sets the temperature and is not learnt from, where there are enough."""
+def fit(texts: list[str], langs: list[str], document: np.ndarray | None = None, n_documents: int = 0) -> Model:
+    """A model from labelled texts; every fifth text sets the temperature and is not learnt from, where there are enough.
+
+    document has each feature's number of documents out of n_documents; without it, those of texts are counted.
+    """
     names = sorted(set(langs))
     rows = []
     for text in texts:
         c = counts(text)
         at = np.flatnonzero(c)
         rows.append((at, c[at] / max(1, c.sum())))
-    document = np.zeros(2**BITS)
-    for at, _ in rows:
-        document[at] += 1
-    idf = np.log((1 + len(rows)) / (1 + document)) + 1
+    if document is None:
+        document, n_documents = np.zeros(2**BITS), len(rows)
+        for at, _ in rows:
+            document[at] += 1
+    idf = np.log((1 + n_documents) / (1 + document)) + 1
     y = np.array([names.index(x) for x in langs])
     tune = np.arange(len(rows)) % 5 == 4 if len(rows) >= 50 else np.zeros(len(rows), dtype=bool)
     learn = np.flatnonzero(~tune)
@@ -155,43 +186,74 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     return model
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
-    """A model from the labelled rows of docs (doc_id, text, lang) that are not held out; None where there are none."""
-    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    numbers = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+def document_frequencies(texts: DataFrame) -> np.ndarray:
+    """In how many rows of texts (one text column without nulls) each feature is: partial counts, summed by Spark."""
+
+    def task(batches):
+        seen = np.zeros(2**BITS + 1, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                has = np.zeros(2**BITS + 1, dtype=bool)
+                for piece in in_pieces([text.as_py()])[0]:
+                    for g in grams(code_points([piece])[0]):
+                        has[g] = True
+                seen += has
+        at = np.flatnonzero(seen[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["feature", "n"])
+
+    out = np.zeros(2**BITS)
+    # 2 ** BITS rows at most.
+    for r in texts.mapInArrow(task, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+        out[r["feature"]] = r["n"]
+    return out
+
+
+def train(docs: DataFrame, per_lang: int = PER_LANG, max_sample: int = MAX_SAMPLE) -> Model | None:
+    """A model from the labelled rows of docs (doc_id, text, lang) that are not held out; None where there are none.
+
+    Every language is learnt. The sample has about per_lang documents of each, fewer (MIN_PER_LANG at least) where that
+    would be more than max_sample in all; document frequencies are those of all labelled rows.
+    """
+    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
+    numbers = known.groupBy("lang").count().collect()  # a row for each language
     if not numbers:
         return None
-    share = F.create_map(*[F.lit(x) for r in numbers for x in (r["lang"], min(1.0, per_lang / r["count"]))])
+    want = min(per_lang, max(MIN_PER_LANG, max_sample // len(numbers)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], want / r["count"]) for r in numbers], "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1e6
-    sample = known.filter((draw < share[F.col("lang")]) & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
+    sample = known.join(F.broadcast(shares), "lang").filter(draw < F.col("share")).select("doc_id", "text", "lang")
+    document, n_documents = document_frequencies(known.select("text")), sum(r["count"] for r in numbers)
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "text"])
-        return pd.DataFrame({"model": [fit(pdf["text"].tolist(), pdf["lang"].tolist()).dump()]})
+        return pd.DataFrame({"model": [fit(pdf["text"].tolist(), pdf["lang"].tolist(), document, n_documents).dump()]})
 
     models = sample.groupBy(F.lit(0).alias("one")).applyInPandas(task, "model binary").collect()
     return Model.load(models[0]["model"]) if models else None
 
 
 def predict(docs: DataFrame, keep: list[str], model: Model | None, text: str = "text") -> DataFrame:
-    """keep columns plus lang_pred and score. Null texts and texts without a letter are und with score 0, as all are without a model."""
-    kinds = dict(docs.dtypes)
+    """keep columns plus lang_pred and score. Null texts and texts without a letter are und with score 0, as all are without a model.
+
+    Columns kept under these two names give way to them.
+    """
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
     if model is None:
-        return source.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return source.select(*[F.col(f"`{c}`") for c in keep], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model.dump())
 
     def task(batches):
         m = Model.load(shared.value)
         for batch in batches:
             at = 0
-            for some in slices(batch.column(len(keep)).to_pylist(), SLICE_BYTES * 4 // max(4, len(m.langs))):
+            for some in slices(batch.column(len(keep)).to_pylist(), SLICE_BYTES):
                 langs, scores = m.predict(some)
                 own = [batch.column(i).slice(at, len(some)) for i in range(len(keep))]
                 at += len(some)
                 yield pa.RecordBatch.from_arrays([*own, pa.array(langs), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return source.mapInArrow(task, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double"]))
+    return source.mapInArrow(task, result_schema(docs, keep, "lang_pred string, score double"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

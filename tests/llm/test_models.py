@@ -57,6 +57,32 @@ def test_single_disguised_insult():
             assert sum(model.scores([f"{text} {way} thewh" for text in clean[:40]]) >= 0.5) >= 38, way
 
 
+def test_many_languages(spark):
+    """None of 300 languages is left out, and a long text gives what it gives as one piece."""
+    rows = [(7 * i + k, f"{chr(0x4E00 + i)}{chr(0x4E00 + i)} word {k} {chr(0x4E00 + i)}", f"l{i}") for i in range(300) for k in range(5)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 300
+    right = [a == r[2] for a, r in zip(model.predict([r[1] for r in rows])[0], rows, strict=True)]
+    assert sum(right) > 0.95 * len(rows)
+    small = langid.fit([r[1] for r in texts(60, 5)], [r[2] for r in texts(60, 5)])
+    long = " ".join(r[1] for r in texts(3000, 6))
+    whole, n = small.logits([long])
+    langid.PIECE_CHARS, limit = 1_000, langid.PIECE_CHARS
+    try:
+        assert len(langid.in_pieces([long, "a"], limit=1_000)[0]) > 100
+        cut, m = small.logits([long])
+    finally:
+        langid.PIECE_CHARS = limit
+    assert (n == m).all() and abs(whole - cut).max() < 1e-3
+
+
+def test_document_frequencies(spark):
+    rows = [r[1] for r in texts(50, 5)]
+    want = sum((langid.counts(t) > 0).astype(int) for t in rows)
+    got = langid.document_frequencies(spark.createDataFrame([(t,) for t in rows], "text string").repartition(3))
+    assert (got == want).all()
+
+
 def test_defined_cases(spark):
     rows = [(1, None), (2, ""), (None, "12 34 !"), (4, "word " * 20_000), (4, "word")]
     df = spark.createDataFrame([(*r, None, 1) for r in rows], "doc_id long, text string, lang string, one int")
