@@ -4,12 +4,12 @@ A text's terms are its words, weighted by their counts. A count over CHUNK is sp
 each an element of its own: that leaves the sums of smaller and of larger weights of two texts as they are. Every
 element draws, from its own hash, r and c from Gamma(2, 1) and b from (0, 1). With its weight w it takes
 t = floor(ln w / r + b) and the level ln a = ln c - r (t - b) - r; the element of least a is the sample, (element, t)
-its value. Two weighted sets draw the same value with a probability equal to their generalised Jaccard similarity, the
-sum of the smaller weights over the sum of the larger ones.
+its value. Two weighted sets of one bin draw the same value with a probability equal to their generalised Jaccard
+similarity, the sum of the smaller weights over the sum of the larger ones.
 
 One sample for each of BINS bins of elements, not BINS samples of all elements: an element is looked at once, whatever
 BINS is, which is what keeps the whole in the JVM's built-in functions at this price. Chunks keep the bins' weights
-alike, so that the mean over bins stays an estimate of the whole. Bins that are empty on both sides say nothing; the
+alike, so that the mean over bins stays an estimate of the whole, with a small bias (README has it measured). Bins that are empty on both sides say nothing; the
 likeness is the share of equal values among the others.
 """
 
@@ -31,6 +31,8 @@ DRAW_BITS = 12
 RANGE_ROWS = 1024
 #: Ranges up to this number are broadcast (three numbers each) to pick their first rows; above it, a shuffled join.
 BROADCAST_RANGES = 1_000_000
+#: How often ranges with many rows are cut again.
+MAX_LEVELS = 6
 _DIGITS = (BIN_BITS + VALUE_BITS) // 4
 
 
@@ -110,38 +112,63 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
-def with_next(docs: DataFrame, carried: list[str], text: str = "text") -> DataFrame:
-    """docs plus next_<c> for each c of carried: the columns of the row that follows by doc_id, downwards, from the last to the first.
+def _id_ranges(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs with range (an array of longs: the higher, the earlier its rows), so that few ranges have more than about RANGE_ROWS rows.
 
-    Rows of equal doc_id go by the hash of their text; null ids come last, by that hash too. Ids are cut into ranges of
-    about RANGE_ROWS rows, each sorted by its own task; only the first row of a range is sent on, to the range before it.
+    Equal widths from the lowest to the highest id; a range that still has many more rows is cut again by its own lowest
+    and highest, and so on, as one far id would otherwise leave all others in one range. Rows without an id, or with one
+    that very many rows have, are dealt by the hash of their text.
     """
-    ids = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("n")).first()
-    low = ids["low"] or 0
-    width = max(1, -(-(int(ids["high"] or 0) - int(low) + 1) * RANGE_ROWS // max(1, ids["n"])))
-    tie = F.shiftrightunsigned(F.xxhash64(F.col(text)), 1)
-    at = F.expr(f"cast((cast(doc_id as decimal(20,0)) - {low}) div {width} as bigint)")
-    ranged = docs.withColumn("__tie", tie).withColumn("__range", F.when(F.col("doc_id").isNull(), -1 - F.shiftright("__tie", 51)).otherwise(at))
-    order = Window.partitionBy("__range").orderBy(F.col("doc_id").desc_nulls_last(), "__tie")
-    rows = ranged.withColumn("__next", F.lead(F.struct(*carried)).over(order))
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
+    none = F.col("doc_id").isNull()
+    whole = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("n")).first()
+    low, high, n = int(whole["low"] or 0), int(whole["high"] or 0), max(1, whole["n"])
+    width = max(1, -(-(high - low + 1) * RANGE_ROWS // n))
+    first = F.when(none, -1 - F.shiftright("tie", 51)).otherwise(F.expr(f"cast((cast(doc_id as decimal(20,0)) - {low}) div {width} as bigint)"))
+    out, levels = docs.withColumn("range", F.array(first)), 1
+    while levels < MAX_LEVELS:
+        sizes = out.filter(~none).groupBy("range").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        heavy = sizes.filter(F.col("n") > 4 * RANGE_ROWS)
+        step = F.expr(f"greatest(1, (cast(high as decimal(20,0)) - cast(low as decimal(20,0)) + n div {RANGE_ROWS}) div (n div {RANGE_ROWS}))")
+        heavy = stored(heavy.select("range", wide("low").alias("low"), wide("high").alias("high"), step.cast("decimal(20,0)").alias("step")))
+        if heavy.isEmpty():
+            break
+        finer = F.when(F.col("low") == F.col("high"), -1 - F.shiftright("tie", 51)).otherwise(F.expr("cast((cast(doc_id as decimal(20,0)) - low) div step as bigint)"))
+        joined = out.join(broadcast_checked(heavy, BROADCAST_RANGES), "range", "left")
+        more = F.when(F.col("low").isNull() | none, F.lit(0).cast("long")).otherwise(finer)
+        out = joined.withColumn("range", F.concat("range", F.array(more))).drop("low", "high", "step")
+        levels += 1
+    return out, levels
+
+
+def with_next(docs: DataFrame, derive=lambda df: df, carried: tuple[str, ...] = ("text",)) -> DataFrame:
+    """derive(docs) plus next_<c> for each c of carried: the columns of the row that follows by doc_id, downwards, from the last to the first.
+
+    docs has doc_id and text without nulls; derive adds columns row by row. Rows of equal doc_id go by the hash of their
+    text; null ids come last, by that hash too. Ids are cut into ranges, each sorted by its own task; only the first row
+    of a range is sent on, to the range before it, found by its id and hash alone before anything is derived from it.
+    """
+    slim = docs.select("doc_id", "text").withColumn("tie", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    ranged, levels = _id_ranges(slim)
+    derived = derive(ranged)
+    order = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), "tie")
+    rows = derived.withColumn("following", F.lead(F.struct(*carried)).over(order))
     # The first row of each range, by its id and hash alone.
-    first = F.min(F.struct((-F.col("doc_id").cast("decimal(20,0)")).alias("down"), "__tie"))
-    heads = stored(ranged.select("__range", "doc_id", "__tie").groupBy("__range").agg(first.alias("h")))
-    heads = heads.select("__range", (-F.col("h.down")).cast("long").alias("h_id"), F.col("h.__tie").alias("h_tie"))
+    first = F.min(F.struct((-F.col("doc_id").cast("decimal(20,0)")).alias("down"), "tie"))
+    heads = stored(ranged.select("range", "doc_id", "tie").groupBy("range").agg(first.alias("h")))
+    heads = heads.select("range", (-F.col("h.down")).cast("long").alias("h_id"), F.col("h.tie").alias("h_tie"))
     # The range that follows each range: the next lower one that has rows, round to the highest.
-    inner = Window.partitionBy("__block").orderBy(F.col("__range").desc())
-    inside = heads.withColumn("__block", F.expr("__range div 1024")).withColumn("__inner", F.lead("__range").over(inner))
-    blocks = inside.groupBy("__block").agg(F.max("__range").alias("__first"))
-    around = Window.orderBy(F.col("__first").desc())
-    blocks = blocks.withColumn("__outer", F.coalesce(F.lead("__first").over(around), F.max("__first").over(Window.partitionBy())))
-    follow = inside.join(blocks.select("__block", "__outer"), "__block").select(F.col("__range").alias("f_range"), F.coalesce("__inner", "__outer").alias("f_next"))
-    wanted = follow.join(heads.withColumnRenamed("__range", "h_range"), F.col("f_next") == F.col("h_range")).select("f_range", "h_id", "h_tie")
-    picked = docs.withColumn("__tie", tie).join(
-        broadcast_checked(stored(wanted), BROADCAST_RANGES), (F.col("__tie") == F.col("h_tie")) & F.col("doc_id").eqNullSafe(F.col("h_id"))
-    )
-    heads = picked.select("f_range", F.struct(*carried).alias("__head")).dropDuplicates(["f_range"])
-    out = rows.join(heads, F.col("__range") == F.col("f_range")).withColumn("__after", F.coalesce("__next", "__head"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col("__after")[c].alias(f"next_{c}") for c in carried])
+    inner = Window.partitionBy("block").orderBy(F.col("range").desc())
+    inside = heads.withColumn("block", F.floor(F.get("range", F.lit(0)) / 1024)).withColumn("inner", F.lead("range").over(inner))
+    blocks = inside.groupBy("block").agg(F.max("range").alias("top"))
+    around = Window.orderBy(F.col("top").desc())
+    blocks = blocks.withColumn("outer", F.coalesce(F.lead("top").over(around), F.max("top").over(Window.partitionBy())))
+    follow = inside.join(blocks.select("block", "outer"), "block").select(F.col("range").alias("f_range"), F.coalesce("inner", "outer").alias("f_next"))
+    wanted = follow.join(heads.withColumnRenamed("range", "h_range"), F.col("f_next") == F.col("h_range")).select("f_range", "h_id", "h_tie")
+    picked = slim.join(broadcast_checked(stored(wanted), BROADCAST_RANGES), (F.col("tie") == F.col("h_tie")) & F.col("doc_id").eqNullSafe(F.col("h_id")))
+    heads = derive(picked.dropDuplicates(["f_range"])).select("f_range", F.struct(*carried).alias("head"))
+    out = rows.join(broadcast_checked(stored(heads), BROADCAST_RANGES // 1000), F.col("range") == F.col("f_range")).withColumn("after", F.coalesce("following", "head"))
+    return out.select(*[c for c in derived.columns if c not in ("tie", "range")], *[F.col("after")[c].alias(f"next_{c}") for c in carried])
 
 
 def edited(text: Column, after: Column) -> Column:
@@ -153,8 +180,8 @@ def edited(text: Column, after: Column) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: every document's fingerprint, its edited text's, and their likeness."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = docs.withColumn("signature", signature(F.col("text")))
-    pairs = with_next(own, ["text", "signature"]).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    signed = lambda df: df.withColumn("signature", signature(F.col("text")))
+    pairs = with_next(docs, signed, ("text", "signature")).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     pairs = pairs.withColumn("edited_signature", signature(F.col("edited")))
     return pairs.select(
         "doc_id",

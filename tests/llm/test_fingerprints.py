@@ -58,3 +58,16 @@ def test_defined_cases(spark, tmp_path, rows):
     for r in got:
         by.setdefault((r.n_chars, r.edited_sha256), set()).add(r.edited_fingerprint)
     assert all(len(x) == 1 for x in by.values())
+
+
+def test_one_far_id(spark):
+    """Ranges stay small where one id, and then another, is far from the rest, and where ids are equal."""
+    ids = [*range(20_000), 2**60, 2**40, -(2**62), *([2**50] * 6_000)]
+    docs = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    slim = docs.withColumn("tie", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    ranged, levels = fp._id_ranges(slim)
+    assert levels > 1 and ranged.groupBy("range").count().agg(F.max("count")).first()[0] <= 4 * fp.RANGE_ROWS
+    got = {r.text: r.next_text for r in fp.with_next(docs).collect()}
+    tie = {r.text: r.tie for r in slim.collect()}
+    order = sorted(((i, f"t{k}") for k, i in enumerate(ids)), key=lambda r: (-r[0], tie[r[1]]))
+    assert got == {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1], strict=True)}
