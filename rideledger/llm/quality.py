@@ -2,9 +2,13 @@
 
 Text that a general vocabulary cuts into very short pieces, spells out in bytes, or covers with a handful of tokens is
 rarely prose. Three measures of the whole text: code points per token, share of byte-fallback tokens, and the entropy
-of its tokens in bits. Each has a band for the row's language, or for the text's main script where the language has none.
+of its tokens in bits. Each has a band for the row's language, or for the text's main script where the language has too
+few texts.
 
-One pass over the rows: no shuffle, no model, and a document's verdict depends on that document alone.
+Bands are fitted to all texts that pass the base rules: a band's middle is the median, its width a multiple of the
+median distance from it, where distances grow with the square root of a text's tokens, as long texts vary less. Texts
+with equal measures (copies) count once, so a text that is there very often doesn't set the band. Medians are exact on
+a fine grid, from counts that Spark adds up. Texts are read and measured once; the bands need their measures alone.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rideledger.llm.bpe import row_slices, vocabulary_path
-from rideledger.llm.common import table
+from rideledger.llm.common import ROW, broadcast_checked, checkpoint, packed, result_schema, stored, table, unpacked
 
 VOCABULARY = "piece_bpe_32k.model"
 MIN_WORDS = 20
@@ -34,7 +38,7 @@ _NOT_CODE_POINTS = b" \t\n\x0b\x0c\r" + bytes(range(0x80, 0xC0))
 
 @dataclass(frozen=True)
 class Band:
-    """What a kept document may measure. min_entropy is for long texts; short ones may have 0.6 bits less."""
+    """What any text of a script may measure, however its corpus does."""
 
     min_chars_per_token: float
     max_chars_per_token: float
@@ -42,17 +46,34 @@ class Band:
     min_entropy: float
 
 
-#: By language where it is known, else by script. Wide on purpose: they reject what no prose of the language measures.
+#: By script. Wide on purpose: they reject what no prose in the script measures, and stand alone for scripts of few texts.
 BANDS = {
-    "en": Band(1.55, 7.0, 0.25, 4.0),
-    "de": Band(1.50, 7.0, 0.25, 4.0),
-    "fr": Band(1.40, 7.0, 0.25, 4.0),
-    "es": Band(1.35, 7.0, 0.25, 4.0),
-    "Latin": Band(1.20, 8.0, 0.30, 3.8),
-    "Greek or Cyrillic": Band(0.70, 6.0, 0.60, 3.8),
-    "other": Band(0.25, 6.0, 0.80, 3.0),
+    "Latin": Band(1.20, 8.0, 0.30, 3.2),
+    "Greek or Cyrillic": Band(0.70, 6.0, 0.60, 3.2),
+    "other": Band(0.25, 6.0, 0.80, 2.4),
 }
-LONG_TOKENS, SHORT_RELIEF = 128, 0.6
+
+
+@dataclass(frozen=True)
+class Limits:
+    """How many widths from its middle a fitted band ends, and from how many different texts one is fitted."""
+
+    low_chars_per_token: float = 4.0
+    high_chars_per_token: float = 8.0
+    low_entropy: float = 5.0
+    high_byte_share: float = 5.0
+    #: A byte share within this much of the middle is never too high.
+    byte_share: float = 0.05
+    #: Least widths (of a text of one token).
+    least_width: float = 0.2
+    texts: int = 100
+
+
+LIMITS = Limits()
+#: Cells of the grid for medians, to a unit.
+GRID = 1000
+#: Bands up to this number are broadcast (six numbers each); above it, a shuffled join.
+BROADCAST_BANDS = 10_000
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens")
 
@@ -150,18 +171,15 @@ def meter(path: str) -> Meter:
     return _STATE[path]
 
 
-def measure(docs: DataFrame, keep: list[str], text: str = "text", lang: str | None = "lang", vocabulary: str = VOCABULARY, bands: dict[str, Band] = BANDS) -> DataFrame:
-    """keep columns of docs plus the counts of COUNTS (long), chars_per_token, byte_share, entropy (double), band (string),
-    base_failed and kept (boolean).
+MEASURES = ("chars_per_token", "byte_share", "entropy")
 
-    Null and empty texts count 0, measure 0 and are not kept. Rows are judged one by one, so repeated rows get the same
-    verdict. Columns kept must have other names than these.
-    """
-    kinds = dict(docs.dtypes)
-    language = F.col(lang).cast("string") if lang else F.lit(None).cast("string")
+
+def counted(docs: DataFrame, keep: list[str], text: str = "text", lang: str | None = "lang", vocabulary: str = VOCABULARY) -> DataFrame:
+    """keep columns of docs plus COUNTS (long), entropy (double), language (that of the row) and script (string), computed once."""
+    language = (F.col(f"`{lang}`") if lang else F.lit(None)).cast("string")
     # A text that is kept goes to the tasks once.
-    more = [] if text in keep else [F.col(text).alias("__text")]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], language.alias("__lang"), *more)
+    more = [] if text in keep else [F.col(f"`{text}`").alias("measured_text")]
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], language.alias("row_language"), *more)
     where = keep.index(text) if text in keep else len(keep) + 1
 
     def task(batches):
@@ -169,25 +187,70 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text", lang: str | No
         for batch in batches:
             for at, some in row_slices(batch.column(where)):
                 got = m.measure(some)
-                langs = batch.column(len(keep)).slice(at, len(some)).to_pylist()
-                band = [k if k in bands else script(t) for k, t in zip(langs, some, strict=True)]
-                own = [batch.column(i).slice(at, len(some)) for i in range(len(keep))]
+                own = [batch.column(i).slice(at, len(some)) for i in range(len(keep) + 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [*own, *(pa.array(got[k], pa.int64()) for k in COUNTS), pa.array(got["entropy"], pa.float64()), pa.array(band, pa.string())],
-                    names=[*keep, *COUNTS, "entropy", "band"],
+                    [*own, *(pa.array(got[k], pa.int64()) for k in COUNTS), pa.array(got["entropy"], pa.float64()), pa.array(list(map(script, some)), pa.string())],
+                    names=[*keep, "language", *COUNTS, "entropy", "script"],
                 )
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{k} bigint" for k in COUNTS), "entropy double, band string"])
-    df = source.mapInArrow(task, schema)
+    results = ", ".join(["language string", *(f"{k} bigint" for k in COUNTS), "entropy double", "script string"])
+    df = stored(source.mapInArrow(task, result_schema(docs, keep, results)))
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     df = df.withColumn("chars_per_token", share("word_chars", "n_tokens")).withColumn("byte_share", share("n_byte_tokens", "n_tokens"))
-    df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
-    inside = F.lit(False)
-    for name, b in bands.items():
-        floor = F.when(F.col("n_tokens") >= LONG_TOKENS, F.lit(b.min_entropy)).otherwise(F.lit(b.min_entropy - SHORT_RELIEF))
-        fits = F.col("chars_per_token").between(b.min_chars_per_token, b.max_chars_per_token) & (F.col("byte_share") <= b.max_byte_share)
-        inside = inside | ((F.col("band") == name) & fits & (F.col("entropy") >= floor))
-    return df.withColumn("kept", ~F.col("base_failed") & inside)
+    return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
+
+
+def fitted_bands(measured: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """name, n (different texts), and the middle and width of each measure, for languages and scripts with enough texts."""
+    texts = measured.filter(~F.col("base_failed") & (F.col("n_tokens") > 0)).select("language", "script", "n_tokens", *MEASURES).distinct()
+    names = F.array(F.concat(F.lit("language "), "language"), F.concat(F.lit("script "), "script"))
+    rows = texts.withColumn("name", F.explode(names)).filter("name is not null")
+
+    def medians(df: DataFrame, values: dict) -> DataFrame:
+        """name, n and the median of each value on the grid: counts by cell first, then a median of counted cells."""
+        cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.round(v * GRID).cast("long").alias("cell")) for k, v in values.items()]))
+        counts = df.select("name", cells.alias("c")).groupBy("name", "c.k", "c.cell").count()
+        by_k = counts.groupBy("name", "k").agg(F.sum("count").alias("n"), F.percentile("cell", F.lit(0.5), F.col("count")).alias("m"))
+        pick = [F.max(F.when(F.col("k") == k, F.col("m") / GRID)).alias(k) for k in values]
+        return by_k.groupBy("name").agg(F.max("n").alias("n"), *pick)
+
+    middles = medians(rows, {f"{k}_middle": F.col(k) for k in MEASURES}).filter(F.col("n") >= limits.texts)
+    near = rows.join(broadcast_checked(checkpoint(middles), BROADCAST_BANDS), "name")
+    apart = lambda k: F.abs(F.col(k) - F.col(f"{k}_middle")) * F.sqrt("n_tokens")
+    widths = medians(near, {f"{k}_width": apart(k) for k in MEASURES}).drop("n")
+    # 1.4826 times the median distance is the standard deviation, where values are spread normally.
+    wide = [F.greatest(F.lit(limits.least_width), 1.4826 * F.col(f"{k}_width")).alias(f"{k}_width") for k in MEASURES]
+    return middles.join(widths, "name").select("name", "n", *[f"{k}_middle" for k in MEASURES], *wide)
+
+
+def measure(docs: DataFrame, keep: list[str], text: str = "text", lang: str | None = "lang", vocabulary: str = VOCABULARY, bands: dict[str, Band] = BANDS, limits: Limits = LIMITS) -> DataFrame:
+    """keep columns of docs plus the counts of COUNTS (long), chars_per_token, byte_share, entropy (double), band (string),
+    base_failed, the verdict on each measure (chars_ok, bytes_ok, entropy_ok) and kept (boolean).
+
+    Null and empty texts count 0, measure 0 and are not kept. Rows with the same text and language get the same verdict.
+    Where language and script have too few texts for a band, the script's wide one decides alone. Columns kept under
+    one of these names give way to it. The whole is computed when this is called, as bands need all texts.
+    """
+    results = [*COUNTS, *MEASURES, "band", "base_failed", "chars_ok", "bytes_ok", "entropy_ok", "kept"]
+    keep = [c for c in keep if c not in (*results, "language", "script")]
+    measured = counted(docs, keep, text, lang, vocabulary)
+    fits = broadcast_checked(checkpoint(fitted_bands(measured, limits)), BROADCAST_BANDS)
+    fit = F.struct("n", *[f"{k}_{x}" for k in MEASURES for x in ("middle", "width")])
+    for kind in ("language", "script"):
+        found = fits.select(F.col("name").alias(f"{kind}_name"), fit.alias(f"{kind}_fit"))
+        measured = measured.join(found, F.concat(F.lit(f"{kind} "), kind) == F.col(f"{kind}_name"), "left")
+    of = F.coalesce("language_fit", "script_fit")
+    apart = lambda k: F.coalesce((F.col(k) - of[f"{k}_middle"]) * F.sqrt("n_tokens") / of[f"{k}_width"], F.lit(0.0))
+    wide = lambda field: F.create_map(*[F.lit(x) for name, b in bands.items() for x in (name, getattr(b, field))])[F.col("script")]
+    chars = apart("chars_per_token").between(-limits.low_chars_per_token, limits.high_chars_per_token)
+    chars = chars & F.col("chars_per_token").between(wide("min_chars_per_token"), wide("max_chars_per_token"))
+    much = F.col("byte_share") > F.coalesce(of["byte_share_middle"], F.lit(0.0)) + limits.byte_share
+    bytes_ok = ~(much & (apart("byte_share") > limits.high_byte_share)) & (F.col("byte_share") <= wide("max_byte_share"))
+    entropy = (apart("entropy") >= -limits.low_entropy) & (F.col("entropy") >= wide("min_entropy"))
+    band = F.when(F.col("language_fit").isNotNull(), F.col("language")).otherwise(F.col("script"))
+    judged = measured.withColumn("band", band).withColumn("chars_ok", chars).withColumn("bytes_ok", bytes_ok).withColumn("entropy_ok", entropy)
+    judged = judged.withColumn("kept", ~F.col("base_failed") & F.col("chars_ok") & F.col("bytes_ok") & F.col("entropy_ok"))
+    return judged.select(*[F.col(f"`{c}`") for c in keep], *results)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,5 +259,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    return measure(docs, docs.columns).filter("kept").select(docs.columns)
+    """The documents that are kept, with their own columns, whatever these are called."""
+    rows = packed(docs, "text", "lang")
+    kept = measure(rows, ["text", "lang", ROW]).filter("kept")
+    return kept.select(*[column.alias(name) for name, column in unpacked(kept, docs)])
