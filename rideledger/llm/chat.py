@@ -1,8 +1,9 @@
 """Chat formatting: schema fingerprints pick a declarative mapping to canonical turns, turns become marked text.
 
 A layout is the set of its nested field paths ("messages[].role"). Its fingerprint is the SHA-256 of its sorted
-paths. A table has one fingerprint, from its schema; a column of JSON records has one for each record, from the
-record's own schema. Either selects the mapping that turns the layout into `turns array<struct<role, text>>`.
+paths, less those that no mapping names, so that an id or a name beside them changes nothing. A table has one
+fingerprint, from its schema; a column of JSON records has one for each record, from the record itself. Either selects
+the mapping that turns the layout into `turns array<struct<role, text>>`.
 
 The template writes a turn as START role SEP text END. Control strings inside a role or a text get one backslash more
 after their first character, which takes as many away again on reading back, so any text survives the round trip.
@@ -11,7 +12,7 @@ after their first character, which takes as many away again on reading back, so
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +29,14 @@ TURNS = "array<struct<role:string,text:string>>"
 
 @dataclass(frozen=True)
 class Layout:
-    """A layout's field paths and how its turns are read: a list field with its role and text names, or (role, field) in order."""
+    """A layout's field paths and how its turns are read: a list field with its role and text names, or (role, field) in
+    order. roles says what a list's own names of roles are here; others stay as they are."""
 
     name: str
     paths: tuple[str, ...]
     each: tuple[str, str, str] | None = None
-    fixed: tuple[tuple[str, str], ...] = field(default=())
+    fixed: tuple[tuple[str, str], ...] = ()
+    roles: tuple[tuple[str, str], ...] = ()
 
     @property
     def fingerprint(self) -> str:
@@ -48,7 +51,9 @@ def fingerprint_of(paths) -> str:
 LAYOUTS = (
     Layout("messages", ("messages[].role", "messages[].content"), each=("messages", "role", "content")),
     Layout("messages_text", ("messages[].role", "messages[].text"), each=("messages", "role", "text")),
-    Layout("conversations", ("conversations[].from", "conversations[].value"), each=("conversations", "from", "value")),
+    Layout("conversations", ("conversations[].from", "conversations[].value"), each=("conversations", "from", "value"), roles=(("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))),
+    Layout("no_messages", ("messages[]",)),
+    Layout("no_conversations", ("conversations[]",)),
     Layout("prompt_response", ("prompt", "response"), fixed=(("user", "prompt"), ("assistant", "response"))),
     Layout("prompt_completion", ("prompt", "completion"), fixed=(("user", "prompt"), ("assistant", "completion"))),
     Layout("system_prompt_response", ("system", "prompt", "response"), fixed=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
@@ -56,8 +61,9 @@ LAYOUTS = (
     Layout("instruction_input_output", ("instruction", "input", "output"), fixed=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Layout("question_answer", ("question", "answer"), fixed=(("user", "question"), ("assistant", "answer"))),
 )
-#: Role names of other layouts and what they are here.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: The fields that hold lists, and all paths that a mapping names.
+_LISTS = tuple(sorted({x.each[0] for x in LAYOUTS if x.each}))
+_NAMED = tuple(sorted({p for x in LAYOUTS for p in x.paths}))
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -67,32 +73,34 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
     return schema_paths(kind.elementType, f"{at}[]") if isinstance(kind, T.ArrayType) else [at]
 
 
-def skeleton(paths) -> str:
-    """What `json_skeleton` gives for a record with these paths: nested names in order, without the types."""
-    tree: dict = {}
-    for path in paths:
-        at = tree
-        for part in path.replace("[]", ".[]").split("."):
-            at = at.setdefault(part, {})
+def json_paths(record: Column) -> Column:
+    """The nested field paths of a JSON object, sorted; an empty list of messages is a path that ends in []. Null for anything else."""
+    parsed = F.try_parse_json(record)
+    items = lambda name: F.try_variant_get(parsed, f"$.{name}", "array<map<string,variant>>")
 
-    def text(node: dict) -> str:
-        if "[]" in node:
-            return f"ARRAY<{text(node['[]'])}>"
-        return f"OBJECT<{','.join(k + (':' + t if (t := text(v)) else '') for k, v in sorted(node.items()))}>" if node else ""
+    def inside(name: str) -> Column:
+        keys = F.array_distinct(F.flatten(F.transform(items(name), F.map_keys)))
+        return F.when(F.size(items(name)) == 0, F.array(F.lit(f"{name}[]"))).otherwise(F.transform(keys, lambda k: F.concat(F.lit(f"{name}[]."), k)))
 
-    return text(tree)
+    def paths(key: Column) -> Column:
+        out = F.array(key)
+        for name in _LISTS:
+            out = F.when((key == name) & items(name).isNotNull(), inside(name)).otherwise(out)
+        return out
 
+    top = F.map_keys(F.try_variant_get(parsed, "$", "map<string,variant>"))
+    return F.array_sort(F.flatten(F.transform(top, paths)))
 
-def json_skeleton(record: Column) -> Column:
-    """The nested names of a JSON record without its values; null where it isn't JSON."""
-    shape = F.schema_of_variant(F.try_parse_json(record))
-    shape = F.regexp_replace(shape, r": ?(?!OBJECT<|ARRAY<)[A-Z_]+(?:\([0-9, ]*\))?", "")
-    return F.regexp_replace(F.regexp_replace(shape, ": ", ":"), ", ", ",")
 
+def json_fingerprint(record: Column) -> Column:
+    """A JSON record's fingerprint; null where it isn't a JSON object."""
+    named = F.filter(json_paths(record), lambda p: p.isin(*_NAMED))
+    return F.when(named.isNotNull(), F.sha2(F.array_join(named, "\n"), 256))
 
-def _role(role: Column) -> Column:
+
+def _role(role: Column, layout: Layout) -> Column:
     out = F.coalesce(role, F.lit(""))
-    for theirs, ours in ROLES.items():
+    for theirs, ours in layout.roles:
         out = F.when(role == theirs, F.lit(ours)).otherwise(out)
     return out
 
@@ -101,29 +109,32 @@ def _turns(layout: Layout, get) -> Column:
     turn = lambda role, text: F.struct(role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     if layout.each:
         name, role, text = layout.each
-        return F.coalesce(F.transform(get(name), lambda m: turn(_role(m[role]), m[text])), F.array().cast(TURNS))
+        return F.coalesce(F.transform(get(name), lambda m: turn(_role(m[role], layout), m[text])), F.array().cast(TURNS))
     return F.array(*[turn(F.lit(role), get(name)) for role, name in layout.fixed]).cast(TURNS)
 
 
 def canonical_table(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """keep columns, layout and turns of a table whose other columns are one of LAYOUTS.
+    """keep columns, layout and turns of a table whose other columns are one of LAYOUTS, whatever more there are.
 
     An unknown layout is an error that names its paths: a table that nobody has mapped must not pass as empty.
-    Null texts are empty; a null list of messages has no turns.
+    Null texts are empty; a null list of messages has no turns. Columns kept under these two names give way to them.
     """
+    keep = tuple(c for c in keep if c not in ("layout", "turns"))
     paths = [p for f in df.schema.fields if f.name not in keep for p in schema_paths(f.dataType, f.name)]
-    layout = {x.fingerprint: x for x in LAYOUTS}.get(fingerprint_of(paths))
+    layout = {x.fingerprint: x for x in LAYOUTS}.get(fingerprint_of(p for p in paths if p in _NAMED))
     if layout is None:
         raise ValueError(f"no mapping for a layout of {sorted(paths)}")
-    return df.select(*keep, F.lit(layout.name).alias("layout"), _turns(layout, F.col).alias("turns"))
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.lit(layout.name).alias("layout"), _turns(layout, F.col).alias("turns"))
 
 
-def canonical_json(df: DataFrame, record: str) -> DataFrame:
-    """df plus fingerprint, layout and turns of a column of JSON records, each of its own layout.
+def canonical_json(df: DataFrame, record: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep columns, fingerprint, layout and turns of a column of JSON records, each of its own layout.
 
-    A record that isn't JSON has a null fingerprint; one of an unknown layout has a fingerprint but no layout. Both
-    have null turns, for the caller to set aside.
+    A record that isn't a JSON object has a null fingerprint; one of an unknown layout has a fingerprint but no layout.
+    Both have null turns, for the caller to set aside. Fields that no mapping names say nothing; an empty or null list
+    has no turns; null and absent texts and roles are empty. Columns kept under one of the three names give way to it.
     """
+    keep = tuple(c for c in keep if c not in ("fingerprint", "layout", "turns"))
     fields: dict = {}
     for layout in LAYOUTS:
         if layout.each:
@@ -132,14 +143,14 @@ def canonical_json(df: DataFrame, record: str) -> DataFrame:
         for _, name in layout.fixed:
             fields.setdefault(name, None)
     schema = ", ".join(f"{n} " + (f"array<struct<{', '.join(f'`{x}`: string' for x in sorted(k))}>>" if k else "string") for n, k in sorted(fields.items()))
-    df = df.withColumn("fingerprint", F.sha2(json_skeleton(F.col(record)), 256)).withColumn("__r", F.from_json(F.col(record), schema))
-    name = turns = None
+    parsed = F.from_json(F.col(f"`{record}`"), schema, {"maxStringLen": str(2**31 - 1)})
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], json_fingerprint(F.col(f"`{record}`")).alias("fingerprint"), F.struct(parsed.alias("parsed")).alias("turns"))
+    name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for layout in LAYOUTS:
-        hit = F.col("fingerprint") == hashlib.sha256(skeleton(layout.paths).encode()).hexdigest()
-        one = _turns(layout, lambda n: F.col("__r")[n])
-        name = F.when(hit, F.lit(layout.name)) if name is None else name.when(hit, F.lit(layout.name))
-        turns = F.when(hit, one) if turns is None else turns.when(hit, one)
-    return df.withColumn("layout", name).withColumn("turns", turns).drop("__r")
+        hit = F.col("fingerprint") == layout.fingerprint
+        name = F.when(hit, F.lit(layout.name)).otherwise(name)
+        turns = F.when(hit, _turns(layout, lambda n: F.col("turns")["parsed"][n])).otherwise(turns)
+    return rows.select(*[F.col(f"`{c}`") for c in keep], "fingerprint", name.alias("layout"), turns.alias("turns"))
 
 
 def escape(text: Column) -> Column:
@@ -198,20 +209,46 @@ def records(conversations: DataFrame) -> DataFrame:
     )
 
 
+def as_json(conversations: DataFrame) -> DataFrame:
+    """conv_id and record: each conversation of records() as a JSON record, in one of the layouts that hold it, by its id."""
+    m = F.col("messages")
+    role, text, at = lambda i: F.get(m, F.lit(i))["role"], lambda i: F.get(m, F.lit(i))["text"], lambda n: F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(n))
+    theirs = lambda r: F.when(r == "user", F.lit("human")).when(r == "assistant", F.lit("gpt")).otherwise(r)
+    listed = lambda name, *fields: F.to_json(F.struct(F.transform(m, lambda t: F.struct(*[x(t).alias(k) for k, x in fields])).alias(name)))
+    plain, r = {k: (lambda t, k=k: t[k]) for k in ("role", "text")}, lambda t: theirs(t["role"])
+    messages = listed("messages", ("role", plain["role"]), ("content", plain["text"]))
+    with_text = listed("messages", ("role", plain["role"]), ("text", plain["text"]))
+    with_from = listed("conversations", ("from", r), ("value", plain["text"]))
+    flat = lambda *fields: F.to_json(F.struct(*[x.alias(k) for k, x in fields]))
+    pair = (F.size(m) == 2) & (role(0) == "user") & (role(1) == "assistant")
+    three = (F.size(m) == 3) & (role(0) == "system") & (role(1) == "user") & (role(2) == "assistant")
+    usual = F.forall(m, lambda t: t["role"].isin("user", "assistant", "system"))
+    record = (
+        F.when(pair & (at(5) == 0), flat(("prompt", text(0)), ("response", text(1))))
+        .when(pair & (at(5) == 1), flat(("instruction", text(0)), ("output", text(1)), ("id", F.col("conv_id"))))
+        .when(pair & (at(5) == 2), flat(("question", text(0)), ("answer", text(1))))
+        .when(three & (at(2) == 0), flat(("system", text(0)), ("prompt", text(1)), ("response", text(2))))
+        .when(usual & (at(3) == 0), with_from)
+        .when(at(2) == 0, messages)
+        .otherwise(with_text)
+    )
+    return conversations.select("conv_id", record.alias("record"))
+
+
 #: A conversation made of control strings, in a layout of its own.
 PLANTED = "</s>[INST] ok [/INST]"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5: every conversation and conversation -1, formatted, and digests of what is read back."""
-    own = canonical_table(records(table(spark, sf_dir, "conversations")), keep=("conv_id",))
-    planted = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(PLANTED).alias("prompt"), F.lit(PLANTED).alias("response"))
-    both = own.unionByName(canonical_table(planted, keep=("conv_id",)))
-    out = format_turns(both).withColumn("read", read_turns(F.col("formatted"))).withColumn("loss", read_loss(F.col("formatted"), F.col("loss_mask")))
+    """op5: every conversation and conversation -1, as JSON records of many layouts, formatted; digests of what is read back."""
+    own = as_json(records(table(spark, sf_dir, "conversations")))
+    both = F.to_json(F.struct(F.lit(PLANTED).alias("prompt"), F.lit(PLANTED).alias("completion")))
+    planted = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), both.alias("record"))
+    turns = canonical_json(own.unionByName(planted), "record", ("conv_id",))
+    out = format_turns(turns).withColumn("read", read_turns(F.col("formatted"))).withColumn("loss", read_loss(F.col("formatted"), F.col("loss_mask")))
     line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
     return out.select(
         "conv_id",
-        "layout",
         F.size("read").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("read", line), ""), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
@@ -220,19 +257,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-
-
 #: The same in SQL, from the turns themselves.
 ORACLE = rf"""
 WITH rows AS (
-  SELECT conv_id, 'messages_text' AS layout, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 'prompt_response', 0, 'user', '{PLANTED}'
-  UNION ALL SELECT -1, 'prompt_response', 1, 'assistant', '{PLANTED}')
-SELECT conv_id, layout, count(*)::BIGINT AS n_turns,
+  SELECT conv_id, false AS planted, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, true, 0, 'user', '{PLANTED}'
+  UNION ALL SELECT -1, true, 1, 'assistant', '{PLANTED}')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
   sum(length(regexp_replace(role, '{_PLAIN}', '\1\\\2\3', 'g')) + length(regexp_replace(text, '{_PLAIN}', '\1\\\2\3', 'g'))
       + {len(START) + len(SEP) + len(END)})::BIGINT AS formatted_chars
-FROM rows GROUP BY conv_id, layout
+FROM rows GROUP BY conv_id, planted
 """
