@@ -250,14 +250,14 @@ FEW_KEYS = 2
 
 
 def near_long_lines(suspects: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
-    """h1, h2 of the lines of suspects (as for near_lines, all _many) that are near an earlier one.
+    """h1, h2 of the lines of suspects (h1, h2, first: order, line: words with one space between, all _many) that are near an earlier one.
 
     Lines meet by key; at keys of many lines, by length and place too. Each is compared with the earliest at its lowest
     keys, and if it is near none of them, with all at all its keys. Only what length, place and bag of words allow is
     compared word by word.
     """
-    w = F.col("w")
-    lines = stored(suspects.select("h1", "h2", "first", F.size("w").alias("n"), _bag(w).alias("bag"), _long_keys(w, b).alias("runs")))
+    w = F.split("line", " ")
+    lines = stored(suspects.select("h1", "h2", "first", F.size(w).alias("n"), _bag(w).alias("bag"), _long_keys(w, b).alias("runs")))
 
     def keys(df: DataFrame, runs: Column) -> DataFrame:
         df = df.select("h1", "h2", "first", "n", "bag", F.explode(runs).alias("x"))
@@ -272,9 +272,10 @@ def near_long_lines(suspects: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = pairs.filter(fits).filter(alike).select("h1", "h2", "r_h1", "r_h2").distinct()
-        earlier = suspects.select(F.col("h1").alias("r_h1"), F.col("h2").alias("r_h2"), F.col("w").alias("v"))
-        both = pairs.join(suspects.select("h1", "h2", "w"), ["h1", "h2"]).join(earlier, ["r_h1", "r_h2"])
-        return stored(both.filter(within_bound(F.col("w"), F.col("v"), b.words_an_edit)).select("h1", "h2").distinct())
+        earlier = suspects.select(F.col("h1").alias("r_h1"), F.col("h2").alias("r_h2"), F.col("line").alias("earlier"))
+        both = pairs.join(suspects.select("h1", "h2", "line"), ["h1", "h2"]).join(earlier, ["r_h1", "r_h2"])
+        near = let(F.split("line", " "), lambda x: let(F.split("earlier", " "), lambda y: within_bound(x, y, b.words_an_edit)))
+        return stored(both.filter(near).select("h1", "h2").distinct())
 
     few = keys(lines, F.slice("runs", 1, FEW_KEYS))
     best = few.groupBy("run").agg(F.count("*").alias("lines"), F.min(F.struct(*fields)).alias("best")).filter("lines > 1")
@@ -316,13 +317,15 @@ def judged(docs: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
     found = split_lines(docs).withColumn("order", _order())
     texts = found.join(
         broadcast_checked(where, BROADCAST_LINES), (F.col("place") == F.col("w_place")) & (F.col("line_no") == F.col("w_line")) & F.col("order").eqNullSafe(F.col("first"))
-    ).withColumn("w", words(F.col("line")))
-    texts = stored(texts.select("h1", "h2", "first", "w").dropDuplicates(["h1", "h2"]))
+    )
+    # As text with one space between words, which is a third of what a list of words takes when it is shuffled.
+    texts = stored(texts.select("h1", "h2", "first", F.array_join(words(F.col("line")), " ").alias("line")).dropDuplicates(["h1", "h2"]))
+    texts = texts.withColumn("w", F.split("line", " "))
     # A line of min_words words is compared both ways, as two lines; the second has another h2.
     by_chars = texts.filter(_by_chars(w, b)).select("h1", F.bitwise_not("h2").alias("h2"), "first", _chars(w).alias("w"))
-    near = stored(near_lines(stored(texts.filter(_by_words(w, b)).unionByName(by_chars))))
+    near = stored(near_lines(stored(texts.filter(_by_words(w, b)).select("h1", "h2", "first", "w").unionByName(by_chars))))
     near = near.unionByName(near.select("h1", F.bitwise_not("h2").alias("h2")))
-    near = near.unionByName(near_long_lines(texts.filter(_many(w, b)), b)).distinct()
+    near = near.unionByName(near_long_lines(texts.filter(_many(w, b)).drop("w"), b)).distinct()
     classes = firsts.select("h1", "h2", "first").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
     state = F.when(~_order().eqNullSafe(F.col("first")), F.lit("equal")).when(F.col("near"), F.lit("near")).otherwise(F.lit(""))
     states = full.join(classes, ["h1", "h2"]).select("doc_id", "place", "line_no", state.alias("state"))
