@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rideledger.llm.common import table
+from rideledger.llm.common import result_schema, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Code points above which a text is cut into pieces for several tasks.
@@ -181,17 +181,13 @@ def encoder(path: str) -> Encoder:
     return _STATE[path]
 
 
-def _schema(df: DataFrame, keep: list[str], more: str) -> str:
-    kinds = dict(df.dtypes)
-    return ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), more])
-
-
 def encode(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str = VOCABULARY, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """keep columns of docs plus ids (binary: little-endian unsigned 32-bit integers) and decoded (string).
 
-    Null and empty texts have no ids and decode to an empty text. Repeated rows stay apart. The columns kept may have
-    any names but ids and decoded.
+    Null and empty texts have no ids and decode to an empty text. Repeated rows stay apart. Columns kept under the names
+    ids and decoded give way to these.
     """
+    keep = [c for c in keep if c not in ("ids", "decoded")]
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
     long = F.length("__text") > piece_chars
 
@@ -223,7 +219,7 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str
         ids = e.join_pieces(list(pdf["__piece"]), parts)[:, 0].astype("<u4").tobytes()
         return pdf.head(1)[keep].assign(ids=[ids], decoded=[e.decode(ids).decode()])
 
-    done = source.filter(~long).mapInArrow(short_texts, _schema(docs, keep, "ids binary, decoded string"))
+    done = source.filter(~long).mapInArrow(short_texts, result_schema(docs, keep, "ids binary, decoded string"))
     cut = (
         source.filter(long)
         .withColumn("__row", F.monotonically_increasing_id())
@@ -232,12 +228,13 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str
         .drop("__text")
         .repartition("__row", "__at")
     )
-    parts = cut.mapInArrow(pieces, _schema(docs, keep, "`__row` bigint, `__at` int, `__piece` string, `__triples` binary"))
-    return done.unionByName(parts.groupBy("__row").applyInPandas(join, _schema(docs, keep, "ids binary, decoded string")))
+    parts = cut.mapInArrow(pieces, result_schema(docs, keep, "`__row` bigint, `__at` int, `__piece` string, `__triples` binary"))
+    return done.unionByName(parts.groupBy("__row").applyInPandas(join, result_schema(docs, keep, "ids binary, decoded string")))
 
 
 def decode(encoded: DataFrame, keep: list[str], ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
-    """keep columns plus decoded, from packed ids; null ids decode to null."""
+    """keep columns plus decoded, from packed ids; null ids decode to null. A column kept under that name gives way to it."""
+    keep = [c for c in keep if c != "decoded"]
 
     def texts(batches):
         e = encoder(vocabulary_path(vocabulary))
@@ -245,7 +242,7 @@ def decode(encoded: DataFrame, keep: list[str], ids: str = "ids", vocabulary: st
             plain = [None if x is None else e.decode(x) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(plain, pa.binary()).cast(pa.string())], names=[*keep, "decoded"])
 
-    return encoded.select(*[F.col(f"`{c}`") for c in keep], F.col(ids)).mapInArrow(texts, _schema(encoded, keep, "decoded string"))
+    return encoded.select(*[F.col(f"`{c}`") for c in keep], F.col(ids)).mapInArrow(texts, result_schema(encoded, keep, "decoded string"))
 
 
 def digests(docs: DataFrame, piece_chars: int = PIECE_CHARS) -> DataFrame:
