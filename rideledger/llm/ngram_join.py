@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rideledger.llm.bpe import slices
-from rideledger.llm.common import broadcast_checked, checkpoint, stored, table
+from rideledger.llm.common import broadcast_checked, checkpoint, packed, stored, table, unpacked
 from rideledger.llm.components import components
 
 WORDS = 3
@@ -246,11 +246,12 @@ def block_links(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def link_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, tile: int = TILE_CLASSES) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes). rows: doc_id, place, n, node, twin. classes: node, component_id, first_place of each class of equal sets."""
+    """(rows, classes). rows: doc_id, place, n, node, twin. classes: node, twin, first (none, doc_id, place of the first row
+    of its component) of each class of equal sets."""
     found = stored(sets(docs, size, percent))
     full = found.filter("n > 0")
     head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
-    classes = stored(full.groupBy("node", "twin").agg(F.min(head).alias("head"), F.first(F.struct("n", "point")).alias("c")).select("node", "head", "c.*"))
+    classes = stored(full.groupBy("node", "twin").agg(F.min(head).alias("head"), F.first(F.struct("n", "point")).alias("c")).select("node", "twin", "head", "c.*"))
     keys = full.select("node", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key")
     hits = stored(keys.join(broadcast_checked(stored(shared), BROADCAST_KEYS), "key").distinct())
@@ -298,7 +299,7 @@ def link_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, til
     joined = components(links)
     firsts = joined.join(classes.select("node", "head"), "node").groupBy("root").agg(F.min("head").alias("best"))
     named = joined.join(firsts, "root").select(F.col("node").alias("l_node"), "best")
-    out = classes.join(named, F.col("node") == F.col("l_node"), "left").select("node", F.coalesce("best", "head").alias("first"))
+    out = classes.join(named, F.col("node") == F.col("l_node"), "left").select("node", "twin", F.coalesce("best", "head").alias("first"))
     return found.drop("keys", "point"), out
 
 
@@ -309,8 +310,7 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
     null doc_id is no smallest id; a component of such rows alone has a null id.
     """
     rows, classes = link_classes(docs, size, percent)
-    best = classes.select(F.col("node").alias("c_node"), "first")
-    linked = rows.filter("n > 0").join(best, F.col("node") == F.col("c_node"))
+    linked = rows.filter("n > 0").join(classes, ["node", "twin"])
     head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
     kept = linked.select("doc_id", "place", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (head == F.col("first")).alias("is_first"))
     alone = rows.filter("n = 0").select("doc_id", "place", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("is_first"))
@@ -318,13 +318,23 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
 
 
 def stage(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs less all but the first document of each component, first by doc_id.
+    """docs less all but the first document of each component, first by doc_id, then by the hash of its text.
 
-    Rows that repeat both id and text are one document, and stay together.
+    Rows that repeat both id and text (null ids and texts among them) are one document, of which one row stays: any, where
+    its other columns differ. Columns may have any names.
     """
-    gone = join(docs, size, percent).filter(~F.col("is_first")).select(F.col("doc_id").alias("g_id"), F.col("place").alias("g_place")).distinct()
-    here = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(broadcast_checked(stored(gone), BROADCAST_CLASSES), (here == F.col("g_place")) & F.col("doc_id").eqNullSafe(F.col("g_id")), "left_anti")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = packed(docs, "doc_id", "text").withColumn("place", F.xxhash64(text))
+    judged = join(docs.select("doc_id", "text"), size, percent)
+    one = judged.groupBy("doc_id", "place").agg(F.min("is_first").alias("is_first"), F.count("*").alias("times"))
+    gone = one.filter(~F.col("is_first")).select(F.col("doc_id").alias("g_id"), F.col("place").alias("g_place"))
+    again = one.filter("is_first and times > 1").select(F.col("doc_id").alias("a_id"), F.col("place").alias("a_place"), F.lit(True).alias("again"))
+    same = lambda i, p: (F.col("place") == F.col(p)) & F.col("doc_id").eqNullSafe(F.col(i))
+    rows = rows.join(broadcast_checked(stored(gone), BROADCAST_CLASSES), same("g_id", "g_place"), "left_anti")
+    rows = rows.join(broadcast_checked(stored(again), BROADCAST_CLASSES), same("a_id", "a_place"), "left")
+    once = rows.filter("again").dropDuplicates(["doc_id", "place"])
+    out = rows.filter("again is null").unionByName(once)
+    return out.select(*[column.alias(name) for name, column in unpacked(out, docs)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
