@@ -16,6 +16,7 @@ on clean ones of these with a single insult put in, plain or disguised, as an in
 from __future__ import annotations
 
 import io
+import re
 from collections import Counter
 
 import numpy as np
@@ -25,25 +26,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rideledger.llm.bpe import slices
-from rideledger.llm.common import held_out, table
-from rideledger.llm.langid import code_points, letters
+from rideledger.llm.common import broadcast_checked, held_out, result_schema, table
+from rideledger.llm.langid import code_points, in_pieces, letters
 
 #: About as many labelled documents of each class are sampled for fitting, by a hash of their ids.
 MAX_TOXIC, MAX_CLEAN = 1_500, 3_000
 SPAN, DECAY, RUN = 5, 0.6, 12
 REPEAT = 6
 LANDMARKS = 64
+#: Words that the fit takes as insults at most (the surest), words of clean documents, and of these those that look most
+#: like insults in each round. They bound the fit, as the sample does.
+POSITIVES, NEGATIVES, HARD = 256, 8_000, 1_000
 #: The cost of errors against the margin: high, as a common word that looks like an insult must stay below.
 COST = 10_000.0
-NEGATIVES = 8_000
 #: The likelihood ratio (twice its logarithm) that makes a word positive: among 100,000 words hardly one gets it by chance.
 MIN_RATIO = 25.0
 ROUNDS = 4
+MIN_LETTERS = 3
 #: Of how many of a text's best words the values count, beside the number of words on the positive side.
 TOP = 3
 #: Values above count as this; a plain insult is far beyond the margin.
 CAP = 4.0
 SLICE_BYTES = 150_000
+#: Where a long text may be cut: at white space that sets no single letters apart.
+_SEAM = re.compile(r"(?<=\S\S)[\x20\x09-\x0D](?=\S\S)")
 EDGE = 27
 _SYMBOLS = 32
 _SIZE = _SYMBOLS**3
@@ -126,6 +132,16 @@ class Model:
 
     def values(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The machine's value for the best string of each word (any edge begins one), and the word's text."""
+        pieces, owner = in_pieces(texts, _SEAM)
+        found, first = [], 0
+        for some in slices(pieces, SLICE_BYTES):
+            f, piece = self._values(some)
+            found.append((f, owner[first + piece]))
+            first += len(some)
+        return np.concatenate([f for f, _ in found]), np.concatenate([text for _, text in found])
+
+    def _values(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """values() of texts worked on at once."""
         cp, starts = code_points(texts)
         s, ends, places = spelled(cp)
         value, square = np.zeros(len(s) + 1), np.zeros(len(s) + 1)
@@ -226,8 +242,12 @@ def _ratio(toxic: int, clean: int, share: float) -> float:
     return 2 * (toxic * np.log(own / share) + (clean * np.log((1 - own) / (1 - share)) if clean else 0.0))
 
 
-def fit(texts: list[str], toxic: list[int]) -> Model:
-    """A model from labelled texts, in any order; a third of them, taken in turn, only sets the curve."""
+def fit(texts: list[str], toxic: list[int], positives: int = POSITIVES, negatives: int = NEGATIVES, min_letters: int = MIN_LETTERS) -> Model:
+    """A model from labelled texts, in any order; a third of them, taken in turn, only sets the curve.
+
+    positives and negatives bound the words learnt; words of fewer letters than min_letters have no subsequence of three
+    letters and edges that tells them from parts of others, and are not learnt.
+    """
     y = np.array(toxic)
     share = float(y.mean()) if len(y) else 0.0
     prior = Model(np.zeros(_SIZE), 0.0, np.zeros(TOP + 1), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
@@ -246,13 +266,13 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
             continue
         near[int(y[i])].update({w for _, w, _ in new})
     share = float(y[learn].mean())
-    ratio = {w: _ratio(n, near[0][w], share) for w, n in near[1].items() if len(w) > 2}
-    positive = sorted((w for w, x in ratio.items() if x >= MIN_RATIO and near[1][w] > 2 * near[0][w]), key=lambda w: (-ratio[w], w))[: 4 * LANDMARKS]
-    clean = sorted((w for w in near[0] if len(w) > 2 and near[0][w] >= near[1][w]), key=lambda w: (-near[0][w], w))
+    ratio = {w: _ratio(n, near[0][w], share) for w, n in near[1].items() if len(w) >= min_letters}
+    positive = sorted((w for w, x in ratio.items() if x >= MIN_RATIO and near[1][w] > 2 * near[0][w]), key=lambda w: (-ratio[w], w))[:positives]
+    clean = sorted((w for w in near[0] if len(w) >= min_letters and near[0][w] >= near[1][w]), key=lambda w: (-near[0][w], w))
     if not positive or not clean:
         return prior
-    often, rest = clean[: NEGATIVES // 2], clean[NEGATIVES // 2 :]
-    negative = often + rest[:: max(1, len(rest) // (NEGATIVES // 2))][: NEGATIVES // 2]
+    often, rest = clean[: negatives // 2], clean[negatives // 2 :]
+    negative = often + rest[:: max(1, len(rest) // (negatives // 2))][: negatives // 2]
     marks = list(dict.fromkeys(positive[:LANDMARKS] + negative[:: max(1, len(negative) // LANDMARKS)][:LANDMARKS]))
     pool = negative
     sure = [w for w in positive if ratio[w] >= ratio[positive[0]] / 2]
@@ -268,7 +288,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         w, bias = _machine(_coordinates(names, kernel) @ whiten, np.concatenate([np.ones(len(positive)), -np.ones(len(pool))]))
         model = Model((whiten @ w) @ kernel, bias, np.zeros(TOP + 1), 0.0)
         # Clean words that the machine takes for insults, or nearly: it learns them next, the worst as landmarks too.
-        hard = [clean[i] for i in np.argsort(-model.best(clean), kind="stable")[:1_000]]
+        hard = [clean[i] for i in np.argsort(-model.best(clean), kind="stable")[:HARD]]
         pool = list(dict.fromkeys([*pool, *hard]))
         marks = list(dict.fromkeys([*marks, *hard[: LANDMARKS // 2]]))
     tune = np.flatnonzero((turn % 3 == 2) | (len(y) < 30))
@@ -301,7 +321,8 @@ def _coordinates(words: list[str], kernel: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model | None:
     """A model from labels (doc_id, toxic) that are not held out and the texts of docs; None where there are none.
 
-    The sample, bounded by the two parameters, is broadcast as ids to pick its texts, and fitted in one task.
+    The sample, bounded by the two parameters, picks its texts by id and is fitted in one task. Null texts, labels that
+    are neither 0 nor 1 and repeated ids teach nothing more.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
     numbers = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -309,7 +330,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
         return None
     share = F.when(F.col("toxic") == 1, F.lit(max_toxic / numbers.get(1, 1))).otherwise(F.lit(max_clean / numbers.get(0, 1)))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
-    sample = F.broadcast(known.filter(draw < share).dropDuplicates(["doc_id"]))  # about max_toxic + max_clean rows
+    sample = broadcast_checked(known.filter(draw < share).dropDuplicates(["doc_id"]), 4 * (max_toxic + max_clean))
     texts = docs.select("doc_id", "text").filter("text is not null").join(sample, "doc_id")
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -321,11 +342,14 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
 
 
 def score(docs: DataFrame, keep: list[str], model: Model | None, text: str = "text") -> DataFrame:
-    """keep columns plus score (0 to 1). Null and empty texts score as texts without any string; without a model, all 0."""
-    kinds = dict(docs.dtypes)
+    """keep columns plus score (0 to 1). Null and empty texts score as texts without any string; without a model, all 0.
+
+    A column kept under that name gives way to it.
+    """
+    keep = [c for c in keep if c != "score"]
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
     if model is None:
-        return source.select(*keep, F.lit(0.0).alias("score"))
+        return source.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model.dump())
 
     def task(batches):
@@ -337,7 +361,7 @@ def score(docs: DataFrame, keep: list[str], model: Model | None, text: str = "te
                 at += len(some)
                 yield pa.RecordBatch.from_arrays([*own, pa.array(m.scores(some), pa.float64())], names=[*keep, "score"])
 
-    return source.mapInArrow(task, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double"]))
+    return source.mapInArrow(task, result_schema(docs, keep, "score double"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
