@@ -8,7 +8,8 @@ few texts.
 Bands are fitted to all texts that pass the base rules: a band's middle is the median, its width a multiple of the
 median distance from it, where distances grow with the square root of a text's tokens, as long texts vary less. Texts
 with equal measures (copies) count once, so a text that is there very often doesn't set the band. Medians are exact on
-a fine grid, from counts that Spark adds up. Texts are read and measured once; the bands need their measures alone.
+a fine grid, from counts that Spark adds up. The bands need the measures alone,
+which are written; a stage that hands texts on measures them twice rather than write them twice.
 """
 
 from __future__ import annotations
@@ -175,7 +176,7 @@ MEASURES = ("chars_per_token", "byte_share", "entropy")
 
 
 def counted(docs: DataFrame, keep: list[str], text: str = "text", lang: str | None = "lang", vocabulary: str = VOCABULARY) -> DataFrame:
-    """keep columns of docs plus COUNTS (long), entropy (double), language (that of the row) and script (string), computed once."""
+    """keep columns of docs plus COUNTS (long), entropy (double), language (that of the row) and script (string)."""
     language = (F.col(f"`{lang}`") if lang else F.lit(None)).cast("string")
     # A text that is kept goes to the tasks once.
     more = [] if text in keep else [F.col(f"`{text}`").alias("measured_text")]
@@ -194,7 +195,11 @@ def counted(docs: DataFrame, keep: list[str], text: str = "text", lang: str | No
                 )
 
     results = ", ".join(["language string", *(f"{k} bigint" for k in COUNTS), "entropy double", "script string"])
-    df = stored(source.mapInArrow(task, result_schema(docs, keep, results)))
+    return source.mapInArrow(task, result_schema(docs, keep, results))
+
+
+def _measures(df: DataFrame) -> DataFrame:
+    """df of counted() plus the two shares and base_failed."""
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     df = df.withColumn("chars_per_token", share("word_chars", "n_tokens")).withColumn("byte_share", share("n_byte_tokens", "n_tokens"))
     return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
@@ -233,12 +238,14 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text", lang: str | No
     """
     results = [*COUNTS, *MEASURES, "band", "base_failed", "chars_ok", "bytes_ok", "entropy_ok", "kept"]
     keep = [c for c in keep if c not in (*results, "language", "script")]
-    measured = counted(docs, keep, text, lang, vocabulary)
-    fits = broadcast_checked(checkpoint(fitted_bands(measured, limits)), BROADCAST_BANDS)
+    # Measures are computed once and written; texts that are kept aren't written with them but measured once more.
+    found = _measures(stored(counted(docs, [] if text in keep else keep, text, lang, vocabulary)))
+    measured = _measures(counted(docs, keep, text, lang, vocabulary)) if text in keep else found
+    fits = broadcast_checked(checkpoint(fitted_bands(found, limits)), BROADCAST_BANDS)
     fit = F.struct("n", *[f"{k}_{x}" for k in MEASURES for x in ("middle", "width")])
     for kind in ("language", "script"):
-        found = fits.select(F.col("name").alias(f"{kind}_name"), fit.alias(f"{kind}_fit"))
-        measured = measured.join(found, F.concat(F.lit(f"{kind} "), kind) == F.col(f"{kind}_name"), "left")
+        of_kind = fits.select(F.col("name").alias(f"{kind}_name"), fit.alias(f"{kind}_fit"))
+        measured = measured.join(of_kind, F.concat(F.lit(f"{kind} "), kind) == F.col(f"{kind}_name"), "left")
     of = F.coalesce("language_fit", "script_fit")
     apart = lambda k: F.coalesce((F.col(k) - of[f"{k}_middle"]) * F.sqrt("n_tokens") / of[f"{k}_width"], F.lit(0.0))
     wide = lambda field: F.create_map(*[F.lit(x) for name, b in bands.items() for x in (name, getattr(b, field))])[F.col("script")]
