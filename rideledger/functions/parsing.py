@@ -30,7 +30,8 @@ def ride_body(body: Column) -> Column:
 
 
 def blank(text: Column) -> Column:
-    return F.length(F.trim(F.coalesce(text, F.lit("")))) == 0
+    """Whether a text is missing or has nothing above U+0020: control characters count as spaces."""
+    return F.coalesce(text, F.lit("")).rlike(r"^[\x00-\x20]*\z")
 
 
 def strict_number(text: Column) -> Column:

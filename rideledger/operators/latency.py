@@ -1,6 +1,6 @@
 """Reports over request latencies: (start_ms, end_ms, request_type, latency_ms, response_code, phase, ...)."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,16 @@ def summary(records: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def two_decimals(number: Column) -> Column:
+    """A number as text with two decimals, half of the last one up."""
+    return F.format_string("%.2f", number.cast("double"))
+
+
+def report(records: DataFrame, by: list[str]) -> DataFrame:
+    """The mean as the reports print it."""
+    return records.groupBy(*by).agg(F.count("*").alias("n"), two_decimals(F.avg("latency_ms")).alias("mean_text"))
+
+
 def outcomes(records: DataFrame, by: list[str]) -> DataFrame:
     good = succeeded(F.col("response_code"))
     return records.groupBy(*by).agg(F.count_if(good).alias("n_success"), F.count_if(~good).alias("n_failure"))
@@ -42,20 +52,34 @@ def throughput(records: DataFrame) -> DataFrame:
     return records.rollup("phase").agg(F.count("*").alias("n"), F.round(F.count("*") / seconds, 6).alias("per_second"))
 
 
+#: Ticks that one task sums in order.
+RANGE_TICKS = 4096
+
+
 def gauge(records: DataFrame, tick_ms: int) -> DataFrame:
     """(phase, tick, active): how many requests were open at each tick of a phase, 0 included.
 
-    A request is open from its start until before its end. Each request names the ticks it covers, so no join compares
-    requests with ticks; requests between two ticks name none.
+    A request is open from its start until before its end; one between two ticks is open at none. Each adds one at its
+    first tick and takes one after its last, however long it lasts; running sums are taken in ranges of ticks, each
+    beginning with the sum of the ranges before it.
     """
     first = F.ceil(F.col("start_ms") / tick_ms).cast("bigint")
     last = F.call_function("div", F.col("end_ms") - 1, F.lit(tick_ms).cast("long"))
     spans = records.select("phase", first.alias("first"), last.alias("last"))
-    covered = spans.where("first <= last").select("phase", F.explode(F.sequence("first", "last")).alias("tick"))
-    active = covered.groupBy("phase", "tick").agg(F.count("*").alias("active"))
-    ends = spans.groupBy("phase").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first <= last")
-    spine = ends.select("phase", F.explode(F.sequence("first", "last")).alias("tick"))
-    return spine.join(active, ["phase", "tick"], "left").withColumn("active", F.coalesce("active", F.lit(0)))
+    ends = spans.groupBy("phase").agg(F.min("first").alias("from"), F.max("last").alias("to")).where("`from` <= `to`")
+    steps = F.array(F.struct(F.col("first").alias("tick"), F.lit(1).alias("d")), F.struct((F.col("last") + 1).alias("tick"), F.lit(-1).alias("d")))
+    deltas = spans.where("first <= last").select("phase", F.explode(steps).alias("s")).groupBy("phase", "s.tick").agg(F.sum("s.d").alias("d"))
+    of = lambda tick: F.floor(tick / RANGE_TICKS).cast("bigint")
+    ranges = ends.select("phase", "from", "to", F.explode(F.sequence(of(F.col("from")), of(F.col("to")))).alias("range"))
+    low, high = F.greatest("from", F.col("range") * RANGE_TICKS), F.least("to", (F.col("range") + 1) * RANGE_TICKS - 1)
+    spine = ranges.select("phase", "range", F.explode(F.sequence(low, high)).alias("tick"))
+    change = deltas.groupBy("phase", of(F.col("tick")).alias("range")).agg(F.sum("d").alias("change"))
+    before = Window.partitionBy("phase").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("change").over(before), F.lit(0)).alias("start")
+    starts = ranges.select("phase", "range").join(change, ["phase", "range"], "left").select("phase", "range", start)
+    inside = Window.partitionBy("phase", "range").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+    out = spine.join(deltas, ["phase", "tick"], "left").join(starts, ["phase", "range"])
+    return out.select("phase", "tick", (F.col("start") + F.coalesce(F.sum("d").over(inside), F.lit(0))).alias("active"))
 
 
 def littles_law(records: DataFrame, tick_ms: int) -> DataFrame:

@@ -37,12 +37,14 @@ def valid(rides: DataFrame, bounds: Bounds = DEFAULT) -> DataFrame:
     return rides.filter(valid_ids(bounds) & valid_body(bounds))
 
 
-def current(rides: DataFrame) -> DataFrame:
+def current(rides: DataFrame, together: list[str] | None = None) -> DataFrame:
     """The latest ride of each key, by ingest_seq, with its vertical.
 
     The value stays an int and the version a bigint: so the aggregation is by hash, with partial results before the shuffle.
+    With together, some of the key's columns, rides are dealt by these alone, and a later aggregation by them or by more
+    columns needs no shuffle of its own. They should be many and even, as a person's days are.
     """
-    latest = rides.groupBy(*RIDE_KEY).agg(F.max_by("liftID", "ingest_seq").alias("liftID"))
+    latest = (rides.repartition(*together) if together else rides).groupBy(*RIDE_KEY).agg(F.max_by("liftID", "ingest_seq").alias("liftID"))
     return latest.withColumn("vertical", vertical(F.col("liftID")))
 
 

@@ -1,6 +1,6 @@
 """Verticals, unique visitors and listings over current rides, and lookups of them."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rideledger.functions.parsing import blank, lenient_number, strict_number
@@ -80,10 +80,10 @@ def skier_seasons(rides: DataFrame) -> DataFrame:
     return rides.groupBy("skierID", "seasonID").agg(F.count_distinct("dayID").alias("n_days"), F.sum("vertical").alias("totalVert"))
 
 
-def skier_season_days(rides: DataFrame, skier: str, season: str) -> DataFrame:
-    """One person's rides of a season in order of days, as numbers."""
-    own = rides.where((F.col("skierID") == skier) & (F.col("seasonID") == season))
-    return own.select("resortID", "dayID", "time", "liftID", "vertical").orderBy(F.col("dayID").try_cast("int"), "time", "resortID")
+def season_listing(rides: DataFrame) -> DataFrame:
+    """Each person's rides of a season with their position in the order of days (as numbers), minutes and resorts."""
+    order = Window.partitionBy("skierID", "seasonID").orderBy(F.col("dayID").try_cast("int"), "time", "resortID", "dayID")
+    return rides.select("skierID", "seasonID", F.row_number().over(order).alias("position"), "resortID", "dayID", "time", "liftID", "vertical")
 
 
 def resort_day_skiers(rides: DataFrame) -> DataFrame:
@@ -92,5 +92,6 @@ def resort_day_skiers(rides: DataFrame) -> DataFrame:
 
 
 def resort_season_activity(rides: DataFrame) -> DataFrame:
-    """Rides and vertical of each person and day at a resort in a season."""
-    return rides.groupBy(*SKIER_DAY).agg(F.count("*").alias("n_rides"), F.sum("vertical").alias("totalVert"))
+    """Rides and vertical of each person and day at a resort in a season, in order of days and persons as numbers."""
+    found = rides.groupBy(*SKIER_DAY).agg(F.count("*").alias("n_rides"), F.sum("vertical").alias("totalVert"))
+    return found.orderBy("resortID", "seasonID", F.col("dayID").try_cast("int"), F.col("skierID").try_cast("int"))

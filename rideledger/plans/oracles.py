@@ -2,7 +2,7 @@
 
 from rideledger.functions.keys import RIDE_KEYS
 from rideledger.operators.rides import BAD_BODY, BAD_IDS
-from rideledger.plans.queries import PREFIX, SEASON, TICK_MS
+from rideledger.plans.queries import POINT, PREFIX, SEASON, TICK_MS
 
 
 def _is_int(c: str) -> str:
@@ -34,6 +34,7 @@ LATENCY = """records AS (
   SELECT event_id, epoch_us(ts) // 1000 AS start_ms, epoch_us(ts) // 1000 + CAST(floor(value * 1000) AS BIGINT) AS end_ms,
     'POST' AS request_type, CAST(floor(value * 1000) AS BIGINT) AS latency_ms,
     CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 429 ELSE 200 END AS response_code,
+    CASE WHEN event_type = 'error' THEN 500 WHEN event_id % 61 = 0 THEN 499 WHEN event_type = 'signup' THEN 429 ELSE 200 END AS ended,
     CASE WHEN dayofyear(ts) <= 5 THEN 1 ELSE 2 END AS phase
   FROM events)"""
 _DAY = "resortID, seasonID, dayID, skierID"
@@ -83,7 +84,7 @@ ORACLES = {
     "resort_day_skiers": f"WITH {SEASONS} SELECT DISTINCT resortID, dayID, skierID FROM current",
     "resort_season_activity": f"WITH {SEASONS} SELECT {_DAY}, count(*) AS n_rides, sum(vertical)::BIGINT AS totalVert FROM current GROUP BY ALL",
     "latency_from_intervals": f"WITH {LATENCY} SELECT event_id, latency_ms FROM records",
-    "latency_outcomes": f"WITH {LATENCY} SELECT phase, response_code, count_if(response_code BETWEEN 200 AND 299)::BIGINT AS n_success, count_if(response_code NOT BETWEEN 200 AND 299)::BIGINT AS n_failure FROM records GROUP BY ALL",
+    "latency_outcomes": f"WITH {LATENCY} SELECT phase, ended AS response_code, count_if(ended BETWEEN 200 AND 299)::BIGINT AS n_success, count_if(ended NOT BETWEEN 200 AND 299)::BIGINT AS n_failure FROM records GROUP BY ALL",
     "latency_summary": f"WITH {LATENCY} SELECT phase, {_SUMMARY} FROM records GROUP BY phase",
     "latency_csv_roundtrip": f"WITH {LATENCY} SELECT request_type, response_code, {_SUMMARY} FROM records GROUP BY request_type, response_code",
     "phase_throughput": f"WITH {LATENCY} SELECT phase, count(*) AS n, round(count(*) / ((max(end_ms) - min(start_ms)) / 1000), 6) AS per_second FROM records GROUP BY ROLLUP (phase)",
@@ -94,6 +95,17 @@ ORACLES = {
         FROM t LEFT JOIN a ON t.phase IS NOT DISTINCT FROM a.phase""",
     "ingest_stats": f"WITH {TAGGED} SELECT coalesce(reject_reason, 'accepted') AS result, count(*) AS n, min(ingest_seq) AS first_seq, max(ingest_seq) AS last_seq FROM tagged GROUP BY 1",
     "stream_bronze": f"WITH {TAGGED} SELECT ingest_seq, {_DAY}, time, liftID, reject_reason FROM tagged",
+    "stream_ingest_counters": f"WITH {TAGGED} SELECT count_if(reject_reason IS NULL)::BIGINT AS accepted, count_if(reject_reason = '{BAD_IDS}')::BIGINT AS bad_ids, count_if(reject_reason = '{BAD_BODY}')::BIGINT AS bad_body FROM tagged",
+    "mart_lookups": f"""WITH {CURRENT}, v AS ({_VERTICAL}), u AS ({_UNIQUE})
+        SELECT {_DAY}, coalesce(totalVertical, 0) AS totalVertical, coalesce(uniqueNumSkiers, 0) AS uniqueNumSkiers
+        FROM (SELECT DISTINCT {_DAY} FROM raw) LEFT JOIN v USING ({_DAY}) LEFT JOIN u USING (resortID, seasonID, dayID)""",
+    "mart_season_totals": f"WITH {CURRENT} SELECT skierID, resortID, seasonID, sum(vertical)::BIGINT AS totalVert FROM current WHERE resortID = '{POINT[0]}' AND seasonID = '{POINT[1]}' GROUP BY ALL",
+    "skier_season_listing": f"""WITH {SEASONS} SELECT skierID, seasonID, CAST(row_number() OVER (PARTITION BY skierID, seasonID ORDER BY TRY_CAST(dayID AS INT), time, resortID, dayID) AS INT) AS position,
+        resortID, dayID, time, liftID, vertical FROM current""",
+    "latency_report": f"WITH {LATENCY} SELECT phase, response_code, count(*) AS n, printf('%.2f', avg(latency_ms)) AS mean_text FROM records GROUP BY phase, response_code",
+    "synthetic_rides": """WITH made AS (SELECT CAST(((event_id * 2654435761 + 40503 + 104729) % 4294967296) // 64 % 100000 + 1 AS INT) AS skier,
+          CAST(((event_id * 2654435761 + 40503 + 3 * 104729) % 4294967296) // 64 % 360 + 1 AS INT) AS time FROM events)
+        SELECT time, count(*) AS n_rides, count(DISTINCT skier) AS n_skiers FROM made GROUP BY time""",
     "stream_unique_skiers": f"WITH {CURRENT} {_UNIQUE}",
     "stream_rides_current": f"WITH {CURRENT} SELECT * FROM current",
     "stream_day_vertical": f"WITH {CURRENT} {_VERTICAL}",

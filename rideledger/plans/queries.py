@@ -17,12 +17,18 @@ PREFIX = "5#2025#12#"
 SEASON = "1997"
 
 
-def _current(spark: SparkSession, folder: str) -> DataFrame:
-    return rides.current(rides.valid(tables.rides_of_events(spark, folder)))
+#: Rows of a stream's file, and about how many steps its files are taken in.
+FILE_ROWS, STEPS = 500_000, 3
+POINT = ("5", "2025")
+SKIER_SEASON = ["skierID", "resortID", "seasonID"]
 
 
-def _seasons(spark: SparkSession, folder: str) -> DataFrame:
-    return rides.current(rides.valid(tables.rides_of_lineitem(spark, folder), ANY_SEASON))
+def _current(spark: SparkSession, folder: str, together: list[str] | None = None) -> DataFrame:
+    return rides.current(rides.valid(tables.rides_of_events(spark, folder)), together)
+
+
+def _seasons(spark: SparkSession, folder: str, together: list[str] | None = None) -> DataFrame:
+    return rides.current(rides.valid(tables.rides_of_lineitem(spark, folder), ANY_SEASON), together)
 
 
 def _requests(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,11 +87,11 @@ def vertical_lenient(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def skier_day_vertical(spark: SparkSession, folder: str) -> DataFrame:
-    return totals.day_vertical(_current(spark, folder))
+    return totals.day_vertical(_current(spark, folder, SKIER_DAY))
 
 
 def skier_day_vertical_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    return totals.lookup(_requests(spark, folder), totals.day_vertical(_current(spark, folder)), SKIER_DAY, "totalVertical")
+    return totals.lookup(_requests(spark, folder), totals.day_vertical(_current(spark, folder, SKIER_DAY)), SKIER_DAY, "totalVertical")
 
 
 def resort_unique_skiers(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,25 +104,23 @@ def resort_unique_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unique_skiers_increment(spark: SparkSession, folder: str) -> DataFrame:
-    """The first half of the rides counted, the second added; the same as counting all."""
+    """Every other ride counted, then the others added; the same as counting all."""
     all_rides = rides.valid(tables.rides_of_events(spark, folder))
-    middle = all_rides.agg(F.expr("percentile_approx(ingest_seq, 0.5)").alias("middle"))
-    split = all_rides.join(F.broadcast(middle))  # one row
-    old, new = split.where("ingest_seq <= middle"), split.where("ingest_seq > middle")
+    old, new = all_rides.where("ingest_seq % 2 = 0"), all_rides.where("ingest_seq % 2 <> 0")
     counts, _ = totals.increment(totals.unique_skiers(old), old.select(*SKIER_DAY).distinct(), new)
     return counts
 
 
 def skier_resort_season_totals(spark: SparkSession, folder: str) -> DataFrame:
-    return totals.season_totals(_seasons(spark, folder))
+    return totals.season_totals(_seasons(spark, folder, SKIER_SEASON))
 
 
 def skier_resort_one_season(spark: SparkSession, folder: str) -> DataFrame:
-    return totals.one_season(_seasons(spark, folder), SEASON)
+    return totals.one_season(_seasons(spark, folder, SKIER_SEASON), SEASON)
 
 
 def skier_resort_totals_json(spark: SparkSession, folder: str) -> DataFrame:
-    return totals.totals_json(totals.season_totals(_seasons(spark, folder)))
+    return totals.totals_json(totals.season_totals(_seasons(spark, folder, SKIER_SEASON)))
 
 
 def read_request_status(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,7 +128,11 @@ def read_request_status(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def skier_season_days(spark: SparkSession, folder: str) -> DataFrame:
-    return totals.skier_seasons(_seasons(spark, folder))
+    return totals.skier_seasons(_seasons(spark, folder, ["skierID", "seasonID"]))
+
+
+def skier_season_listing(spark: SparkSession, folder: str) -> DataFrame:
+    return totals.season_listing(_seasons(spark, folder, ["skierID", "seasonID"]))
 
 
 def resort_day_skiers(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,7 +140,7 @@ def resort_day_skiers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def resort_season_activity(spark: SparkSession, folder: str) -> DataFrame:
-    return totals.resort_season_activity(_seasons(spark, folder))
+    return totals.resort_season_activity(_seasons(spark, folder, SKIER_DAY))
 
 
 def latency_from_intervals(spark: SparkSession, folder: str) -> DataFrame:
@@ -148,6 +156,10 @@ def latency_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return latency.outcomes(ended, ["phase", "response_code"])
 
 
+def latency_report(spark: SparkSession, folder: str) -> DataFrame:
+    return latency.report(tables.latencies_of_events(spark, folder), ["phase", "response_code"])
+
+
 def latency_summary(spark: SparkSession, folder: str) -> DataFrame:
     return latency.summary(tables.latencies_of_events(spark, folder), ["phase"])
 
@@ -178,8 +190,9 @@ def ingest_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, folder: str) -> tuple[str, str]:
-    work = files.workspace(spark)
-    files.write_json(tables.rides_of_events(spark, folder), f"{work}/in", 3)
+    """Rides written as files for a stream, as many as the rows ask for."""
+    work, raw = files.workspace(spark), tables.rides_of_events(spark, folder)
+    files.write_json(raw, f"{work}/in", max(STEPS, -(-raw.count() // FILE_ROWS)))
     return f"{work}/in", work
 
 
@@ -190,6 +203,33 @@ def stream_bronze(spark: SparkSession, folder: str) -> DataFrame:
     return bronze.unionByName(spark.read.parquet(f"{work}/quarantine").select(*bronze.columns))
 
 
+def stream_ingest_counters(spark: SparkSession, folder: str) -> DataFrame:
+    """What the stream's batches counted, added up."""
+    source, work = _streamed(spark, folder)
+    jobs.ingest(spark, source, work)
+    return spark.read.parquet(f"{work}/counters").agg(*[F.sum(c).alias(c) for c in ("accepted", "bad_ids", "bad_body")])
+
+
+def _marts(spark: SparkSession, folder: str) -> str:
+    work = files.workspace(spark)
+    rides.valid(tables.rides_of_events(spark, folder)).write.parquet(f"{work}/bronze")
+    jobs.refresh_marts(spark, f"{work}/bronze", f"{work}/gold")
+    return f"{work}/gold"
+
+
+def mart_lookups(spark: SparkSession, folder: str) -> DataFrame:
+    """All requests answered from the stored tables: the day's vertical, and the visitors of resort and day."""
+    gold = _marts(spark, folder)
+    found = totals.lookup(_requests(spark, folder), jobs.read_mart(spark, gold, "day_vertical"), SKIER_DAY, "totalVertical")
+    return totals.lookup(found, jobs.read_mart(spark, gold, "resort_day_unique"), RESORT_DAY, "uniqueNumSkiers")
+
+
+def mart_season_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """One resort's season totals from the stored table: one folder is read."""
+    resort, season = POINT
+    return jobs.read_mart(spark, _marts(spark, folder), "season_totals").where((F.col("resortID") == resort) & (F.col("seasonID") == season))
+
+
 def stream_unique_skiers(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.unique_skiers(spark, *_streamed(spark, folder))
 
@@ -203,7 +243,6 @@ def stream_day_vertical(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def synthetic_rides(spark: SparkSession, folder: str) -> DataFrame:
-    """As many synthetic rides as the directory has events, counted by minute."""
-    n = tables.table(spark, folder, "events").count()
-    made = rides.valid(tables.synthetic_rides(spark, n))
+    """A synthetic ride for each event, counted by minute."""
+    made = rides.valid(tables.synthetic_rides(tables.table(spark, folder, "events").select(F.col("event_id").alias("id"))))
     return made.groupBy("time").agg(F.count("*").alias("n_rides"), F.count_distinct("skierID").alias("n_skiers"))

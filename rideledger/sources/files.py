@@ -10,8 +10,12 @@ from rideledger.schemas import LATENCY_RECORD, RIDE_EVENT
 
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder below the shared one that the cluster names; a local one only where it names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rideledger-")
+    """A new folder below the shared one that the cluster names. Only a local master, whose executors share this machine, gets another."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="rideledger-")
     return f"{shared.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 

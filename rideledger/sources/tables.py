@@ -76,14 +76,14 @@ def latencies_of_events(spark: SparkSession, folder: str) -> DataFrame:
         took.alias("latency_ms"),
         code.alias("response_code"),
         F.when(F.dayofyear("ts") <= 5, 1).otherwise(2).alias("phase"),
-        F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("state"),
+        F.when(F.col("event_type") == "error", "failed").when(F.col("event_id") % 61 == 0, "cancelled").otherwise("completed").alias("state"),
     )
 
 
-def synthetic_rides(spark: SparkSession, n: int, seed: int = 1, skiers: int = 100_000, lifts: int = 40, minutes: int = 360) -> DataFrame:
-    """n uniform rides of one resort and day, made where they are read; the same rows under any partitioning."""
-    draw = lambda k, salt: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(k)) + 1).cast("int")
-    return spark.range(n).select(
+def synthetic_rides(ids: DataFrame, seed: int = 1, skiers: int = 100_000, lifts: int = 40, minutes: int = 360) -> DataFrame:
+    """A ride of one resort and day for each id, drawn evenly from the id: the same rows under any partitioning."""
+    draw = lambda k, salt: (F.expr(f"((id * 2654435761 + {seed * 40503 + salt * 104729}) % 4294967296) div 64 % {k}") + 1).cast("int")
+    return ids.select(
         F.col("id").alias("ingest_seq"),
         F.lit("1").alias("resortID"),
         F.lit("2025").alias("seasonID"),

@@ -4,15 +4,23 @@ Bronze is written a folder a batch, with overwrite, so a batch that is replayed
 moves on after that. Whatever is derived is derived from bronze or from keyed state, so replays change nothing.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rideledger.operators import rides, totals
-from rideledger.rules import DEFAULT, Bounds
+from rideledger.rules import BAD_BODY, BAD_IDS, DEFAULT, Bounds
 from rideledger.schemas import RESORT_DAY, RIDE_KEY, SKIER_DAY
 from rideledger.sources.files import ride_stream
 
 
+COUNTERS = "accepted bigint, bad_ids bigint, bad_body bigint"
+MARTS = {
+    "day_vertical": "resortID string, seasonID string, dayID string, skierID string, totalVertical bigint",
+    "resort_day_unique": "resortID string, seasonID string, dayID string, uniqueNumSkiers bigint",
+    "season_totals": "skierID string, resortID string, seasonID string, totalVert bigint",
+}
+
+
 def _run(stream: DataFrame, mode: str, work: str, each) -> None:
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).foreachBatch(each).start()
     query.awaitTermination()
@@ -23,13 +31,21 @@ def _write_batch(df: DataFrame, folder: str, batch: int) -> None:
 
 
 def ingest(spark: SparkSession, source: str, work: str, bounds: Bounds = DEFAULT, files_per_batch: int = 1) -> None:
-    """Valid rides to work/bronze, others with their reason to work/quarantine; bad records never stop the stream."""
+    """Valid rides to work/bronze, others with their reason to work/quarantine; bad records never stop the stream.
+
+    Each batch's counters, observed while it is written, go to work/counters.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        tagged = rides.tagged(batch, bounds).persist()
+        seen, reason = Observation(), F.col("reject_reason")
+        of = lambda test, name: F.count_if(test).alias(name)
+        tagged = rides.tagged(batch, bounds).observe(seen, of(reason.isNull(), "accepted"), of(reason == BAD_IDS, "bad_ids"), of(reason == BAD_BODY, "bad_body"))
+        tagged = tagged.persist()
         _write_batch(tagged.where("reject_reason is null").drop("reject_reason"), f"{work}/bronze", number)
         _write_batch(tagged.where("reject_reason is not null"), f"{work}/quarantine", number)
         tagged.unpersist()
+        counters = batch.sparkSession.createDataFrame([(seen.get["accepted"], seen.get["bad_ids"], seen.get["bad_body"])], COUNTERS)
+        _write_batch(counters, f"{work}/counters", number)
 
     _run(ride_stream(spark, source, files_per_batch), "append", work, each)
 
@@ -78,6 +94,11 @@ def refresh_marts(spark: SparkSession, bronze: str, gold: str) -> None:
     current = rides.current(spark.read.parquet(bronze)).persist()
     marts = {"day_vertical": totals.day_vertical, "resort_day_unique": totals.unique_skiers, "season_totals": totals.season_totals}
     for name, build in marts.items():
-        parts = [c for c in ("seasonID", "resortID") if c in build(current).columns]
+        parts = ["seasonID", "resortID"]
         build(current).write.mode("overwrite").partitionBy(*parts).parquet(f"{gold}/{name}")
     current.unpersist()
+
+
+def read_mart(spark: SparkSession, gold: str, name: str) -> DataFrame:
+    """A table of refresh_marts; a season and resort asked for is a folder that is read, all others are not."""
+    return spark.read.schema(MARTS[name]).parquet(f"{gold}/{name}")

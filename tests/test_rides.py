@@ -143,6 +143,31 @@ def test_csv_header(spark, tmp_path):
 
 
 def test_synthetic_source_is_stable(spark):
-    a, b = tables.synthetic_rides(spark, 500), tables.synthetic_rides(spark, 500).repartition(5)
+    a, b = tables.synthetic_rides(spark.range(500)), tables.synthetic_rides(spark.range(500).repartition(5))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert rides.valid(a).count() == 500
+
+
+def test_blank_counts_control_characters(spark):
+    df = spark.createDataFrame([(None,), ("",), ("\t \x01",), ("\u00a0",), ("a",)], "x string")
+    assert [r[0] for r in df.select(parsing.blank(F.col("x"))).collect()] == [True, True, True, False, False]
+
+
+def test_two_decimals_and_cancelled(spark):
+    df = spark.createDataFrame([(1, 0.125, "cancelled"), (2, 2.0, "failed"), (3, 1.006, "completed")], "id int, x double, state string")
+    got = df.orderBy("id").select(latency.two_decimals(F.col("x")), latency.outcome(F.col("state"), F.lit(200))).collect()
+    assert [tuple(r) for r in got] == [("0.13", 499), ("2.00", 500), ("1.01", 200)]
+
+
+def test_listing_goes_by_days_as_numbers(spark):
+    rows = [("7", "2025", "10", "1", 5, 3, 30), ("7", "2025", "9", "2", 5, 3, 30), ("7", "2025", "9", "1", 5, 4, 40)]
+    df = spark.createDataFrame(rows, "skierID string, seasonID string, dayID string, resortID string, time int, liftID int, vertical int")
+    got = totals.season_listing(df).orderBy("position").collect()
+    assert [(r.dayID, r.resortID) for r in got] == [("9", "1"), ("9", "2"), ("10", "1")]
+
+
+def test_gauge_over_many_ranges(spark):
+    """Long requests over ranges of ticks without any change."""
+    rows = [(1, 0, 100_000 * 100), (1, 50, 60), (1, 20_000 * 100, 20_001 * 100), (2, 5_000, 5_001)]
+    got = latency.gauge(spark.createDataFrame(rows, "phase int, start_ms long, end_ms long"), 100).where("phase = 1")
+    assert got.count() == 100_000 and {r.active: r["count"] for r in got.groupBy("active").count().collect()} == {1: 99_999, 2: 1}
