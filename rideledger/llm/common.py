@@ -41,6 +41,8 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Rows that go to Python at once.
+BATCH_ROWS = 1_000
 #: The one column that packed() gives to all columns an operator doesn't need.
 ROW = "__row"
 
@@ -61,7 +63,14 @@ def unpacked(df: DataFrame, docs: DataFrame) -> list[tuple[str, Column]]:
 
 
 def result_schema(docs: DataFrame, keep: list[str], more: str) -> T.StructType:
-    """The columns of docs that are kept, then those of a DDL string."""
+    """The columns of docs that are kept, then those of a DDL string: what a function over Arrow batches of docs returns.
+
+    Batches of whole texts should be short, or a worker's memory follows 10,000 of them: where the session has Spark's own
+    number of rows to a batch, it is lowered to BATCH_ROWS.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
     return T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep] + T.StructType.fromDDL(more).fields)
 
 
