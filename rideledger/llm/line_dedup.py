@@ -256,8 +256,9 @@ def near_long_lines(suspects: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
     keys, and if it is near none of them, with all at all its keys. Only what length, place and bag of words allow is
     compared word by word.
     """
-    w = F.split("line", " ")
-    lines = stored(suspects.select("h1", "h2", "first", F.size(w).alias("n"), _bag(w).alias("bag"), _long_keys(w, b).alias("runs")))
+    # By let, as what lambdas take from outside them is computed anew for each of their elements.
+    facts = let(F.split("line", " "), lambda w: F.struct(F.size(w).alias("n"), _bag(w).alias("bag"), _long_keys(w, b).alias("runs")))
+    lines = stored(suspects.select("h1", "h2", "first", facts.alias("x")).select("h1", "h2", "first", "x.n", "x.bag", "x.runs"))
 
     def keys(df: DataFrame, runs: Column) -> DataFrame:
         df = df.select("h1", "h2", "first", "n", "bag", F.explode(runs).alias("x"))
