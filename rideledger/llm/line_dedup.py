@@ -57,7 +57,7 @@ BOUNDS = Bounds()
 #: Lines at a key above which they also have to meet by length and place.
 MANY_LINES = 10
 #: Where lines are cut: after words that end so. About a quarter of words; with fewer cuts lines go by runs.
-_CUT = r"(?<=[dntoDNTO.]) "
+_CUT = r" (?<=[dntoDNTO.] )"  # the blank first, as it rules out most places
 #: Bits of a key for its place within its line, for a segment's length, and for the hash.
 PLACE_BITS, LENGTH_BITS = 15, 8
 #: Suspect lines, or hashes that two lines share, up to this number are broadcast (50 bytes each); above it, a shuffled join.
@@ -150,7 +150,7 @@ def _runs(w: Column, b: Bounds) -> Column:
     def kept(runs: Column) -> Column:
         # Where the few first runs don't hold enough that lie apart, all runs are keys.
         upto = lambda seen: F.when(F.size(seen) > bound, _key_of(F.element_at(seen, -1))).otherwise(F.lit(2**63 - 1))
-        return let(upto(apart(runs)), lambda last: F.filter(runs, lambda x: _key_of(x) <= last))
+        return let(let(apart(runs), upto), lambda last: F.filter(runs, lambda x: _key_of(x) <= last))
 
     return let(F.sort_array(let(F.transform(w, lambda x: F.xxhash64(x)), all_runs)), kept)
 
@@ -165,7 +165,7 @@ def _long_keys(w: Column, b: Bounds) -> Column:
     upto = lambda seen: F.when(F.size(seen) > bound, _key_of(F.element_at(seen, -1))).otherwise(F.lit(2**63 - 1))
 
     def few(first: Column) -> Column:
-        last = upto(F.aggregate(first, F.array().cast("array<bigint>"), add))
+        last = let(F.aggregate(first, F.array().cast("array<bigint>"), add), upto)
         return let(last, lambda x: F.filter(first, lambda y: _key_of(y) <= x))
 
     def keys(segments: Column) -> Column:
