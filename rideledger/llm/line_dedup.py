@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rideledger.llm.common import SPACES, broadcast_checked, let, packed, stored, table, unpacked, words
+from rideledger.llm.common import SPACE_BYTES, broadcast_checked, let, packed, stored, table, unpacked, words
 
 
 @dataclass(frozen=True)
@@ -70,8 +70,8 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("place"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-def _ids(w: Column) -> tuple[Column, Column]:
-    return F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(17), w).alias("h2")
+def _ids(line: Column) -> tuple[Column, Column]:
+    return F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(17), line).alias("h2")
 
 
 def _ends(w: Column) -> Column:
@@ -85,32 +85,46 @@ def _ends(w: Column) -> Column:
     return F.array(*halves(n), *halves(n - 1))
 
 
-def _chars(w: Column) -> Column:
+def _chars(line: Column) -> Column:
     """The characters of a line, each marked so that none equals a word."""
-    return F.transform(F.split(F.array_join(w, " "), ""), lambda x: F.concat(F.lit(" "), x))
+    return F.transform(F.split(line, ""), lambda x: F.concat(F.lit(" "), x))
 
 
-def _by_words(w: Column, b: Bounds) -> Column:
+def spaced(line: Column) -> Column:
+    """The words of a line with one space between. Most lines are that already, which a look for bytes tells."""
+    line = F.coalesce(line, F.lit(""))
+    other = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for blank in ("  ", "\t", "\n", "\x0b", "\x0c", "\r"):
+        other = other | F.contains(line, F.lit(blank))
+    return F.when(other, F.array_join(words(line), " ")).otherwise(line)
+
+
+def _size(line: Column) -> Column:
+    """How many words a line has that is spaced."""
+    return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+
+
+def _by_words(n: Column, b: Bounds) -> Column:
     """Whether a line is compared by words, with one edit; the shortest line of more edits may be one word longer than its neighbour."""
-    return (F.size(w) >= b.min_words) & (F.size(w) <= b.long)
+    return (n >= b.min_words) & (n <= b.long)
 
 
-def _by_chars(w: Column, b: Bounds) -> Column:
+def _by_chars(n: Column, line: Column, b: Bounds) -> Column:
     """Whether a line of few words, or one with a word more, is compared by characters."""
-    return (F.size(w) > 0) & (F.size(w) <= b.min_words) & (F.char_length(F.array_join(w, " ")) >= b.min_chars)
+    return (n > 0) & (n <= b.min_words) & (F.char_length(line) >= b.min_chars)
 
 
-def _many(w: Column, b: Bounds) -> Column:
+def _many(n: Column, b: Bounds) -> Column:
     """Whether a line may have more edits than one."""
-    return F.size(w) >= b.long
+    return n >= b.long
 
 
 _PLACE = (1 << PLACE_BITS) - 1
 _HASH = (1 << (63 - PLACE_BITS - LENGTH_BITS)) - 1
 
 
-def _edits(w: Column, b: Bounds) -> Column:
-    return F.floor(F.size(w) / b.words_an_edit).cast("int")
+def _edits(n: Column, b: Bounds) -> Column:
+    return F.floor(n / b.words_an_edit).cast("int")
 
 
 def _placed(rank: Column, hash_: Column, i: Column) -> Column:
@@ -127,52 +141,48 @@ def _place_of(x: Column) -> Column:
     return x.bitwiseAND(F.lit(_PLACE)).cast("int")
 
 
-def _segments(w: Column) -> Column:
+def _segments(line: Column) -> Column:
     """A line's segments in their order, each as one long."""
     longest = (1 << LENGTH_BITS) - 2
-    one = lambda x, i: _placed(F.lit(longest) - F.least(F.length(x), F.lit(longest)), F.xxhash64(x), i)
-    return F.sort_array(F.transform(F.split(F.array_join(w, " "), _CUT), one))
+    one = lambda x, i: _placed(F.greatest(F.lit(longest) - F.length(x), F.lit(0)), F.xxhash64(x), i)
+    return F.sort_array(F.transform(F.split(line, _CUT), one))
+
+
+def _apart(keys: Column, bound: Column, near, few: Column) -> Column:
+    """Of keys in their order, those up to the one with which more than `bound` of the few first lie apart; all, where
+    there is none. near(seen, place) tells whether a place is near one of those seen."""
+    add = lambda seen, p: F.when((F.size(seen) > bound) | near(seen, p), seen).otherwise(F.array_append(seen, p))
+
+    def kept(places: Column) -> Column:
+        at = lambda seen: F.element_at(keys, F.array_position(places, F.element_at(seen, -1)).cast("int"))
+        upto = lambda seen: F.when(F.size(seen) > bound, at(seen).bitwiseOR(F.lit(_PLACE))).otherwise(F.lit(2**63 - 1))
+        last = let(F.aggregate(places, F.array().cast("array<int>"), add), upto)
+        return let(last, lambda x: F.filter(keys, lambda y: y <= x))
 
+    return let(F.transform(F.slice(keys, F.lit(1), few), _place_of), kept)
 
-def _runs(w: Column, b: Bounds) -> Column:
+
+def _runs(line: Column, bound: Column, b: Bounds) -> Column:
     """Of a line's runs of words, as longs in their order, those that its edits can't all touch. Their rank is below that of segments."""
     last_rank = (1 << LENGTH_BITS) - 1
     gram = lambda h, i: _placed(F.lit(last_rank), F.xxhash64(F.slice(h, i, b.run)), i)
     all_runs = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (b.run - 1)), lambda i: gram(h, i))
-    bound = _edits(w, b)
-
-    def apart(runs: Column) -> Column:
-        """The first runs that lie apart, one more than the line may have edits, of the few first runs."""
-        close = lambda x, y: F.abs(_place_of(x) - _place_of(y)) < b.run
-        add = lambda seen, x: F.when((F.size(seen) > bound) | F.exists(seen, lambda y: close(x, y)), seen).otherwise(F.concat(seen, F.array(x)))
-        return F.aggregate(F.slice(runs, F.lit(1), 6 * (bound + 1)), F.array().cast("array<bigint>"), add)
-
-    def kept(runs: Column) -> Column:
-        # Where the few first runs don't hold enough that lie apart, all runs are keys.
-        upto = lambda seen: F.when(F.size(seen) > bound, _key_of(F.element_at(seen, -1))).otherwise(F.lit(2**63 - 1))
-        return let(let(apart(runs), upto), lambda last: F.filter(runs, lambda x: _key_of(x) <= last))
+    near = lambda seen, p: F.exists(seen, lambda y: F.abs(p - y) < b.run)
+    hashed = F.transform(F.split(line, " "), lambda x: F.xxhash64(x))
+    # Where the few first runs don't hold enough that lie apart, all runs are keys.
+    return let(F.sort_array(let(hashed, all_runs)), lambda runs: _apart(runs, bound, near, 6 * (bound + 1)))
 
-    return let(F.sort_array(let(F.transform(w, lambda x: F.xxhash64(x)), all_runs)), kept)
 
-
-def _long_keys(w: Column, b: Bounds) -> Column:
+def _long_keys(line: Column, n: Column, b: Bounds) -> Column:
     """The keys of a line that may have more edits than one, each with its place, as longs."""
-    bound = _edits(w, b)
-
     # Of segments that are no neighbours an edit touches one at most, so bound + 1 of these do as well as 2 * bound + 1.
-    near_by = lambda x, y: F.abs(_place_of(x) - _place_of(y)) < 2
-    add = lambda seen, x: F.when((F.size(seen) > bound) | F.exists(seen, lambda y: near_by(x, y)), seen).otherwise(F.concat(seen, F.array(x)))
-    upto = lambda seen: F.when(F.size(seen) > bound, _key_of(F.element_at(seen, -1))).otherwise(F.lit(2**63 - 1))
-
-    def few(first: Column) -> Column:
-        last = let(F.aggregate(first, F.array().cast("array<bigint>"), add), upto)
-        return let(last, lambda x: F.filter(first, lambda y: _key_of(y) <= x))
+    near = lambda seen, p: F.array_contains(seen, p) | F.array_contains(seen, p - 1) | F.array_contains(seen, p + 1)
 
-    def keys(segments: Column) -> Column:
-        first = let(F.slice(segments, F.lit(1), 2 * bound + 1), few)
-        return F.when(F.size(segments) <= 3 * bound, F.concat(first, _runs(w, b))).otherwise(first)
+    def keys(segments: Column, bound: Column) -> Column:
+        first = let(F.slice(segments, F.lit(1), 2 * bound + 1), lambda x: _apart(x, bound, near, F.size(x)))
+        return F.when(F.size(segments) <= 3 * bound, F.concat(first, _runs(line, bound, b))).otherwise(first)
 
-    return let(_segments(w), keys)
+    return let(_edits(n, b), lambda bound: let(_segments(line), lambda segments: keys(segments, bound)))
 
 
 def _order() -> Column:
@@ -257,7 +267,7 @@ def near_long_lines(suspects: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
     compared word by word.
     """
     # By let, as what lambdas take from outside them is computed anew for each of their elements.
-    facts = let(F.split("line", " "), lambda w: F.struct(F.size(w).alias("n"), _bag(w).alias("bag"), _long_keys(w, b).alias("runs")))
+    facts = let(F.split("line", " "), lambda w: F.struct(F.size(w).alias("n"), _bag(w).alias("bag"), _long_keys(F.col("line"), F.size(w), b).alias("runs")))
     lines = stored(suspects.select("h1", "h2", "first", facts.alias("x")).select("h1", "h2", "first", "x.n", "x.bag", "x.runs"))
 
     def keys(df: DataFrame, runs: Column) -> DataFrame:
@@ -303,11 +313,12 @@ def judged(docs: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
 
     Lines without words always stay. Rows with the same doc_id and text are one document, however often they repeat.
     """
-    rows = split_lines(docs).withColumn("w", words(F.col("line")))
-    w, none = F.col("w"), F.array().cast("array<bigint>")
-    keys = [F.when(_by_words(w, b), _ends(w)).otherwise(none), F.when(_by_chars(w, b), let(_chars(w), _ends)).otherwise(none)]
-    keys.append(F.when(_many(w, b), F.transform(_long_keys(w, b), lambda x: F.xxhash64(F.lit(2), _key_of(x)))).otherwise(none))
-    lines = stored(rows.select("doc_id", "place", "line_no", F.size("w").alias("n"), *_ids(w), F.concat(*keys).alias("keys")))
+    rows = split_lines(docs).withColumn("line", spaced(F.col("line"))).withColumn("n", _size(F.col("line")))
+    line, n, none = F.col("line"), F.col("n"), F.array().cast("array<bigint>")
+    by_words, by_chars = let(F.split(line, " "), _ends), let(_chars(line), _ends)
+    keys = [F.when(_by_words(n, b), by_words).otherwise(none), F.when(_by_chars(n, line, b), by_chars).otherwise(none)]
+    keys.append(F.when(_many(n, b), F.transform(_long_keys(line, n, b), lambda x: F.xxhash64(F.lit(2), _key_of(x)))).otherwise(none))
+    lines = stored(rows.select("doc_id", "place", "line_no", "n", *_ids(line), F.concat(*keys).alias("keys")))
     full = lines.filter("n > 0")
     firsts = stored(full.groupBy("h1", "h2").agg(F.min(_order()).alias("first")))
     keys = lines.select("h1", F.explode("keys").alias("key"))
@@ -320,13 +331,13 @@ def judged(docs: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
         broadcast_checked(where, BROADCAST_LINES), (F.col("place") == F.col("w_place")) & (F.col("line_no") == F.col("w_line")) & F.col("order").eqNullSafe(F.col("first"))
     )
     # As text with one space between words, which is a third of what a list of words takes when it is shuffled.
-    texts = stored(texts.select("h1", "h2", "first", F.array_join(words(F.col("line")), " ").alias("line")).dropDuplicates(["h1", "h2"]))
-    texts = texts.withColumn("w", F.split("line", " "))
+    texts = stored(texts.select("h1", "h2", "first", spaced(F.col("line")).alias("line")).dropDuplicates(["h1", "h2"]))
+    texts = texts.withColumn("w", F.split("line", " ")).withColumn("n", F.size("w"))
     # A line of min_words words is compared both ways, as two lines; the second has another h2.
-    by_chars = texts.filter(_by_chars(w, b)).select("h1", F.bitwise_not("h2").alias("h2"), "first", _chars(w).alias("w"))
-    near = stored(near_lines(stored(texts.filter(_by_words(w, b)).select("h1", "h2", "first", "w").unionByName(by_chars))))
+    by_chars = texts.filter(_by_chars(n, line, b)).select("h1", F.bitwise_not("h2").alias("h2"), "first", _chars(line).alias("w"))
+    near = stored(near_lines(stored(texts.filter(_by_words(n, b)).select("h1", "h2", "first", "w").unionByName(by_chars))))
     near = near.unionByName(near.select("h1", F.bitwise_not("h2").alias("h2")))
-    near = near.unionByName(near_long_lines(texts.filter(_many(w, b)).drop("w"), b)).distinct()
+    near = near.unionByName(near_long_lines(texts.filter(_many(n, b)).drop("w", "n"), b)).distinct()
     classes = firsts.select("h1", "h2", "first").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
     state = F.when(~_order().eqNullSafe(F.col("first")), F.lit("equal")).when(F.col("near"), F.lit("near")).otherwise(F.lit(""))
     states = full.join(classes, ["h1", "h2"]).select("doc_id", "place", "line_no", state.alias("state"))
@@ -343,9 +354,9 @@ def _judged_rows(docs: DataFrame, b: Bounds) -> DataFrame:
     # Hashing the short flags spares a sort of the texts.
     joined = rows.join(flags.hint("shuffle_hash"), (here == F.col("f_place")) & F.col("doc_id").eqNullSafe(F.col("f_id")))
     count = lambda kind: F.size(F.filter("flags", lambda f: f == kind)).cast("long")
-    lines = F.split(F.col("text"), "\n")
-    kept = F.filter(lines, lambda _, i: F.get(F.col("flags"), i) == "")
-    full = F.size(F.filter(lines, lambda x: F.regexp_replace(x, SPACES, "") != "")).cast("long")
+    joined = joined.withColumn("lines", F.split("text", "\n"))
+    kept = F.filter("lines", lambda _, i: F.get(F.col("flags"), i) == "")
+    full = F.size(F.filter("lines", lambda x: F.ltrim(x, F.lit(SPACE_BYTES.decode())) != "")).cast("long")
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(full).cast("long")
     return joined.select(
         *[F.col(c) for c in rows.columns if c != "text"],
