@@ -11,13 +11,14 @@ from rideledger.llm.common import stored
 _ROW_BITS = 33
 
 
-def ranked(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+def ranked(df: DataFrame, group: str, order: list[str], idx: str = "idx", n: str = "n") -> DataFrame:
     """df plus idx (position from 0 in the row's group by order, nulls first) and n (rows of the group), both long.
 
     Rows are dealt in ranges of (group, order), so a large group lies in many; each range knows its rows' places in it and
     starts after the rows that the ranges before it have of the group. The places are written with the rows, so a lost
     executor changes none. group has no nulls; rows that tie in all of order get different places, in any order. df is
-    read twice (once to find the ranges) and should be a stored table. Columns idx, n and __at are the function's own.
+    read twice (once to find the ranges) and should be a stored table. Columns
+    named idx, n or __at, __part, __rows, __first, __shift are the function's own.
     """
     keys = [group, *[c for c in order if c != group]]
     dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
@@ -30,7 +31,7 @@ def ranked(df: DataFrame, group: str, order: list[str]) -> DataFrame:
         group,
         "__part",
         (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")).alias("__shift"),
-        F.sum("__rows").over(of_group).alias("n"),
+        F.sum("__rows").over(of_group).alias(n),
     )
     joined = placed.withColumn("__part", part).join(starts, [group, "__part"])
-    return joined.select(*df.columns, (F.col("__at") + F.col("__shift")).alias("idx"), "n")
+    return joined.select(*df.columns, (F.col("__at") + F.col("__shift")).alias(idx), n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rideledger.llm import bpe, chat, fingerprints, langid, line_dedup, merkle, mixing, ngram_join, quality, token_counts, toxicity
+from rideledger.llm import bpe, chat, fingerprints, langid, line_dedup, merkle, mixing, ngram_join, packing, phrases, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_fingerprints": fingerprints.query,
     "op10_bpe": bpe.query,
+    "op11_packing": packing.query,
+    "op12_phrases": phrases.query,
     "op13_merkle": merkle.query,
 }
-ORACLES = {"op5_chat": chat.ORACLE, "op8_mixing": mixing.ORACLE, "op13_merkle": merkle.ORACLE}
+ORACLES = {"op5_chat": chat.ORACLE, "op8_mixing": mixing.ORACLE, "op12_phrases": phrases.ORACLE, "op13_merkle": merkle.ORACLE}
