@@ -18,17 +18,63 @@ def succeeded(code: Column) -> Column:
     return F.coalesce((code >= 200) & (code < 300), F.lit(False))
 
 
+#: Values that one task puts in order.
+RANGE_VALUES = 4096
+
+
+def _same(left: str, right: str, columns: list[str]) -> Column:
+    """Rows of two sides that agree in columns, nulls too."""
+    out = F.lit(True)
+    for c in columns:
+        out &= F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return out
+
+
+def ranks(counts: DataFrame, by: list[str], wanted: DataFrame) -> DataFrame:
+    """(by, name, value): of each group's values in order, those at the places from 0 that wanted (by, name, place) asks for.
+
+    counts (by, value, c) has how often each value occurs. Values lie in ranges; sums of the ranges before it tell which range
+    a place is in, and only the values of such ranges are put in order. No task holds a group's values, or a buffer of them.
+    """
+    ranged = counts.withColumn("range", F.floor(F.col("value") / RANGE_VALUES).cast("bigint"))
+    before = lambda keys, at: Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy(*by, "range").agg(F.sum("c").alias("in_range"))
+    ranges = ranges.withColumn("start", F.coalesce(F.sum("in_range").over(before(by, "range")), F.lit(0)))
+    # A few places for each group, each in one range.
+    place, start = F.col("w.place"), F.col("r.start")
+    inside = (place >= start) & (place < start + F.col("r.in_range"))
+    found = ranges.alias("r").join(wanted.alias("w"), _same("r", "w", by) & inside)
+    found = found.select(*[F.col(f"w.{c}") for c in by], "w.name", "r.range", (place - start).alias("left"))
+    needed = found.select(*by, "range").distinct()
+    some = ranged.alias("v").join(needed.alias("n"), _same("v", "n", [*by, "range"]), "left_semi")
+    some = some.withColumn("below", F.coalesce(F.sum("c").over(before([*by, "range"], "value")), F.lit(0)))
+    at, low = F.col("f.left"), F.col("s.below")
+    hit = some.alias("s").join(found.alias("f"), _same("s", "f", [*by, "range"]) & (at >= low) & (at < low + F.col("s.c")))
+    return hit.select(*[F.col(f"f.{c}") for c in by], "f.name", "s.value")
+
+
 def summary(records: DataFrame, by: list[str]) -> DataFrame:
-    """Mean, median (cut to a whole number), nearest-rank 99th percentile, least and most; no records give no row."""
-    x = F.col("latency_ms")
-    return records.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.round(F.avg(x), 6).alias("mean_ms"),
-        F.floor(F.percentile(x, 0.5)).cast("bigint").alias("median_ms"),
-        F.expr("percentile_disc(0.99) within group (order by latency_ms)").cast("bigint").alias("p99_ms"),
-        F.min(x).alias("min_ms"),
-        F.max(x).alias("max_ms"),
+    """Mean, median (cut to a whole number), nearest-rank 99th percentile, least and most; no records give no row.
+
+    All of it comes from how often each latency occurs. The median of an even number is the mean of the two in the middle.
+    """
+    counts = records.groupBy(*by, F.col("latency_ms").alias("value")).agg(F.count("*").alias("c"))
+    known = F.when(F.col("value").isNotNull(), F.col("c"))
+    whole = counts.groupBy(*by).agg(
+        F.sum("c").alias("n"),
+        F.sum(known).alias("m"),
+        F.round(F.sum(F.col("value") * F.col("c")) / F.sum(known), 6).alias("mean_ms"),
+        F.min("value").alias("min_ms"),
+        F.max("value").alias("max_ms"),
     )
+    places = {"low": "(m - 1) div 2", "high": "m div 2", "p99": "(99 * m + 99) div 100 - 1"}
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.expr(e).alias("place")) for k, e in places.items()]))
+    wanted = whole.where("m > 0").select(*by, asked.alias("p")).select(*by, "p.name", "p.place")
+    found = ranks(counts.where("value is not null"), by, wanted).groupBy(*by)
+    of = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    middle = found.agg(F.floor((of("low") + of("high")) / 2).cast("bigint").alias("median_ms"), of("p99").cast("bigint").alias("p99_ms"))
+    out = whole.alias("a").join(middle.alias("b"), _same("a", "b", by), "left")
+    return out.select(*[F.col(f"a.{c}") for c in by], "n", "mean_ms", "median_ms", "p99_ms", "min_ms", "max_ms")
 
 
 def two_decimals(number: Column) -> Column:

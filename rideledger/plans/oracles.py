@@ -2,7 +2,8 @@
 
 from rideledger.functions.keys import RIDE_KEYS
 from rideledger.operators.rides import BAD_BODY, BAD_IDS
-from rideledger.plans.queries import POINT, PREFIX, SEASON, TICK_MS
+from rideledger.plans.queries import POINT, PREFIX, SEASON, SKIER, STEPS, TICK_MS
+from rideledger.rules import UNREADABLE
 
 
 def _is_int(c: str) -> str:
@@ -95,7 +96,18 @@ ORACLES = {
         FROM t LEFT JOIN a ON t.phase IS NOT DISTINCT FROM a.phase""",
     "ingest_stats": f"WITH {TAGGED} SELECT coalesce(reject_reason, 'accepted') AS result, count(*) AS n, min(ingest_seq) AS first_seq, max(ingest_seq) AS last_seq FROM tagged GROUP BY 1",
     "stream_bronze": f"WITH {TAGGED} SELECT ingest_seq, {_DAY}, time, liftID, reject_reason FROM tagged",
-    "stream_ingest_counters": f"WITH {TAGGED} SELECT count_if(reject_reason IS NULL)::BIGINT AS accepted, count_if(reject_reason = '{BAD_IDS}')::BIGINT AS bad_ids, count_if(reject_reason = '{BAD_BODY}')::BIGINT AS bad_body FROM tagged",
+    "stream_ingest_counters": f"""WITH {TAGGED} SELECT count_if(reject_reason IS NULL)::BIGINT AS accepted, count_if(reject_reason = '{BAD_IDS}')::BIGINT AS bad_ids,
+        count_if(reject_reason = '{BAD_BODY}')::BIGINT AS bad_body, 0::BIGINT AS unreadable, {STEPS - 1}::BIGINT AS first_files_left, 0::BIGINT AS last_files_left FROM tagged""",
+    "stream_dead_letters": f"""WITH {TAGGED}, lines AS (SELECT *, CAST(json_object('ingest_seq', ingest_seq, 'resortID', resortID, 'seasonID', seasonID, 'dayID', dayID,
+        'skierID', skierID, 'liftID', liftID, 'time', time) AS VARCHAR) AS line FROM tagged)
+        SELECT CASE WHEN ingest_seq % 83 = 0 THEN left(line, length(line) - 1) ELSE line END AS value, CASE WHEN ingest_seq % 83 = 0 THEN '{UNREADABLE}' ELSE reject_reason END AS reject_reason
+        FROM lines WHERE ingest_seq % 83 = 0 OR reject_reason IS NOT NULL""",
+    "stream_redelivered": f"WITH {VALID} SELECT ingest_seq, {_DAY}, time, liftID FROM valid",
+    "stream_published": f"WITH {VALID} SELECT ingest_seq, {_DAY}, time, liftID FROM valid",
+    "rides_compacted": f"WITH {CURRENT} SELECT * FROM current",
+    "mart_skier_days": f"WITH {CURRENT}, v AS ({_VERTICAL}) SELECT * FROM v WHERE resortID = '{POINT[0]}' AND seasonID = '{POINT[1]}' AND skierID = '{SKIER}'",
+    "unique_skiers_tracked": f"WITH {CURRENT} {_UNIQUE}",
+    "stream_unique_skiers_within": f"WITH {CURRENT} {_UNIQUE}",
     "mart_lookups": f"""WITH {CURRENT}, v AS ({_VERTICAL}), u AS ({_UNIQUE})
         SELECT {_DAY}, coalesce(totalVertical, 0) AS totalVertical, coalesce(uniqueNumSkiers, 0) AS uniqueNumSkiers
         FROM (SELECT DISTINCT {_DAY} FROM raw) LEFT JOIN v USING ({_DAY}) LEFT JOIN u USING (resortID, seasonID, dayID)""",

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from rideledger.functions import keys, parsing
 from rideledger.operators import latency, rides, totals
-from rideledger.rules import ANY_SEASON
+from rideledger.rules import ANY_SEASON, UNREADABLE
 from rideledger.schemas import RESORT_DAY, RIDE_KEY, SKIER_DAY
 from rideledger.sources import files, tables
-from rideledger.streaming import jobs
+from rideledger.streaming import jobs, marts, running
+from rideledger.streaming.tracker import Tracker
 
 TICK_MS = 60_000
 PREFIX = "5#2025#12#"
@@ -20,6 +21,10 @@ SEASON = "1997"
 #: Rows of a stream's file, and about how many steps its files are taken in.
 FILE_ROWS, STEPS = 500_000, 3
 POINT = ("5", "2025")
+#: A person whose days at POINT are read.
+SKIER = "123"
+#: Longer than any ride of the tables is late.
+DELAY = "400 days"
 SKIER_SEASON = ["skierID", "resortID", "seasonID"]
 
 
@@ -199,47 +204,125 @@ def _streamed(spark: SparkSession, folder: str) -> tuple[str, str]:
 def stream_bronze(spark: SparkSession, folder: str) -> DataFrame:
     source, work = _streamed(spark, folder)
     jobs.ingest(spark, source, work)
-    bronze = spark.read.parquet(f"{work}/bronze").select("ingest_seq", *RIDE_KEY, "liftID", F.lit(None).cast("string").alias("reject_reason"))
-    return bronze.unionByName(spark.read.parquet(f"{work}/quarantine").select(*bronze.columns))
+    columns = ["ingest_seq", *RIDE_KEY, "liftID"]
+    bronze = jobs.bronze(spark, work).select(*columns, F.lit(None).cast("string").alias("reject_reason"))
+    return bronze.unionByName(jobs.quarantine(spark, work).select(*columns, "reject_reason"))
 
 
 def stream_ingest_counters(spark: SparkSession, folder: str) -> DataFrame:
-    """What the stream's batches counted, added up."""
+    """What the stream's batches counted, added up, and how many files waited behind the last one."""
     source, work = _streamed(spark, folder)
     jobs.ingest(spark, source, work)
-    return spark.read.parquet(f"{work}/counters").agg(*[F.sum(c).alias(c) for c in ("accepted", "bad_ids", "bad_body")])
+    counters = spark.read.parquet(f"{work}/counters")
+    sums = [F.sum(c).alias(c) for c in ("accepted", "bad_ids", "bad_body", "unreadable")]
+    return counters.agg(*sums, F.min_by("files_left", "batch_id").alias("first_files_left"), F.max_by("files_left", "batch_id").alias("last_files_left"))
+
+
+def _broken(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """The same rides, every 83rd record cut short."""
+    work, raw = files.workspace(spark), tables.rides_of_events(spark, folder)
+    line = F.to_json(F.struct(*raw.columns))
+    lines = raw.select("ingest_seq", line.alias("line"))
+    cut = F.when(F.col("ingest_seq") % 83 == 0, F.expr("left(line, length(line) - 1)")).otherwise(F.col("line"))
+    lines = lines.repartitionByRange(max(STEPS, -(-raw.count() // FILE_ROWS)), "ingest_seq")
+    lines.select(cut.alias("value")).write.text(f"{work}/in")
+    return f"{work}/in", work
+
+
+def stream_dead_letters(spark: SparkSession, folder: str) -> DataFrame:
+    """Rejected records as they came, with their reason; some can't be read at all."""
+    source, work = _broken(spark, folder)
+    jobs.ingest(spark, source, work)
+    return jobs.quarantine(spark, work).select("value", "reject_reason")
+
+
+def stream_redelivered(spark: SparkSession, folder: str) -> DataFrame:
+    """All rides that are accepted once the unreadable records have been mended and sent again."""
+    source, work = _broken(spark, folder)
+    jobs.ingest(spark, source, work)
+    letters = jobs.quarantine(spark, work).where(F.col("reject_reason") == UNREADABLE)
+    jobs.redeliver(letters.withColumn("value", F.concat("value", F.lit("}"))), source)
+    jobs.ingest(spark, source, work)
+    return jobs.bronze(spark, work).select("ingest_seq", *RIDE_KEY, "liftID")
+
+
+def stream_published(spark: SparkSession, folder: str) -> DataFrame:
+    """Valid rides published as keyed records, and read from there as a stream again."""
+    source, work = _streamed(spark, folder)
+    jobs.publish(rides.valid(files.ride_stream(spark, source)), f"{work}/out", f"{work}/publishing")
+    jobs.ingest(spark, f"{work}/out", work)
+    return jobs.bronze(spark, work).select("ingest_seq", *RIDE_KEY, "liftID")
+
+
+def _bronze(spark: SparkSession, folder: str) -> tuple[str, list[DataFrame]]:
+    """(a workspace, valid rides in STEPS parts as they might come in)."""
+    valid = rides.valid(tables.rides_of_events(spark, folder))
+    return files.workspace(spark), [valid.where(F.col("ingest_seq") % STEPS == i) for i in range(STEPS)]
+
+
+def rides_compacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Current rides from a base of the first batches and the last batch, merged as they are read."""
+    work, parts = _bronze(spark, folder)
+    for i, part in enumerate(parts):
+        jobs.write_batch(part, f"{work}/bronze", i)
+        if i + 1 < len(parts):
+            marts.compact(spark, f"{work}/bronze", f"{work}/base")
+    return marts.current_rides(spark, f"{work}/bronze", f"{work}/base")
 
 
 def _marts(spark: SparkSession, folder: str) -> str:
-    work = files.workspace(spark)
-    rides.valid(tables.rides_of_events(spark, folder)).write.parquet(f"{work}/bronze")
-    jobs.refresh_marts(spark, f"{work}/bronze", f"{work}/gold")
+    """Marts of all rides, refreshed after each batch."""
+    work, parts = _bronze(spark, folder)
+    for i, part in enumerate(parts):
+        jobs.write_batch(part, f"{work}/bronze", i)
+        marts.compact(spark, f"{work}/bronze", f"{work}/base")
+        marts.refresh(spark, f"{work}/base", f"{work}/gold")
     return f"{work}/gold"
 
 
 def mart_lookups(spark: SparkSession, folder: str) -> DataFrame:
     """All requests answered from the stored tables: the day's vertical, and the visitors of resort and day."""
     gold = _marts(spark, folder)
-    found = totals.lookup(_requests(spark, folder), jobs.read_mart(spark, gold, "day_vertical"), SKIER_DAY, "totalVertical")
-    return totals.lookup(found, jobs.read_mart(spark, gold, "resort_day_unique"), RESORT_DAY, "uniqueNumSkiers")
+    found = totals.lookup(_requests(spark, folder), marts.read_mart(spark, gold, "day_vertical"), SKIER_DAY, "totalVertical")
+    return totals.lookup(found, marts.read_mart(spark, gold, "resort_day_unique"), RESORT_DAY, "uniqueNumSkiers")
 
 
 def mart_season_totals(spark: SparkSession, folder: str) -> DataFrame:
     """One resort's season totals from the stored table: one folder is read."""
     resort, season = POINT
-    return jobs.read_mart(spark, _marts(spark, folder), "season_totals").where((F.col("resortID") == resort) & (F.col("seasonID") == season))
+    found = marts.read_mart(spark, _marts(spark, folder), "season_totals")
+    return found.where((F.col("resortID") == resort) & (F.col("seasonID") == season))
+
+
+def mart_skier_days(spark: SparkSession, folder: str) -> DataFrame:
+    """One person's days from the stored table: one folder, and of it what can have the person."""
+    return marts.skier_days(spark, _marts(spark, folder), *POINT, SKIER)
+
+
+def unique_skiers_tracked(spark: SparkSession, folder: str) -> DataFrame:
+    """Visitors counted batch by batch against a stored tracker, one batch sent twice."""
+    work, parts = _bronze(spark, folder)
+    tracker = Tracker(spark, f"{work}/tracker", f"tracker_{work.rsplit('-', 1)[1]}")
+    for i in (0, 1, 1, 2):
+        tracker.add(parts[i], i)
+    return tracker.counts()
 
 
 def stream_unique_skiers(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.unique_skiers(spark, *_streamed(spark, folder))
 
 
+def stream_unique_skiers_within(spark: SparkSession, folder: str) -> DataFrame:
+    """Visitors with bounded state; none of the rides is as late as the bound."""
+    return jobs.unique_skiers_within(spark, *_streamed(spark, folder), DELAY)
+
+
 def stream_rides_current(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.rides_current(spark, *_streamed(spark, folder))
 
 
 def stream_day_vertical(spark: SparkSession, folder: str) -> DataFrame:
-    return jobs.day_vertical(spark, *_streamed(spark, folder))
+    return running.day_vertical(spark, *_streamed(spark, folder))
 
 
 def synthetic_rides(spark: SparkSession, folder: str) -> DataFrame:

@@ -17,3 +17,4 @@ class Bounds:
 DEFAULT = Bounds()
 ANY_SEASON = Bounds(season=None)
 BAD_IDS, BAD_BODY = "Invalid path parameters", "Invalid LiftRide data"
+UNREADABLE = "Unreadable record"
