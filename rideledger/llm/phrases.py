@@ -5,9 +5,13 @@ Tasks fill the stripes of their own texts, equal prefixes' stripes meet and are
 rest is read off the sum: a counter's frequent words are the prefix's extensions, the totals are the frequencies of all
 parts a phrase can be cut into, and the largest extensions tell which phrases a longer one subsumes.
 
-Stripes are made a length at a time, since a phrase can only be frequent if both phrases of one word less inside it are:
-the frequent ones of a length are put in a bit filter of fixed size, which the next pass over the texts asks before it
-counts. The filter errs to one side only, so no frequent phrase is missed, however full it is; counts are exact.
+A prefix's own count is an element of the stripe of the prefix one word shorter; the empty prefix's counts all words.
+
+Stripes are made a length at a time, since a phrase can only be frequent if both phrases of one word less inside it are.
+Before a length is counted, the pass for the length before it counts hashes of its phrases, four bytes each: those that
+are frequent enough are put in a bit filter of fixed size, which the next pass asks before it counts. Hashes that
+collide and bits that are shared only let more pass, so no frequent phrase is missed however full the filter is; what
+it lets pass is counted exactly.
 """
 
 from __future__ import annotations
@@ -36,11 +40,15 @@ WINDOW_WORDS = 2_000_000
 SLICE_BYTES = 4_000_000
 #: Parts that a stripe is dealt in by its next words: that of the empty prefix, whose counter is the vocabulary; others.
 WORD_PARTS, PARTS = 1024, 16
+#: Rows that a task hands on at once.
+ROWS = 50_000
 #: Languages up to this number are broadcast, one short row each; above it, their table is shuffled.
 BROADCAST_LANGS = 100_000
 #: Hash groups that a language's best phrases are first sought in.
 TOP_PARTS = 64
-STRIPE = "lang string, prefix string, part int, next array<string>, n array<bigint>"
+#: Bits of a hashed phrase that are counted: those that rows share, and those that tell phrases of a row apart.
+GROUP_BITS, LOW_BITS = 14, 32
+PART_RESULT = "lang string, prefix string, part int, next array<string>, n array<bigint>, group int, low array<int>, times array<int>"
 
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + b"\t" + _ENDS, bytes(range(97, 123)) + b" " + b"\n" * len(_ENDS))
@@ -69,20 +77,25 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
-def _places(lang: bytes, hashes: np.ndarray, ids: np.ndarray, k: int, filter_bits: int) -> np.ndarray:
-    """Places, in a filter of so many bits as a power of two, of the phrases of k words that begin at each position of ids."""
+def _hash(lang: bytes, hashes: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the phrases of k words that begin at each position of ids."""
     h = np.full(max(0, len(ids) - k + 1), _word_hashes([lang])[0], dtype=np.uint64)
     for j in range(k):
         h = (h ^ hashes[ids[j : j + len(h)]]) * _C
         h ^= h >> np.uint64(29)
-    return (h * _GOLD) >> np.uint64(64 - filter_bits)
+    return h * _GOLD
+
+
+def _heads(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
 
 
 class _Window:
     """The words that a task has read and not yet counted, by language, as numbers of its own."""
 
-    def __init__(self, k: int, bits: np.ndarray | None, words: int):
-        self.k, self.bits, self.words = k, bits, words
+    def __init__(self, k: int, bits: np.ndarray | None, words: int, last: bool):
+        self.k, self.bits, self.words, self.last = k, bits, words, last
         self.clear()
 
     def clear(self) -> None:
@@ -106,7 +119,7 @@ class _Window:
         hashes = _word_hashes(vocabulary)
         for lang, runs in self.runs.items():
             ids = np.concatenate(runs)
-            starts = len(ids) if last else max(0, len(ids) - self.k + 1)
+            starts = len(ids) if last else max(0, len(ids) - self.k)
             wait[lang] = [vocabulary[i] for i in ids[starts:].tolist()]
             yield from self.count(lang, vocabulary, hashes, ids, starts)
         self.clear()
@@ -115,75 +128,93 @@ class _Window:
                 self.feed(lang, words)
 
     def count(self, lang: bytes, vocabulary: list[bytes], hashes: np.ndarray, ids: np.ndarray, starts: int) -> Iterator[pa.RecordBatch]:
-        """Stripes of the prefixes that begin at the first starts words."""
-        k, v = self.k, np.int64(len(vocabulary))
+        """Stripes of the phrases of k words that begin at the first starts words, and hash counts of those of k + 1 (stripes, the last time)."""
+        k, length = self.k, len(ids)
+        inside = ids > 0
+        for j in range(1, k):
+            inside = inside[: length - j] & (ids[j:] > 0)
+        hit = np.zeros(length + 1, dtype=bool)
         if k == 1:
+            hit[:length] = inside
             n = np.bincount(ids[:starts], minlength=len(vocabulary))
             n[0] = 0
             following = np.flatnonzero(n)
             if len(following):
                 nothing = np.zeros(len(following), dtype=np.int64)
-                yield from self.stripes(lang, vocabulary, hashes, ids, nothing[:1], nothing, following, n[following], n.sum(keepdims=True))
-            return
-        alive = ids > 0
-        inside = np.ones(max(0, len(ids) - k + 2), dtype=bool)
-        for j in range(k - 1):
-            inside &= alive[j : j + len(inside)]
-        at = np.flatnonzero(inside)
-        place = _places(lang, hashes, ids, k - 1, len(self.bits).bit_length() + 2)[at]
-        frequent = np.zeros(len(ids) + 1, dtype=bool)
-        frequent[at[(self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]] = True
-        at = np.flatnonzero(frequent[:starts])
+                yield from self.stripes(lang, vocabulary, hashes, ids, nothing[:1], 1, nothing, following, n[following], n.sum())
+        else:
+            at = np.flatnonzero(inside)
+            place = _hash(lang, hashes, ids, k)[at] >> np.uint64(64 - (len(self.bits).bit_length() + 2))
+            hit[at[(self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]] = True
+            yield from self.counted(lang, vocabulary, hashes, ids, np.flatnonzero(hit[:starts]), k)
+        longer = np.flatnonzero(hit[:starts] & hit[1 : starts + 1])
+        if self.last:
+            yield from self.counted(lang, vocabulary, hashes, ids, longer, k + 1)
+        elif len(longer):
+            found, n = np.unique(_hash(lang, hashes, ids, k + 1)[longer] >> np.uint64(64 - GROUP_BITS - LOW_BITS), return_counts=True)
+            group = found >> np.uint64(LOW_BITS)
+            heads = _heads(group)
+            ends = pa.array(np.append(heads, len(found)), pa.int32())
+            low = found.astype(np.uint32).view(np.int32)
+            yield _batch(len(heads), group=pa.array(group[heads].astype(np.int32)), low=pa.ListArray.from_arrays(ends, pa.array(low)), times=pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32))))
+
+    def counted(self, lang, vocabulary, hashes, ids, at: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+        """Stripes of the phrases of k words that begin at the positions at."""
         if not len(at):
             return
+        v = np.int64(len(vocabulary))
         # Number the prefixes, a word at a time.
         prefix = ids[at]
         for j in range(1, k - 1):
             _, prefix = np.unique(prefix * v + ids[at + j], return_inverse=True)
-        _, first, prefix, totals = np.unique(prefix, return_index=True, return_inverse=True, return_counts=True)
-        extended = frequent[at + 1]
-        pairs, n = np.unique(prefix[extended] * v + ids[at[extended] + k - 1], return_counts=True)
-        yield from self.stripes(lang, vocabulary, hashes, ids, at[first], pairs // v, pairs % v, n, totals)
-
-    def stripes(self, lang, vocabulary, hashes, ids, first, prefix, following, n, totals) -> Iterator[pa.RecordBatch]:
-        """Rows of counters (prefix number, following word, n) and of totals by prefix number, first being where each prefix begins."""
-        k, words = self.k, pa.array(vocabulary, pa.binary()).cast(pa.string())
-        parts = np.uint64(WORD_PARTS if k == 1 else PARTS)
-        # A prefix's own count is the entry of its first part that has no word.
-        part = np.concatenate([(hashes[following] % parts).astype(np.int64), np.zeros(len(totals), dtype=np.int64)])
-        prefix = np.concatenate([prefix, np.arange(len(totals))])
-        following = np.concatenate([following, np.full(len(totals), -1)])
-        n = np.concatenate([n, totals])
-        key = prefix * np.int64(parts) + part
+        _, first, prefix = np.unique(prefix, return_index=True, return_inverse=True)
+        pairs, n = np.unique(prefix * v + ids[at + k - 1], return_counts=True)
+        yield from self.stripes(lang, vocabulary, hashes, ids, at[first], k, pairs // v, pairs % v, n)
+
+    def stripes(self, lang, vocabulary, hashes, ids, first, k, prefix, following, n, total=None) -> Iterator[pa.RecordBatch]:
+        """Rows of counters (prefix number, following word, n) of phrases of k words, first being where each prefix begins.
+
+        total, of a prefix without words, is the element that has no word.
+        """
+        words, parts = pa.array(vocabulary, pa.binary()).cast(pa.string()), np.int64(WORD_PARTS if k == 1 else PARTS)
+        key = prefix * parts + (hashes[following] % np.uint64(parts)).astype(np.int64)
+        if total is not None:
+            key, following, n = np.append(key, 0), np.append(following, -1), np.append(n, total)
         order = np.argsort(key, kind="stable")
-        key, following, n = key[order], following[order], n[order]
-        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        for a in range(0, len(heads), 50_000):
-            some = heads[a : a + 50_000]
-            low, high = some[0], heads[a + 50_000] if a + 50_000 < len(heads) else len(key)
-            ends = pa.array(np.append(some, high) - low, pa.int32())
-            rows = key[some]
-            begin = first[rows // np.int64(parts)]
-            text = [words.take(pa.array(ids[begin + j])) for j in range(k - 1)]
-            text = pc.binary_join_element_wise(*text, " ") if k > 1 else pa.array([""] * len(some))
-            nexts = words.take(pa.array(following[low:high], mask=following[low:high] < 0))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang.decode()] * len(some)),
-                    text,
-                    pa.array((rows % np.int64(parts)).astype(np.int32)),
-                    pa.ListArray.from_arrays(ends, nexts),
-                    pa.ListArray.from_arrays(ends, pa.array(n[low:high].astype(np.int64))),
-                ],
-                names=["lang", "prefix", "part", "next", "n"],
+        key, following, n = key[order], following[order], n[order].astype(np.int64)
+        heads = np.append(_heads(key), len(key))
+        for a in range(0, len(heads) - 1, ROWS):
+            some = heads[a : a + ROWS + 1]
+            rows, ends = key[some[:-1]], pa.array(some - some[0], pa.int32())
+            begin = first[rows // parts]
+            prefixes = [words.take(pa.array(ids[begin + j])) for j in range(k - 1)]
+            inner = slice(some[0], some[-1])
+            yield _batch(
+                len(rows),
+                lang=pa.array([lang.decode()] * len(rows)),
+                prefix=pc.binary_join_element_wise(*prefixes, " ") if prefixes else pa.array([""] * len(rows)),
+                part=pa.array((rows % parts).astype(np.int32)),
+                next=pa.ListArray.from_arrays(ends, words.take(pa.array(following[inner], mask=following[inner] < 0))),
+                n=pa.ListArray.from_arrays(ends, pa.array(n[inner])),
             )
 
 
-def stripes(texts: DataFrame, k: int, bits, window_words: int = WINDOW_WORDS) -> DataFrame:
-    """Stripes of all prefixes of k - 1 words of texts (lang, text) that the filter lets pass, as each task has them."""
+_ARROW = {
+    "lang": pa.string(), "prefix": pa.string(), "part": pa.int32(), "next": pa.list_(pa.string()), "n": pa.list_(pa.int64()),
+    "group": pa.int32(), "low": pa.list_(pa.int32()), "times": pa.list_(pa.int32()),
+}
+
+
+def _batch(rows: int, **columns) -> pa.RecordBatch:
+    """Rows of a pass: stripes or hash counts, the columns of the other kind null."""
+    return pa.RecordBatch.from_arrays([columns.get(c) if c in columns else pa.nulls(rows, t) for c, t in _ARROW.items()], names=list(_ARROW))
+
+
+def counted(texts: DataFrame, k: int, bits, window_words: int, last: bool) -> DataFrame:
+    """What tasks count of texts (lang, text) in the pass for phrases of k words: stripes (group null), and hashes of longer ones (group not null)."""
 
     def count(batches):
-        window = _Window(k, bits.value if bits else None, window_words)
+        window = _Window(k, bits.value if bits else None, window_words, last)
         for batch in batches:
             langs, texts = batch.column(0).cast(pa.binary()), batch.column(1).cast(pa.binary())
             for lang, text in zip(langs, texts, strict=True):
@@ -194,38 +225,33 @@ def stripes(texts: DataFrame, k: int, bits, window_words: int = WINDOW_WORDS) ->
                 window.feed(lang.as_py(), [_END])
         yield from window.flush(last=True)
 
-    return texts.mapInArrow(count, STRIPE)
+    return texts.mapInArrow(count, PART_RESULT)
 
 
 def merged(parts: DataFrame, min_count: int) -> DataFrame:
-    """(lang, prefix, next, n): stripes added up, with the words that follow often enough; next is null for the prefix itself."""
-    dealt = parts.repartition("lang", "prefix", "part")
+    """(lang, prefix, next, n): stripes added up, with the words that follow often enough; next is null for the number of all words."""
+    dealt = parts.where("group is null").repartition("lang", "prefix", "part")
     entries = dealt.select("lang", "prefix", "part", F.explode(F.arrays_zip("next", "n")).alias("e"))
     added = entries.groupBy("lang", "prefix", "part", F.col("e.next").alias("next")).agg(F.sum("e.n").alias("n"))
     return added.where(F.col("next").isNull() | (F.col("n") >= min_count)).drop("part")
 
 
-def frequent_filter(phrases: DataFrame, k: int, filter_bits: int = FILTER_BITS) -> np.ndarray | None:
-    """The filter of phrases (lang, phrase) of k words, as bytes; None where there are no phrases.
+def sieve(parts: DataFrame, min_count: int, filter_bits: int = FILTER_BITS) -> np.ndarray | None:
+    """The filter, as bytes, of the hashes that were counted often enough; None if none were.
 
-    Its words of 64 bits that aren't 0 come to the driver, however many phrases there are.
+    Its words of 64 bits that aren't 0 come to the driver, 2^(filter_bits - 6) at most, however many phrases there are.
     """
-
-    def places(batches):
-        for batch in batches:
-            langs, texts = batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            found = []
-            for lang, text in zip(langs, texts, strict=True):
-                found.append(_places(lang, _word_hashes(text.split(b" ")), np.arange(k), k, filter_bits)[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, dtype=np.int64))], names=["place"])
-
-    at = phrases.select("lang", "phrase").mapInArrow(places, "place bigint")
-    words = at.groupBy((F.col("place").bitwiseAND(F.lit(~63))).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits"))
+    dealt = parts.where("group is not null").repartition("group")
+    entries = dealt.select("group", F.explode(F.arrays_zip("low", "times")).alias("e"))
+    often = entries.groupBy("group", F.col("e.low").alias("low")).agg(F.sum("e.times").alias("n")).where(F.col("n") >= min_count)
+    value = f"(shiftleft(cast(group as bigint), {LOW_BITS}) | (cast(low as bigint) & {2**LOW_BITS - 1}L))"
+    places = often.select(F.expr(f"shiftright({value}, {GROUP_BITS + LOW_BITS - filter_bits})").alias("place"))
+    words = places.groupBy(F.expr("shiftright(place, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits"))
     got = words.toArrow()
     if not got.num_rows:
         return None
     out = np.zeros(1 << (filter_bits - 6), dtype="<i8")
-    out[got["word"].to_numpy() >> 6] = got["bits"].to_numpy()
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
     return out.view(np.uint8)
 
 
@@ -244,23 +270,20 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), F.coalesce("text", F.lit("")).cast("string").alias("text"))
-    bits, found, totals, size = None, [], [], None
-    for k in range(1, longest + 1):
-        level = stored(merged(stripes(texts, k, bits, window_words), min_count))
-        own = level.where("next is null").select("lang", F.col("prefix").alias("phrase"), F.col("n"))
-        often = level.where("next is not null").select("lang", "prefix", "next", _phrase().alias("phrase"), F.col("n").alias("a"))
+    bits, found, size = None, [], None
+    for k in range(1, max(2, longest)):
+        last = k + 1 >= longest
+        parts = stored(counted(texts, k, bits, window_words, last))
+        level = stored(merged(parts, min_count))
         if k == 1:
-            size = own.select("lang", "n")
-        else:
-            totals.append(own)
-            found.append(often.withColumn("words", F.lit(k)))
-        if k == longest or (marks := frequent_filter(often, k, filter_bits)) is None:
+            size = level.where("next is null").select("lang", "n")
+        found.append(level.where("next is not null").select("lang", "prefix", _phrase().alias("phrase"), F.col("n").alias("a")))
+        if last or (often := sieve(parts, min_count, filter_bits)) is None:
             break
-        bits = spark.sparkContext.broadcast(marks)
-    if not found:
-        return spark.createDataFrame([], "lang string, phrase string, words int, a bigint, l bigint, r bigint, n bigint, score bigint")
+        bits = spark.sparkContext.broadcast(often)
     union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
-    candidates, known = union(found), union(totals)
+    known = union(found).withColumn("words", F.size(F.split("phrase", " ")))
+    candidates = known.where("words > 1")
     after = F.expr("substr(phrase, instr(phrase, ' ') + 1)")
     longer = candidates.where("words > 2")
     longer = longer.select("lang", F.explode(F.array("prefix", after)).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
@@ -268,7 +291,7 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
     left = left.where(F.coalesce(F.col("longer") * 100 < F.col("a") * subsumed, F.lit(True))).drop("longer")
     cuts = left.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
     cuts = cuts.withColumns({"first": F.expr("substring_index(phrase, ' ', k)"), "rest": F.expr("substring_index(phrase, ' ', k - words)")})
-    part = lambda name, count: known.select("lang", F.col("phrase").alias(name), F.col("n").alias(count))
+    part = lambda name, count: known.select("lang", F.col("phrase").alias(name), F.col("a").alias(count))
     cuts = cuts.join(part("first", "l"), ["lang", "first"]).join(part("rest", "r"), ["lang", "rest"]).join(broadcast_checked(size, BROADCAST_LANGS), "lang")
     whole = lambda c, digits: f"cast({c} as decimal({digits},0))"
     score = F.expr(f"({whole('a', 16)} * {SCALE} * {whole('n', 16)}) div ({whole('l', 16)} * {whole('r', 16)})")

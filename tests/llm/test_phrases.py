@@ -64,8 +64,6 @@ def test_phrases_are_brute_force(spark, window):
 
 def test_full_filter_loses_nothing(spark):
     """A filter of 64 bits lets nearly everything pass; the result is the same."""
-    at = spark.createDataFrame([("en", "a b"), ("de", "c d")], "lang string, phrase string")
-    assert len(phrases.frequent_filter(at, 2, 6)) == 8
     rows = corpus(1)
     assert found(spark, rows, min_count=9, subsumed=60, longest=4, filter_bits=6) == brute(rows, 9, 4, 60)
 
