@@ -104,6 +104,10 @@ ORACLES = {
         FROM lines WHERE ingest_seq % 83 = 0 OR reject_reason IS NOT NULL""",
     "stream_redelivered": f"WITH {VALID} SELECT ingest_seq, {_DAY}, time, liftID FROM valid",
     "stream_published": f"WITH {VALID} SELECT ingest_seq, {_DAY}, time, liftID FROM valid",
+    "stream_to_marts": f"WITH {CURRENT} {_VERTICAL}",
+    "blank_ids": r"""WITH padded AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' ' || chr(9) || chr(13) || chr(10)
+        WHEN 3 THEN chr(1) || chr(31) || ' ' WHEN 4 THEN chr(160) WHEN 5 THEN chr(9) || user_id || ' ' ELSE user_id::VARCHAR END AS padded FROM events)
+        SELECT event_id AS ingest_seq, coalesce(regexp_full_match(padded, '[\x00-\x20]*'), true) AS is_blank FROM padded""",
     "rides_compacted": f"WITH {CURRENT} SELECT * FROM current",
     "mart_skier_days": f"WITH {CURRENT}, v AS ({_VERTICAL}) SELECT * FROM v WHERE resortID = '{POINT[0]}' AND seasonID = '{POINT[1]}' AND skierID = '{SKIER}'",
     "unique_skiers_tracked": f"WITH {CURRENT} {_UNIQUE}",

@@ -125,13 +125,19 @@ def skier_resort_one_season(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def skier_resort_totals_json(spark: SparkSession, folder: str) -> DataFrame:
-    return totals.totals_json(totals.season_totals(_seasons(spark, folder, SKIER_SEASON)))
+    return totals.totals_json(totals.season_totals(_seasons(spark, folder, ["skierID", "resortID"])))
 
 
 def read_request_status(spark: SparkSession, folder: str) -> DataFrame:
     return totals.read_status(_requests(spark, folder), totals.season_totals(_current(spark, folder)))
 
 
+def blank_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids with and without anything in them: missing, empty, of control characters, padded."""
+    ids = tables.padded_ids(spark, folder)
+    return ids.withColumn("is_blank", parsing.blank(F.col("padded"))).select("ingest_seq", "is_blank")
+
+
 def skier_season_days(spark: SparkSession, folder: str) -> DataFrame:
     return totals.skier_seasons(_seasons(spark, folder, ["skierID", "seasonID"]))
 
@@ -282,9 +288,7 @@ def _marts(spark: SparkSession, folder: str) -> str:
 
 def mart_lookups(spark: SparkSession, folder: str) -> DataFrame:
     """All requests answered from the stored tables: the day's vertical, and the visitors of resort and day."""
-    gold = _marts(spark, folder)
-    found = totals.lookup(_requests(spark, folder), marts.read_mart(spark, gold, "day_vertical"), SKIER_DAY, "totalVertical")
-    return totals.lookup(found, marts.read_mart(spark, gold, "resort_day_unique"), RESORT_DAY, "uniqueNumSkiers")
+    return marts.answers(spark, _marts(spark, folder), _requests(spark, folder))
 
 
 def mart_season_totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -299,6 +303,15 @@ def mart_skier_days(spark: SparkSession, folder: str) -> DataFrame:
     return marts.skier_days(spark, _marts(spark, folder), *POINT, SKIER)
 
 
+def stream_to_marts(spark: SparkSession, folder: str) -> DataFrame:
+    """Day verticals of records that came as a stream, were landed, compacted and refreshed."""
+    source, work = _streamed(spark, folder)
+    jobs.ingest(spark, source, work)
+    marts.compact(spark, f"{work}/landed", f"{work}/base")
+    marts.refresh(spark, f"{work}/base", f"{work}/gold")
+    return marts.read_mart(spark, f"{work}/gold", "day_vertical")
+
+
 def unique_skiers_tracked(spark: SparkSession, folder: str) -> DataFrame:
     """Visitors counted batch by batch against a stored tracker, one batch sent twice."""
     work, parts = _bronze(spark, folder)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rideledger.plans import oracles, queries
 
-#: Every public function of the queries module; synthetic_rides has no twin, as its hash has none in SQL.
+#: Every public function of the queries module.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: f for name, f in vars(queries).items() if callable(f) and getattr(f, "__module__", "") == queries.__name__ and not name.startswith("_")
 }

@@ -40,6 +40,13 @@ def requests_of_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def padded_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Persons' ids of events as careless clients send them: some missing, empty, or of blanks and control characters alone."""
+    e, n = table(spark, folder, "events"), F.col("event_id") % 7
+    text = F.when(n == 0, None).when(n == 1, "").when(n == 2, " \t\r\n").when(n == 3, "\x01\x1f ").when(n == 4, "\u00a0").when(n == 5, F.concat(F.lit("\t"), _text(F.col("user_id")), F.lit(" ")))
+    return e.select(F.col("event_id").alias("ingest_seq"), text.otherwise(_text(F.col("user_id"))).alias("padded"))
+
+
 def rides_of_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     """Seven seasons of raw rides. Rows that tie on ingest_seq carry the same lift."""
     line = table(spark, folder, "lineitem")

@@ -6,6 +6,7 @@ on after that. Whatever is derived is derived from these folders or from keyed s
 
 from __future__ import annotations
 
+import json
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -62,28 +63,36 @@ def _files_left(spark: SparkSession, source: str, work: str, batch: int, seen: i
     return done, max(0, versions.count_files(spark, source) - done)
 
 
-def ingest(spark: SparkSession, source: str, work: str, bounds: Bounds = DEFAULT, files_per_batch: int = 1) -> None:
-    """Valid rides to bronze, all other records to quarantine, as they came and with their reason; none stops the stream.
+def land(batch: DataFrame, number: int, source: str, work: str, bounds: Bounds = DEFAULT) -> None:
+    """A batch of records to work/landed: valid rides, and all others as they came, with their reason, in folders of their own.
 
-    A batch is written once, to work/landed, where accepted and rejected records lie in folders of their own. What was counted
-    while it was written goes to work/counters, with the number of files that wait behind it. See bronze() and quarantine().
+    It is written once. What was counted meanwhile goes to work/counters, with the number of files that wait behind it.
     """
+    spark, seen, reason = batch.sparkSession, Observation(), F.col("reject_reason")
+    tagged = rides.tagged(decoded(batch), bounds)
+    tagged = tagged.withColumn("reject_reason", F.when(F.col("unreadable"), F.lit(UNREADABLE)).otherwise(reason)).drop("unreadable")
+    tests = {"accepted": reason.isNull(), "bad_ids": reason == BAD_IDS, "bad_body": reason == BAD_BODY, "unreadable": reason == UNREADABLE}
+    tagged = tagged.observe(seen, *[F.count_if(test).alias(name) for name, test in tests.items()], F.collect_set("origin").alias("origins"))
+    kept = F.when(reason.isNotNull(), F.col("value"))  # an accepted record is all in its columns
+    landed = tagged.withColumns({"value": kept, "accepted": reason.isNull()})
+    landed.write.mode("overwrite").partitionBy("accepted").parquet(f"{work}/landed/batch_id={number}")
+    done, left = _files_left(spark, source, work, number, len(seen.get["origins"]))
+    write_batch(spark.createDataFrame([(*[seen.get[name] for name in tests], done, left)], COUNTERS), f"{work}/counters", number)
 
-    def each(batch: DataFrame, number: int) -> None:
-        seen, reason = Observation(), F.col("reject_reason")
-        of = lambda test, name: F.count_if(test).alias(name)
-        tagged = rides.tagged(decoded(batch), bounds)
-        tagged = tagged.withColumn("reject_reason", F.when(F.col("unreadable"), F.lit(UNREADABLE)).otherwise(reason)).drop("unreadable")
-        tests = {"accepted": reason.isNull(), "bad_ids": reason == BAD_IDS, "bad_body": reason == BAD_BODY, "unreadable": reason == UNREADABLE}
-        tagged = tagged.observe(seen, *[of(test, name) for name, test in tests.items()], F.collect_set("origin").alias("origins"))
-        kept = F.when(reason.isNotNull(), F.col("value"))  # an accepted record is all in its columns
-        landed = tagged.withColumns({"value": kept, "accepted": reason.isNull()})
-        landed.write.mode("overwrite").partitionBy("accepted").parquet(f"{work}/landed/batch_id={number}")
-        spark = batch.sparkSession
-        done, left = _files_left(spark, source, work, number, len(seen.get["origins"]))
-        write_batch(spark.createDataFrame([(*[seen.get[name] for name in tests], done, left)], COUNTERS), f"{work}/counters", number)
-
-    run(record_stream(spark, source, files_per_batch), "append", work, each)
+
+def ingest(spark: SparkSession, source: str, work: str, bounds: Bounds = DEFAULT, files_per_batch: int = 1) -> None:
+    """All records that are there, landed batch by batch; none stops the stream. See bronze() and quarantine()."""
+    run(record_stream(spark, source, files_per_batch), "append", work, lambda batch, number: land(batch, number, source, work, bounds))
+
+
+def records_left(progress: dict) -> int:
+    """Records that waited in Kafka behind a batch, from the stream's progress: the latest offsets less those that it ended at."""
+    left = 0
+    for source in progress["sources"]:
+        ends, latest = (source.get(k) or {} for k in ("endOffset", "latestOffset"))
+        ends, latest = (json.loads(x) if isinstance(x, str) else x for x in (ends, latest))
+        left += sum(max(0, at - ends.get(topic, {}).get(part, 0)) for topic, parts in latest.items() for part, at in parts.items())
+    return left
 
 
 def _landed(spark: SparkSession, work: str, schema: str) -> DataFrame:
@@ -127,7 +136,8 @@ def unique_skiers(spark: SparkSession, source: str, work: str, bounds: Bounds =
     State grows with the distinct keys, as rides for any day are taken at any time; unique_skiers_within() bounds it.
     """
     keys = rides.valid(ride_stream(spark, source), bounds).dropDuplicates(SKIER_DAY)
-    run(keys, "append", work, lambda df, n: write_batch(_counted(df), f"{work}/counts", n))
+    with in_rocksdb(spark):
+        run(keys, "append", work, lambda df, n: write_batch(_counted(df), f"{work}/counts", n))
     return _added(spark, work)
 
 
@@ -172,5 +182,6 @@ def rides_current(spark: SparkSession, source: str, work: str, bounds: Bounds =
     """The latest ride of each key: the maximum by ingest_seq as state, changed keys written by batch."""
     latest = rides.valid(ride_stream(spark, source), bounds).groupBy(*RIDE_KEY)
     latest = latest.agg(F.max_by("liftID", "ingest_seq").alias("liftID"), F.max("ingest_seq").alias("ingest_seq"))
-    run(latest, "update", work, lambda df, n: write_batch(df, f"{work}/changes", n))
+    with in_rocksdb(spark):
+        run(latest, "update", work, lambda df, n: write_batch(df, f"{work}/changes", n))
     return rides.current(spark.read.parquet(f"{work}/changes").drop("batch_id"))

@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 
 from rideledger.functions.keys import vertical
 from rideledger.operators import rides, totals
-from rideledger.schemas import RIDE_KEY, SKIER_DAY
+from rideledger.rules import DEFAULT, Bounds
+from rideledger.schemas import RESORT_DAY, RIDE_KEY, SKIER_DAY
 from rideledger.sources import versions
+from rideledger.sources.files import record_stream
+from rideledger.streaming.jobs import land
 
 PARTS = ["seasonID", "resortID"]
+#: Files that a step of follow() takes in at most.
+FILES = 1000
 BASE = "ingest_seq bigint, resortID string, seasonID string, dayID string, skierID string, liftID int, time int"
 MARTS = {
     "day_vertical": "resortID string, seasonID string, dayID string, skierID string, totalVertical bigint",
@@ -48,11 +53,17 @@ def committed(spark: SparkSession, folder: str) -> list[int]:
 
 
 def batches(spark: SparkSession, bronze: str, after: int) -> tuple[DataFrame, int]:
-    """(rides of the committed batches after a number, the last of these numbers)."""
+    """(accepted rides of the committed batches after a number, the last of these numbers).
+
+    bronze is what ingest() landed, of which rejected records aren't read, or folders of accepted rides alone.
+    """
     found = [n for n in committed(spark, bronze) if n > after]
-    if not found:
-        return spark.createDataFrame([], BASE), after
-    return spark.read.schema(BASE).parquet(*[f"{bronze}/batch_id={n}" for n in found]), found[-1]
+    folders = []
+    for n in found:
+        dealt = versions.names(spark, f"{bronze}/batch_id={n}/accepted=*")
+        folders += [p for p in dealt if p.endswith("=true")] if dealt else [f"{bronze}/batch_id={n}"]
+    rows = spark.read.schema(BASE).parquet(*folders) if folders else spark.createDataFrame([], BASE)
+    return rows, found[-1] if found else after
 
 
 def current_rides(spark: SparkSession, bronze: str, base: str) -> DataFrame:
@@ -93,12 +104,41 @@ def refresh(spark: SparkSession, base: str, gold: str) -> versions.Version:
     return versions.publish(spark, gold, at, frames, PARTS, touched, {"rides": now})
 
 
-def read_mart(spark: SparkSession, gold: str, name: str, at: versions.Version | None = None) -> DataFrame:
-    """A mart of the newest version, or of one that the caller holds on to."""
-    return versions.read(spark, gold, at or versions.latest(spark, gold), name, MARTS[name])
+def read_mart(spark: SparkSession, gold: str, name: str, at: versions.Version | None = None, only: set[str] | None = None) -> DataFrame:
+    """A mart of the newest version, or of one that the caller holds on to; all of it or some partitions."""
+    return versions.read(spark, gold, at or versions.latest(spark, gold), name, MARTS[name], only)
+
+
+def answers(spark: SparkSession, gold: str, requests: DataFrame) -> DataFrame:
+    """requests (resortID, seasonID, dayID, skierID, ...) with totalVertical and uniqueNumSkiers, 0 where nothing is known.
+
+    Both come from one version. Only the partitions that requests name are read; their names, a pair for each season and
+    resort, come to the driver.
+    """
+    at = versions.latest(spark, gold)
+    asked = {"/".join(f"{c}={v}" for c, v in zip(PARTS, r, strict=True)) for r in requests.select(*PARTS).distinct().collect()}
+    days, visitors = (read_mart(spark, gold, name, at, asked) for name in ("day_vertical", "resort_day_unique"))
+    return totals.lookup(totals.lookup(requests, days, SKIER_DAY, "totalVertical"), visitors, RESORT_DAY, "uniqueNumSkiers")
 
 
 def skier_days(spark: SparkSession, gold: str, resort: str, season: str, skier: str) -> DataFrame:
     """One person's days at a resort in a season: one partition, and of it the files and pages that can have the person."""
     held = read_mart(spark, gold, "day_vertical")
     return held.where((F.col("seasonID") == season) & (F.col("resortID") == resort) & (F.col("skierID") == skier)).select(*SKIER_DAY, "totalVertical")
+
+
+def follow(spark: SparkSession, source: str, work: str, every: str = "1 hour", bounds: Bounds = DEFAULT):
+    """A stream that lands what comes in and, after each batch, brings base and marts up to date: answers are as old as every, at most.
+
+    Compaction and refresh find out by themselves what is new, so a batch that is replayed does nothing twice; versions but
+    the last two expire. Returns the running query.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        land(batch, number, source, work, bounds)
+        for table, bring in ((f"{work}/base", lambda: compact(spark, f"{work}/landed", f"{work}/base")), (f"{work}/gold", lambda: refresh(spark, f"{work}/base", f"{work}/gold"))):
+            bring()
+            versions.expire(spark, table)
+
+    stream = record_stream(spark, source, FILES)
+    return stream.writeStream.option("checkpointLocation", f"{work}/checkpoint").trigger(processingTime=every).foreachBatch(each).start()

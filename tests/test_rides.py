@@ -113,6 +113,26 @@ def test_one_season_and_json(spark):
     assert got["2"] == '{"resorts":[{"seasonID":"2024","totalVert":7},{"seasonID":"2025","totalVert":5}]}'
 
 
+def test_ranks_without_buffers(spark):
+    """Many ranges of values, repeated ones, groups that are null or have no values; the plan buffers none."""
+    import math
+    import random
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice([1, 2, None]), rnd.choice(["a", None]), rnd.choice([rnd.randint(0, 60_000), rnd.randint(0, 9), 4096])) for _ in range(3000)]
+    rows += [(3, "a", None), (3, None, 2**40), (3, None, None)]
+    df = spark.createDataFrame(rows, "phase int, kind string, latency_ms long")
+    got = {(r.phase, r.kind): tuple(r)[2:] for r in latency.summary(df, ["phase", "kind"]).collect()}
+    for key in {(p, k) for p, k, _ in rows}:
+        every = [x for p, k, x in rows if (p, k) == key]
+        xs = sorted(x for x in every if x is not None)
+        want = (round(sum(xs) / len(xs), 6), (xs[(len(xs) - 1) // 2] + xs[len(xs) // 2]) // 2, xs[math.ceil(len(xs) * 99 / 100) - 1], xs[0], xs[-1]) if xs else (None,) * 5
+        assert got.pop(key) == (len(every), *want)
+    assert not got
+    plan = latency.summary(df, ["phase"])._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "percentile" not in plan and "collect_list" not in plan
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 99, 100, 101])
 def test_percentiles(spark, n):
     values = [(i * 37) % 101 + i % 2 for i in range(n)]

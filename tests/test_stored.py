@@ -83,6 +83,44 @@ def test_refresh_writes_what_changed_and_disturbs_no_reader(spark, tmp_path):
     assert len(kept) < len(after) and same(marts.read_mart(spark, gold, "day_vertical"), totals.day_vertical(current))
 
 
+def test_requests_read_the_partitions_they_name(spark, tmp_path):
+    bronze, base, gold = (f"{tmp_path}/{x}" for x in ("bronze", "base", "gold"))
+    made = batch(spark, 0)
+    jobs.write_batch(made, bronze, 0)
+    marts.compact(spark, bronze, base)
+    marts.refresh(spark, base, gold)
+    asked = events(spark, *[changed(resortID=r, dayID=d, skierID=s) for r in ("1", "9", "a/b", None) for d in ("0", "7") for s in ("1", "99", None)])
+    asked = asked.select("resortID", "seasonID", "dayID", "skierID").withColumn("extra", F.lit(1))
+    current = rides.current(made)
+    want = totals.lookup(totals.lookup(asked, totals.day_vertical(current), ["resortID", "seasonID", "dayID", "skierID"], "totalVertical"), totals.unique_skiers(current), ["resortID", "seasonID", "dayID"], "uniqueNumSkiers")
+    found = marts.answers(spark, gold, asked)
+    assert same(found, want) and found.count() == asked.count()
+    assert {re.search(r"resortID=(\w+)", f)[1] for f in found.inputFiles() if "resortID=" in f} == {"1"}
+
+
+def test_marts_follow_a_stream(spark, tmp_path):
+    """Records land, and base and marts follow; rejected ones stay out; old versions go."""
+    source, work = f"{tmp_path}/in", f"{tmp_path}/w"
+    first, second = batch(spark, 0), batch(spark, 1, ("2", "11"))
+    first.coalesce(1).write.json(source)
+    query = marts.follow(spark, source, work, "1 second")
+    try:
+        query.processAllAvailable()
+        assert same(marts.read_mart(spark, f"{work}/gold", "day_vertical"), totals.day_vertical(rides.current(first)))
+        second.coalesce(1).write.mode("append").json(source)
+        query.processAllAvailable()
+        first.where("ingest_seq = 3").withColumn("ingest_seq", F.lit(9999).cast("long")).withColumn("liftID", F.lit(40)).coalesce(1).write.mode("append").json(source)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    every = first.unionByName(second).unionByName(first.where("ingest_seq = 3").withColumns({"ingest_seq": F.lit(9999).cast("long"), "liftID": F.lit(40)}))
+    current = rides.current(rides.valid(every))
+    assert same(marts.read_mart(spark, f"{work}/gold", "day_vertical"), totals.day_vertical(current))
+    assert same(marts.current_rides(spark, f"{work}/landed", f"{work}/base"), current)
+    assert jobs.quarantine(spark, work).count() == second.where("resortID = '11'").count() > 0
+    assert len(list((tmp_path / "w" / "gold" / "versions").glob("0*.json"))) == 2
+
+
 def test_half_written_version_is_not_seen(spark, tmp_path):
     root = f"{tmp_path}/t"
     assert versions.latest(spark, root).number == 0

@@ -127,6 +127,12 @@ def test_bounded_state_drops_and_counts_what_is_late(spark, tmp_path):
     assert rides.valid(odd, ANY_SEASON).select(jobs.ride_time().alias("t")).where("t is null").count() == 0
 
 
+def test_records_that_wait_in_kafka():
+    source = {"endOffset": {"t": {"0": 5, "1": 7}}, "latestOffset": {"t": {"0": 9, "1": 7, "2": 3}}}
+    assert jobs.records_left({"sources": [source, {k: __import__("json").dumps(v) for k, v in source.items()}]}) == 14
+    assert jobs.records_left({"sources": [{"endOffset": None, "latestOffset": None}]}) == 0
+
+
 def test_files_that_wait(spark, source, tmp_path):
     (tmp_path / "in" / "empty.json").write_text("")
     (tmp_path / "in" / "_hidden").write_text("x")
