@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rideledger.llm.common import result_schema, table
+from rideledger.llm.common import free, result_schema, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Code points above which a text is cut into pieces for several tasks.
@@ -188,8 +188,9 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str
     ids and decoded give way to these.
     """
     keep = [c for c in keep if c not in ("ids", "decoded")]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    long = F.length("__text") > piece_chars
+    whole, row, at_, piece, triples = free(keep, "__text", "__row", "__at", "__piece", "__triples")
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias(whole))
+    long = F.length(whole) > piece_chars
 
     def short_texts(batches):
         e = encoder(vocabulary_path(vocabulary))
@@ -209,27 +210,27 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str
     def pieces(batches):
         e = encoder(vocabulary_path(vocabulary))
         for batch in batches:
-            found = [e.triples(t.as_py()).astype("<i8").tobytes() for t in batch.column("__piece")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "__triples"])
+            found = [e.triples(t.as_py()).astype("<i8").tobytes() for t in batch.column(piece)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, triples])
 
     def join(key, pdf):
-        pdf = pdf.sort_values("__at")
+        pdf = pdf.sort_values(at_)
         e = encoder(vocabulary_path(vocabulary))
-        parts = [np.frombuffer(x, dtype="<i8").reshape(-1, 3) for x in pdf["__triples"]]
-        ids = e.join_pieces(list(pdf["__piece"]), parts)[:, 0].astype("<u4").tobytes()
+        parts = [np.frombuffer(x, dtype="<i8").reshape(-1, 3) for x in pdf[triples]]
+        ids = e.join_pieces(list(pdf[piece]), parts)[:, 0].astype("<u4").tobytes()
         return pdf.head(1)[keep].assign(ids=[ids], decoded=[e.decode(ids).decode()])
 
     done = source.filter(~long).mapInArrow(short_texts, result_schema(docs, keep, "ids binary, decoded string"))
     cut = (
         source.filter(long)
-        .withColumn("__row", F.monotonically_increasing_id())
-        .withColumn("__at", F.explode(F.sequence(F.lit(0), F.ceil(F.length("__text") / piece_chars).cast("int") - 1)))
-        .withColumn("__piece", F.substr(F.col("__text"), F.col("__at") * piece_chars + 1, F.lit(piece_chars)))
-        .drop("__text")
-        .repartition("__row", "__at")
+        .withColumn(row, F.monotonically_increasing_id())
+        .withColumn(at_, F.explode(F.sequence(F.lit(0), F.ceil(F.length(whole) / piece_chars).cast("int") - 1)))
+        .withColumn(piece, F.substr(F.col(whole), F.col(at_) * piece_chars + 1, F.lit(piece_chars)))
+        .drop(whole)
+        .repartition(row, at_)
     )
-    parts = cut.mapInArrow(pieces, result_schema(docs, keep, "`__row` bigint, `__at` int, `__piece` string, `__triples` binary"))
-    return done.unionByName(parts.groupBy("__row").applyInPandas(join, result_schema(docs, keep, "ids binary, decoded string")))
+    parts = cut.mapInArrow(pieces, result_schema(docs, keep, f"`{row}` bigint, `{at_}` int, `{piece}` string, `{triples}` binary"))
+    return done.unionByName(parts.groupBy(row).applyInPandas(join, result_schema(docs, keep, "ids binary, decoded string")))
 
 
 def decode(encoded: DataFrame, keep: list[str], ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:

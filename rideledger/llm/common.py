@@ -62,6 +62,16 @@ def unpacked(df: DataFrame, docs: DataFrame) -> list[tuple[str, Column]]:
     return [(c, F.col(ROW).getField(c) if c in inside else F.col(c)) for c in docs.columns]
 
 
+def free(taken: list[str], *names: str) -> list[str]:
+    """The names, each made longer until no column in taken has it (in any case, as Spark compares them)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def result_schema(docs: DataFrame, keep: list[str], more: str) -> T.StructType:
     """The columns of docs that are kept, then those of a DDL string: what a function over Arrow batches of docs returns.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rideledger.llm.bpe import slices
-from rideledger.llm.common import held_out, result_schema, table
+from rideledger.llm.common import free, held_out, result_schema, table
 
 ORDERS = 4
 BITS = 15
@@ -238,9 +238,10 @@ def predict(docs: DataFrame, keep: list[str], model: Model | None, text: str = "
     Columns kept under these two names give way to them.
     """
     keep = [c for c in keep if c not in ("lang_pred", "score")]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    kept = [F.col(f"`{c}`") for c in keep]
     if model is None:
-        return source.select(*[F.col(f"`{c}`") for c in keep], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    source = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias(*free(keep, "__text")))
     shared = docs.sparkSession.sparkContext.broadcast(model.dump())
 
     def task(batches):

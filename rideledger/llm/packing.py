@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rideledger.llm.bpe import row_slices, vocabulary_path
-from rideledger.llm.common import stored, table
+from rideledger.llm.common import free, stored, table
 from rideledger.llm.ranks import ranked
 
 #: A vocabulary that is there for both libraries.
@@ -129,7 +129,7 @@ def pieces(docs: DataFrame, keep: list[str], capacity: int = CAPACITY, vocabular
                 made += [pa.array(ids, pa.binary())] if with_ids else []
                 yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias(*free(keep, "__text"))
     return docs.select(*[F.col(f"`{c}`") for c in keep], text).mapInArrow(cut, schema)
 
 
@@ -266,15 +266,16 @@ def pack(found: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFr
         base += times
     by_key = np.argsort(np.array(keys, dtype=np.int64), kind="stable")
     lookup = spark.sparkContext.broadcast([np.array(c, dtype=np.int64)[by_key] for c in (keys, firsts, offsets)])
-    placed = ranked(found, "length", order, "__idx", "__n").drop("__n")
-    schema = T.StructType([*placed.drop("__idx").schema.fields, *T.StructType.fromDDL("sequence_id bigint, offset bigint").fields])
+    idx, n = free(found.columns, "__idx", "__n")
+    placed = ranked(found, "length", order, idx, n).drop(n)
+    schema = T.StructType([*placed.drop(idx).schema.fields, *T.StructType.fromDDL("sequence_id bigint, offset bigint").fields])
 
     def place(batches):
         keys, firsts, offsets = lookup.value
         for batch in batches:
-            rank = batch.column("__idx").to_numpy()
+            rank = batch.column(idx).to_numpy()
             at = np.searchsorted(keys, (batch.column("length").to_numpy() << _RANK_BITS) + rank, side="right") - 1
-            kept = [c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name != "__idx"]
+            kept = [c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name != idx]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(firsts[at] + rank), pa.array(offsets[at])], names=schema.names)
 
     return placed.mapInArrow(place, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rideledger.llm.bpe import slices
-from rideledger.llm.common import broadcast_checked, held_out, result_schema, table
+from rideledger.llm.common import broadcast_checked, free, held_out, result_schema, table
 from rideledger.llm.langid import code_points, in_pieces, letters
 
 #: About as many labelled documents of each class are sampled for fitting, by a hash of their ids.
@@ -347,9 +347,10 @@ def score(docs: DataFrame, keep: list[str], model: Model | None, text: str = "te
     A column kept under that name gives way to it.
     """
     keep = [c for c in keep if c != "score"]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    kept = [F.col(f"`{c}`") for c in keep]
     if model is None:
-        return source.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).alias("score"))
+        return docs.select(*kept, F.lit(0.0).alias("score"))
+    source = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias(*free(keep, "__text")))
     shared = docs.sparkSession.sparkContext.broadcast(model.dump())
 
     def task(batches):

@@ -63,3 +63,12 @@ def test_query_equals_library(spark):
 
     assert got == sorted((row(r[0], r[1]) for r in rows), key=repr)
     assert bpe.digests(docs.limit(0)).count() == 0
+
+
+def test_kept_columns_may_have_any_names(spark):
+    names = ["__text", "__row", "__AT", "__piece", "__triples", "__row_"]
+    docs = spark.createDataFrame([("a b " * 30, *range(6)), (None, *range(6))], "text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = bpe.encode(docs, names, piece_chars=50)
+    assert out.columns == [*names, "ids", "decoded"]
+    assert [tuple(r[n] for n in names) for r in out.collect()] == [tuple(range(6))] * 2
+    assert {len(r.ids) for r in out.collect()} == {0, 240}

@@ -84,7 +84,7 @@ def test_empty_and_single(spark, tmp_path):
 
 
 def test_change_of_any_column_shows(spark):
-    docs = spark.createDataFrame(ROWS, SCHEMA)
+    docs = spark.createDataFrame(ROWS[4:7], SCHEMA).coalesce(1)
     root = merkle.manifest(docs).first().root
     for change in ({"lang": F.lit("xx")}, {"n_chars": F.lit(None).cast("long")}, {"source": F.upper("source")}):
         changed = docs.withColumns({c: F.when(F.col("doc_id") == 5, v).otherwise(F.col(c)) for c, v in change.items()})

@@ -97,3 +97,11 @@ def test_defined_cases(spark):
     only = toxicity.fit(["a b", "c d"], [0, 0])
     assert toxicity.score(df, ["doc_id"], only).filter("score between 0 and 0.5").count() == 5
     assert toxicity.score(df.limit(0), ["doc_id"], only).count() == 0
+
+
+@pytest.mark.parametrize("fitted", [True, False])
+def test_kept_columns_may_have_any_names(spark, docs, fitted):
+    odd = docs.select("doc_id", "text", "lang", F.lit(1).alias("__text"), F.lit(2).alias("__TEXT_"))
+    model = langid.train(docs) if fitted else None
+    for out in (langid.predict(odd, ["__text", "__TEXT_"], model), toxicity.score(odd, ["__text", "__TEXT_"], None)):
+        assert {(r["__text"], r["__TEXT_"]) for r in out.collect()} == {(1, 2)}

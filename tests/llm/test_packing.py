@@ -126,6 +126,14 @@ def test_sequences_hold_the_ids(spark, library):
     assert got == tokens
 
 
+def test_kept_columns_may_have_any_names(spark):
+    names = ["__at", "__part", "__idx", "__n", "idx", "n", "__shift"]
+    docs = spark.createDataFrame([(f"text {i}", *range(7)) for i in range(9)], "text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = packing.pack(packing.stored(packing.pieces(docs, ["text", *names])), ["__at"])
+    assert out.columns == ["text", *names, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert [tuple(r[n] for n in names) for r in out.collect()] == [tuple(range(7))] * 9
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert packing.query(spark, str(tmp_path)).count() == 0
