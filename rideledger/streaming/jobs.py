@@ -16,7 +16,7 @@ from rideledger.operators import rides, totals
 from rideledger.rules import BAD_BODY, BAD_IDS, DEFAULT, UNREADABLE, Bounds
 from rideledger.schemas import RESORT_DAY, RIDE_KEY, SKIER_DAY
 from rideledger.sources import versions
-from rideledger.sources.files import decoded, keyed_envelopes, record_stream, ride_stream
+from rideledger.sources.files import decoded, keyed_envelopes, record_stream, record_stream_kafka, ride_stream
 
 COUNTERS = "accepted bigint, bad_ids bigint, bad_body bigint, unreadable bigint, files bigint, files_left bigint"
 LANDED = "ingest_seq bigint, resortID string, seasonID string, dayID string, skierID string, liftID int, time int"
@@ -63,20 +63,22 @@ def _files_left(spark: SparkSession, source: str, work: str, batch: int, seen: i
     return done, max(0, versions.count_files(spark, source) - done)
 
 
-def land(batch: DataFrame, number: int, source: str, work: str, bounds: Bounds = DEFAULT) -> None:
+def land(batch: DataFrame, number: int, source: str | None, work: str, bounds: Bounds = DEFAULT) -> None:
     """A batch of records to work/landed: valid rides, and all others as they came, with their reason, in folders of their own.
 
-    It is written once. What was counted meanwhile goes to work/counters, with the number of files that wait behind it.
+    It is written once. What was counted meanwhile goes to work/counters; where records come in files of the folder source,
+    with the number of files taken in (a batch has as many as it was told to take at most) and of those that wait.
     """
     spark, seen, reason = batch.sparkSession, Observation(), F.col("reject_reason")
     tagged = rides.tagged(decoded(batch), bounds)
     tagged = tagged.withColumn("reject_reason", F.when(F.col("unreadable"), F.lit(UNREADABLE)).otherwise(reason)).drop("unreadable")
     tests = {"accepted": reason.isNull(), "bad_ids": reason == BAD_IDS, "bad_body": reason == BAD_BODY, "unreadable": reason == UNREADABLE}
-    tagged = tagged.observe(seen, *[F.count_if(test).alias(name) for name, test in tests.items()], F.collect_set("origin").alias("origins"))
+    origins = F.collect_set("origin") if source else F.array()
+    tagged = tagged.observe(seen, *[F.count_if(test).alias(name) for name, test in tests.items()], origins.alias("origins"))
     kept = F.when(reason.isNotNull(), F.col("value"))  # an accepted record is all in its columns
     landed = tagged.withColumns({"value": kept, "accepted": reason.isNull()})
     landed.write.mode("overwrite").partitionBy("accepted").parquet(f"{work}/landed/batch_id={number}")
-    done, left = _files_left(spark, source, work, number, len(seen.get["origins"]))
+    done, left = _files_left(spark, source, work, number, len(seen.get["origins"])) if source else (None, None)
     write_batch(spark.createDataFrame([(*[seen.get[name] for name in tests], done, left)], COUNTERS), f"{work}/counters", number)
 
 
@@ -85,6 +87,12 @@ def ingest(spark: SparkSession, source: str, work: str, bounds: Bounds = DEFAULT
     run(record_stream(spark, source, files_per_batch), "append", work, lambda batch, number: land(batch, number, source, work, bounds))
 
 
+def ingest_kafka(spark: SparkSession, servers: str, topic: str, work: str, bounds: Bounds = DEFAULT) -> list[dict]:
+    """The same from a Kafka topic: (batch, records that wait behind it) of each batch; needs the Kafka package on the classpath."""
+    progress = run(record_stream_kafka(spark, servers, topic), "append", work, lambda batch, number: land(batch, number, None, work, bounds))
+    return [{"batch_id": p["batchId"], "records_left": records_left(p)} for p in progress]
+
+
 def records_left(progress: dict) -> int:
     """Records that waited in Kafka behind a batch, from the stream's progress: the latest offsets less those that it ended at."""
     left = 0

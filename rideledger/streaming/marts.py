@@ -136,9 +136,10 @@ def follow(spark: SparkSession, source: str, work: str, every: str = "1 hour", b
 
     def each(batch: DataFrame, number: int) -> None:
         land(batch, number, source, work, bounds)
-        for table, bring in ((f"{work}/base", lambda: compact(spark, f"{work}/landed", f"{work}/base")), (f"{work}/gold", lambda: refresh(spark, f"{work}/base", f"{work}/gold"))):
-            bring()
-            versions.expire(spark, table)
+        compact(spark, f"{work}/landed", f"{work}/base")
+        refresh(spark, f"{work}/base", f"{work}/gold")
+        for tables in ("base", "gold"):
+            versions.expire(spark, f"{work}/{tables}")
 
     stream = record_stream(spark, source, FILES)
     return stream.writeStream.option("checkpointLocation", f"{work}/checkpoint").trigger(processingTime=every).foreachBatch(each).start()

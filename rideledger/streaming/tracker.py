@@ -43,8 +43,8 @@ class Tracker:
         """Arrivals of a batch; numbers ascend from batch to batch. One that is done already changes nothing."""
         if batch in self.done():
             return
-        keys = self.new_keys(arrivals, batch).withColumn("batch", F.lit(batch).cast("long"))
-        keys.write.mode("append").bucketBy(self.buckets, *SKIER_DAY).sortBy(*SKIER_DAY).format("parquet").option("path", f"{self.folder}/keys").saveAsTable(self.table)
+        keys = self.new_keys(arrivals, batch).select(*SKIER_DAY, F.lit(batch).cast("long").alias("batch"))
+        keys.write.insertInto(self.table)  # into its buckets, in their order
         added = self.spark.table(self.table).where(F.col("batch") == batch).select(*SKIER_DAY).distinct()
         counts = added.groupBy(*RESORT_DAY).agg(F.count("*").alias("uniqueNumSkiers"))
         counts.write.mode("overwrite").parquet(f"{self.folder}/counts/batch_id={batch}")

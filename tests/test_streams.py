@@ -127,6 +127,16 @@ def test_bounded_state_drops_and_counts_what_is_late(spark, tmp_path):
     assert rides.valid(odd, ANY_SEASON).select(jobs.ride_time().alias("t")).where("t is null").count() == 0
 
 
+def test_records_without_files_land_too(spark, tmp_path):
+    """A batch of a queue: every record has an origin of its own, and none of them is gathered."""
+    rows = [('{"ingest_seq":1,"resortID":"1","seasonID":"2025","dayID":"1","skierID":"1","liftID":1,"time":1}', "t/0/1"), ("oops", "t/0/2"), (None, "t/0/3")]
+    jobs.land(spark.createDataFrame(rows, "value string, origin string"), 0, None, str(tmp_path))
+    assert jobs.bronze(spark, str(tmp_path)).count() == 1
+    assert {(r.value, r.origin) for r in jobs.quarantine(spark, str(tmp_path)).collect()} == {("oops", "t/0/2"), (None, "t/0/3")}
+    counters = spark.read.parquet(f"{tmp_path}/counters").first()
+    assert (counters.accepted, counters.unreadable, counters.files, counters.files_left) == (1, 2, None, None)
+
+
 def test_records_that_wait_in_kafka():
     source = {"endOffset": {"t": {"0": 5, "1": 7}}, "latestOffset": {"t": {"0": 9, "1": 7, "2": 3}}}
     assert jobs.records_left({"sources": [source, {k: __import__("json").dumps(v) for k, v in source.items()}]}) == 14
