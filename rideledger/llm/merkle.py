@@ -78,7 +78,8 @@ def levels(items: DataFrame, arity: int = ARITY) -> list[DataFrame]:
 def proofs(built: list[DataFrame], roots: DataFrame, arity: int = ARITY) -> DataFrame:
     """The items of levels() plus path: the siblings before and after at each level, from the item up, then the root's own.
 
-    roots: tree, path, ..., one row a tree, with the path that its root has above it; its other columns come along.
+    roots: tree, path, ..., one row a tree, with the path that its root has above it; its other columns come along. Each
+    level above the items is written, so no plan grows with the number of levels, and a lost executor costs one level.
     """
     more = [c for c in roots.columns if c != "tree"]
     found: DataFrame | None = None
@@ -90,7 +91,7 @@ def proofs(built: list[DataFrame], roots: DataFrame, arity: int = ARITY) -> Data
             inner = level.where("n > 1").withColumn("__up", F.floor(F.col("idx") / arity).cast("long")).join(parents, ["tree", "__up"])
             step = F.array(F.struct("left", "right"))
             at = at.unionByName(inner.select(*own, *[F.concat(step, "path").alias(c) if c == "path" else F.col(c) for c in more]))
-        found = at
+        found = at if level is built[0] else stored(at)
     return found
 
 
