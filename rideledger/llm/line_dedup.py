@@ -185,6 +185,18 @@ def _long_keys(line: Column, n: Column, b: Bounds) -> Column:
     return let(_edits(n, b), lambda bound: let(_segments(line), lambda segments: keys(segments, bound)))
 
 
+def _spans(keys: Column) -> Column:
+    """Of a line's keys in their order, (run, lo, hi) of each different one: where it comes first and last.
+
+    A line that repeats a few words hundreds of times has one span of them, so two such lines meet once and not at every
+    two places.
+    """
+    other = lambda x, i: F.coalesce(_key_of(F.get(keys, i)) != _key_of(x), F.lit(True))
+    low = F.filter(keys, lambda x, i: other(x, F.when(i > 0, i - 1)))
+    high = F.filter(keys, lambda x, i: other(x, i + 1))
+    return F.zip_with(low, high, lambda x, y: F.struct(_key_of(x).alias("run"), _place_of(x).alias("lo"), _place_of(y).alias("hi")))
+
+
 def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place", "line_no")
 
@@ -262,23 +274,24 @@ FEW_KEYS = 2
 def near_long_lines(suspects: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
     """h1, h2 of the lines of suspects (h1, h2, first: order, line: words with one space between, all _many) that are near an earlier one.
 
-    Lines meet by key; at keys of many lines, by length and place too. Each is compared with the earliest at its lowest
-    keys, and if it is near none of them, with all at all its keys. Only what length, place and bag of words allow is
+    Lines meet by key, once however often it repeats in them; at keys of many lines, by length and place too. Each is
+    compared with the earliest at its lowest keys, and if it is near none of them, with all at all its keys. Only what length, place and bag of words allow is
     compared word by word.
     """
     # By let, as what lambdas take from outside them is computed anew for each of their elements.
     facts = let(F.split("line", " "), lambda w: F.struct(F.size(w).alias("n"), _bag(w).alias("bag"), _long_keys(F.col("line"), F.size(w), b).alias("runs")))
-    lines = stored(suspects.select("h1", "h2", "first", facts.alias("x")).select("h1", "h2", "first", "x.n", "x.bag", "x.runs"))
+    spans = let(F.col("x.runs"), _spans)
+    lines = stored(suspects.select("h1", "h2", "first", facts.alias("x")).select("h1", "h2", "first", "x.n", "x.bag", spans.alias("spans")))
 
-    def keys(df: DataFrame, runs: Column) -> DataFrame:
-        df = df.select("h1", "h2", "first", "n", "bag", F.explode(runs).alias("x"))
-        return df.select(_key_of(F.col("x")).alias("run"), "first", "h1", "h2", "n", _place_of(F.col("x")).alias("p"), "bag")
+    def keys(df: DataFrame, spans: Column) -> DataFrame:
+        df = df.select("h1", "h2", "first", "n", "bag", F.explode(spans).alias("x"))
+        return df.select("x.run", "first", "h1", "h2", "n", "x.lo", "x.hi", "bag")
 
-    fields = ("first", "h1", "h2", "n", "p", "bag")
+    fields = ("first", "h1", "h2", "n", "lo", "hi", "bag")
     bound = F.floor(F.least("n", "r_n") / b.words_an_edit)
     # An edit adds or takes one word and one segment at most.
-    shift, more = F.col("p") - F.col("r_p"), F.col("n") - F.col("r_n")
-    fits = (F.col("r_first") < F.col("first")) & (F.abs(shift) <= bound) & (F.abs(more) <= bound)
+    reach = (F.col("lo") - F.col("r_hi") <= bound) & (F.col("r_lo") - F.col("hi") <= bound)
+    fits = (F.col("r_first") < F.col("first")) & reach & (F.abs(F.col("n") - F.col("r_n")) <= bound)
     alike = F.bit_count(F.col("bag").bitwiseXOR(F.col("r_bag"))) <= 2 * bound
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -288,24 +301,32 @@ def near_long_lines(suspects: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
         near = let(F.split("line", " "), lambda x: let(F.split("earlier", " "), lambda y: within_bound(x, y, b.words_an_edit)))
         return stored(both.filter(near).select("h1", "h2").distinct())
 
-    few = keys(lines, F.slice("runs", 1, FEW_KEYS))
+    few = keys(lines, F.slice("spans", 1, FEW_KEYS))
     best = few.groupBy("run").agg(F.count("*").alias("lines"), F.min(F.struct(*fields)).alias("best")).filter("lines > 1")
     star = checked(few.join(best.select("run", *[F.col(f"best.{c}").alias(f"r_{c}") for c in fields]), "run"))
-    todo = keys(lines.join(broadcast_checked(star, BROADCAST_LINES), ["h1", "h2"], "left_anti"), F.col("runs"))
-    every = keys(lines, F.col("runs"))
+    todo = keys(lines.join(broadcast_checked(star, BROADCAST_LINES), ["h1", "h2"], "left_anti"), F.col("spans"))
+    every = keys(lines, F.col("spans"))
     often = stored(every.groupBy("run").count().filter(F.col("count") > MANY_LINES).select("run", F.lit(True).alias("often")))
     # Levels are lengths that differ by the bound; places differ by it at most, so by one step of the level's bound.
     grow = math.log(1 + 1 / b.words_an_edit)
     level = F.floor(F.log(F.col("n").cast("double")) / grow).cast("int")
-    cell = lambda at: F.floor(F.col("p") / (F.ceil(F.exp((at + 1) * F.lit(grow)) / b.words_an_edit) + 1)).cast("int")
-    place = lambda d, e: F.struct((level + d).alias("level"), (cell(level + d) + e).alias("cell"))
-    nowhere = F.struct(F.lit(0).alias("level"), F.lit(0).alias("cell"))
+    cell = lambda at, p: F.floor(F.col(p) / (F.ceil(F.exp((at + 1) * F.lit(grow)) / b.words_an_edit) + 1)).cast("int")
+    at = lambda d, c, low: F.struct((level + d).alias("level"), c.alias("cell"), low.alias("low"))
+
+    def cells(d: int, e: int) -> Column:
+        """The cells of a span on a level, and e more on either side."""
+        low, high = cell(level + d, "lo") - e, cell(level + d, "hi") + e
+        return F.transform(F.sequence(low, high), lambda c: at(d, c, low))
+
+    nowhere = F.array(F.struct(F.lit(0).alias("level"), F.lit(0).alias("cell"), F.lit(0).alias("low")))
     marked = lambda df: df.join(broadcast_checked(often, BROADCAST_LINES), "run", "left")
-    asks = F.when(F.col("often"), F.array(*[place(d, e) for d in (-1, 0, 1) for e in (-1, 0, 1)])).otherwise(F.array(nowhere))
-    asked = marked(todo).withColumn("at", F.explode(asks)).drop("often")
-    there = marked(every).withColumn("at", F.when(F.col("often"), place(0, 0)).otherwise(nowhere)).drop("often")
-    there = there.select("run", "at", *[F.col(c).alias(f"r_{c}") for c in fields])
-    return star.unionByName(checked(asked.join(there, ["run", "at"])))
+    flat = lambda df, ats: marked(df).withColumn("at", F.explode(ats)).select("run", "at.level", "at.cell", "at.low", *fields)
+    asked = flat(todo, F.when(F.col("often"), F.concat(*[cells(d, 1) for d in (-1, 0, 1)])).otherwise(nowhere))
+    there = flat(every, F.when(F.col("often"), cells(0, 0)).otherwise(nowhere))
+    there = there.select("run", "level", "cell", *[F.col(c).alias(f"r_{c}") for c in ("low", *fields)])
+    # Two spans meet in the first cell that both have.
+    met = asked.join(there, ["run", "level", "cell"]).filter(F.col("cell") == F.greatest("low", "r_low"))
+    return star.unionByName(checked(met))
 
 
 def judged(docs: DataFrame, b: Bounds = BOUNDS) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from rideledger.llm import line_dedup as ld
 
@@ -142,3 +143,21 @@ def test_two_words_and_one_letter(spark):
     docs = [(1, " ".join(line)), (2, " ".join(twice)), (3, "All rights reserved"), (4, "All rigths reserved"), (5, "All right reserved")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id: r.n_near for r in ld.dedup(df).collect()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 1}
+
+
+def test_repeated_segments(spark):
+    """Lines that differ at their beginning and then repeat two words: each different segment is one key, whatever its places."""
+    bounds, rnd = ld.Bounds(words_an_edit=6), random.Random(9)
+    lines = []
+    for i in range(48):
+        base = [f"w{rnd.randrange(40)}{rnd.choice('dnsx')}" for _ in range(rnd.randrange(0, 26))] + ["is", "done."] * rnd.randrange(20, 34)
+        lines += [base, edited(rnd, base, rnd.randrange(1, 16), ["is", "done.", "other", "word"])]
+    rnd.shuffle(lines)
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.n_equal + r.n_near for r in ld.dedup(df, bounds).collect()}
+    want = {i: int(any(near_any(tuple(x), tuple(y), bounds) for y in lines[:i])) for i, x in enumerate(lines)}
+    assert got == want and 10 < sum(want.values()) < len(lines) - 10
+    keys = ld._long_keys(F.col("text"), F.size(F.split("text", " ")), bounds)
+    rows = df.select(F.size(keys).alias("places"), ld.let(keys, ld._spans).alias("spans")).collect()
+    assert all(len({s.run for s in r.spans}) == len(r.spans) for r in rows)
+    assert max(r.places for r in rows) > 15 and min(len(r.spans) for r in rows) < 4
