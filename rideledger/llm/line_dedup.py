@@ -267,6 +267,23 @@ def _bag(w: Column) -> Column:
     return F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(kind(x)))
 
 
+#: Longs of the finer bag that lines of WIDE_FROM edits and more have besides: 64 bits tell little of hundreds of words.
+WIDE, WIDE_FROM = 8, 10
+
+
+def _wide_bag(w: Column) -> Column:
+    """As _bag, for WIDE * 64 kinds of words, as WIDE longs."""
+    kinds = F.transform(w, lambda x: F.pmod(F.xxhash64(F.lit(5), x), F.lit(64 * WIDE)).cast("int"))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x % 64)
+    part = lambda all_kinds, q: F.aggregate(F.filter(all_kinds, lambda x: F.floor(x / 64) == q), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
+    return let(kinds, lambda all_kinds: F.array(*[part(all_kinds, q) for q in range(WIDE)]))
+
+
+def _odd(a: Column, b: Column) -> Column:
+    """In how many bits two wide bags differ; null where a line has none."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
 #: By how many of their lowest keys lines are first compared with the earliest one.
 FEW_KEYS = 2
 
@@ -279,20 +296,24 @@ def near_long_lines(suspects: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
     compared word by word.
     """
     # By let, as what lambdas take from outside them is computed anew for each of their elements.
-    facts = let(F.split("line", " "), lambda w: F.struct(F.size(w).alias("n"), _bag(w).alias("bag"), _long_keys(F.col("line"), F.size(w), b).alias("runs")))
+    wide = lambda w: F.when(F.size(w) >= WIDE_FROM * b.words_an_edit, _wide_bag(w)).alias("wide")
+    facts = let(F.split("line", " "), lambda w: F.struct(F.size(w).alias("n"), _bag(w).alias("bag"), wide(w), _long_keys(F.col("line"), F.size(w), b).alias("runs")))
     spans = let(F.col("x.runs"), _spans)
-    lines = stored(suspects.select("h1", "h2", "first", facts.alias("x")).select("h1", "h2", "first", "x.n", "x.bag", spans.alias("spans")))
+    lines = stored(suspects.select("h1", "h2", "first", facts.alias("x")).select("h1", "h2", "first", "x.n", "x.bag", "x.wide", spans.alias("spans")))
 
     def keys(df: DataFrame, spans: Column) -> DataFrame:
-        df = df.select("h1", "h2", "first", "n", "bag", F.explode(spans).alias("x"))
-        return df.select("x.run", "first", "h1", "h2", "n", "x.lo", "x.hi", "bag")
+        """A row for each span, with those before it."""
+        df = df.select("h1", "h2", "first", "n", "bag", "wide", "spans", F.posexplode(spans).alias("i", "x"))
+        return df.select("x.run", "first", "h1", "h2", "n", "x.lo", "x.hi", "bag", "wide", F.slice("spans", F.lit(1), F.col("i")).alias("lower"))
 
-    fields = ("first", "h1", "h2", "n", "lo", "hi", "bag")
+    fields = ("first", "h1", "h2", "n", "lo", "hi", "bag", "wide")
     bound = F.floor(F.least("n", "r_n") / b.words_an_edit)
     # An edit adds or takes one word and one segment at most.
-    reach = (F.col("lo") - F.col("r_hi") <= bound) & (F.col("r_lo") - F.col("hi") <= bound)
-    fits = (F.col("r_first") < F.col("first")) & reach & (F.abs(F.col("n") - F.col("r_n")) <= bound)
+    reach = lambda x, y: (x.lo - y.hi <= bound) & (y.lo - x.hi <= bound)
+    mine, theirs = F.struct("lo", "hi"), F.struct(F.col("r_lo").alias("lo"), F.col("r_hi").alias("hi"))
+    fits = (F.col("r_first") < F.col("first")) & reach(mine, theirs) & (F.abs(F.col("n") - F.col("r_n")) <= bound)
     alike = F.bit_count(F.col("bag").bitwiseXOR(F.col("r_bag"))) <= 2 * bound
+    alike &= F.coalesce(_odd(F.col("wide"), F.col("r_wide")) <= 2 * bound, F.lit(True))
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = pairs.filter(fits).filter(alike).select("h1", "h2", "r_h1", "r_h2").distinct()
@@ -320,13 +341,14 @@ def near_long_lines(suspects: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
 
     nowhere = F.array(F.struct(F.lit(0).alias("level"), F.lit(0).alias("cell"), F.lit(0).alias("low")))
     marked = lambda df: df.join(broadcast_checked(often, BROADCAST_LINES), "run", "left")
-    flat = lambda df, ats: marked(df).withColumn("at", F.explode(ats)).select("run", "at.level", "at.cell", "at.low", *fields)
+    flat = lambda df, ats: marked(df).withColumn("at", F.explode(ats)).select("run", "at.level", "at.cell", "at.low", "lower", *fields)
     asked = flat(todo, F.when(F.col("often"), F.concat(*[cells(d, 1) for d in (-1, 0, 1)])).otherwise(nowhere))
     there = flat(every, F.when(F.col("often"), cells(0, 0)).otherwise(nowhere))
-    there = there.select("run", "level", "cell", *[F.col(c).alias(f"r_{c}") for c in ("low", *fields)])
-    # Two spans meet in the first cell that both have.
+    there = there.select("run", "level", "cell", *[F.col(c).alias(f"r_{c}") for c in ("low", "lower", *fields)])
+    # Two lines meet at the first key that allows it, in the first cell that both spans have.
+    before = F.exists("lower", lambda x: F.exists("r_lower", lambda y: (x.run == y.run) & reach(x, y)))
     met = asked.join(there, ["run", "level", "cell"]).filter(F.col("cell") == F.greatest("low", "r_low"))
-    return star.unionByName(checked(met))
+    return star.unionByName(checked(met.filter(fits).filter(alike).filter(~before)))
 
 
 def judged(docs: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
