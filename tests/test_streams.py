@@ -154,3 +154,19 @@ def test_envelope_round_trip(spark, raw, tmp_path):
     assert spark.read.json(f"{tmp_path}/j").count() == 60
     assert files.envelopes(raw.limit(1)).first().value.startswith('{"resortID":"1","seasonID":"2025"')
     assert RESORT_DAY == ["resortID", "seasonID", "dayID"]
+
+
+def test_persons_of_a_day_share_state(spark, raw, source, tmp_path, monkeypatch):
+    """State is asked for by parts of a resort's day, not for each person; totals are the same with one part and with many."""
+    rows = []
+
+    def watched(*args):
+        progress = jobs.run(*args)
+        rows.append(progress[-1]["stateOperators"][0]["numRowsTotal"])
+        return progress
+
+    monkeypatch.setattr(running, "run", watched)
+    want = totals.day_vertical(rides.current(rides.valid(raw)))
+    assert same(running.day_vertical(spark, source, f"{tmp_path}/one", parts=1), want)
+    assert same(running.day_vertical(spark, source, f"{tmp_path}/many"), want)
+    assert rows[0] == 2 < want.count()  # two days of a resort
