@@ -138,12 +138,12 @@ def publish_kafka(stream: DataFrame, servers: str, topic: str, work: str):
     return keyed_envelopes(stream).writeStream.format("kafka").options(**options).trigger(availableNow=True).start()
 
 
-def unique_skiers(spark: SparkSession, source: str, work: str, bounds: Bounds = DEFAULT) -> DataFrame:
+def unique_skiers(spark: SparkSession, source: str, work: str, bounds: Bounds = DEFAULT, files_per_batch: int = 1) -> DataFrame:
     """Exact visitors by resort and day: distinct keys as state; each batch writes how many are new, and a read adds these up.
 
     State grows with the distinct keys, as rides for any day are taken at any time; unique_skiers_within() bounds it.
     """
-    keys = rides.valid(ride_stream(spark, source), bounds).dropDuplicates(SKIER_DAY)
+    keys = rides.valid(ride_stream(spark, source, files_per_batch), bounds).dropDuplicates(SKIER_DAY)
     with in_rocksdb(spark):
         run(keys, "append", work, lambda df, n: write_batch(_counted(df), f"{work}/counts", n))
     return _added(spark, work)
@@ -186,9 +186,9 @@ def unique_skiers_within(spark: SparkSession, source: str, work: str, delay: str
     return _added(spark, work)
 
 
-def rides_current(spark: SparkSession, source: str, work: str, bounds: Bounds = DEFAULT) -> DataFrame:
+def rides_current(spark: SparkSession, source: str, work: str, bounds: Bounds = DEFAULT, files_per_batch: int = 1) -> DataFrame:
     """The latest ride of each key: the maximum by ingest_seq as state, changed keys written by batch."""
-    latest = rides.valid(ride_stream(spark, source), bounds).groupBy(*RIDE_KEY)
+    latest = rides.valid(ride_stream(spark, source, files_per_batch), bounds).groupBy(*RIDE_KEY)
     latest = latest.agg(F.max_by("liftID", "ingest_seq").alias("liftID"), F.max("ingest_seq").alias("ingest_seq"))
     with in_rocksdb(spark):
         run(latest, "update", work, lambda df, n: write_batch(df, f"{work}/changes", n))
