@@ -85,6 +85,7 @@ class Encoder:
         self.run_chars, self.window = run_chars, max([window, *special])
         self.mark = self.library.token_to_id(_MARK)
         self.token = [(self.library.id_to_token(i) or "").encode() for i in range(self.library.get_vocab_size(with_added_tokens=True))]
+        self.tokens = pa.array(self.token, pa.binary())
         self.ids: dict[bytes, bytes] = {}
 
     def triples(self, text: str, at: int = 0) -> np.ndarray:
@@ -155,6 +156,12 @@ class Encoder:
         """What the library's decode gives: this vocabulary has no decoder, so its tokens with a space between."""
         return b" ".join([self.token[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
 
+    def decode_all(self, packed: list[bytes]) -> pa.Array:
+        """The same for many texts at once, by Arrow."""
+        ends = np.cumsum([0, *(len(ids) // 4 for ids in packed)])
+        tokens = self.tokens.take(pa.array(np.frombuffer(b"".join(packed), dtype="<u4")))
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), tokens), b" ").cast(pa.string())
+
 
 def _agreement(own: np.ndarray, window: np.ndarray) -> tuple[int, int] | None:
     """Where a piece's tokens, read towards the cut, meet the window's: how many of the piece's come first and how many
@@ -194,18 +201,12 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str
 
     def short_texts(batches):
         e = encoder(vocabulary_path(vocabulary))
-        decoded: dict[bytes, bytes] = {}
         for batch in batches:
             for at, some in row_slices(batch.column(len(keep))):
                 split, ids = e.words(some)
-                if len(decoded) > CACHE_WORDS:
-                    decoded = {}
-                for w in set(itertools.chain.from_iterable(split)).difference(decoded):
-                    decoded[w] = e.decode(ids[w])
                 packed = [b"".join(map(ids.__getitem__, ws)) for ws in split]
-                plain = [b" ".join(filter(None, map(decoded.__getitem__, ws))) for ws in split]
                 out = [batch.column(i).slice(at, len(some)) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(packed, pa.binary()), pa.array(plain, pa.binary()).cast(pa.string())], names=[*keep, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*out, pa.array(packed, pa.binary()), e.decode_all(packed)], names=[*keep, "ids", "decoded"])
 
     def pieces(batches):
         e = encoder(vocabulary_path(vocabulary))

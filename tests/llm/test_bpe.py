@@ -72,3 +72,13 @@ def test_kept_columns_may_have_any_names(spark):
     assert out.columns == [*names, "ids", "decoded"]
     assert [tuple(r[n] for n in names) for r in out.collect()] == [tuple(range(6))] * 2
     assert {len(r.ids) for r in out.collect()} == {0, 240}
+
+
+def test_many_texts_decode_at_once():
+    """As the library's decode, texts without ids included."""
+    e = _shared()
+    texts = ["the 23 élan!!", "", "a", "😀 <|endoftext|> it's", " \n"]
+    ids = [e.library.encode(t, add_special_tokens=False).ids for t in texts]
+    packed = [b"".join(i.to_bytes(4, "little") for i in x) for x in ids]
+    assert e.decode_all(packed).to_pylist() == [e.library.decode(x, skip_special_tokens=False) for x in ids]
+    assert e.decode_all([]).to_pylist() == [] and e.decode_all([b""]).to_pylist() == [""]
