@@ -85,6 +85,16 @@ def _ends(w: Column) -> Column:
     return F.array(*halves(n), *halves(n - 1))
 
 
+def _word_ends(line: Column, n: Column) -> Column:
+    """As _ends, of the n words of a line that is spaced: its text up to a blank and from a blank on, without a list of words."""
+    def halves(n: Column) -> list[Column]:
+        half = F.floor(n / 2).cast("int")
+        upto = lambda count: F.call_function("substring_index", line, F.lit(" "), count)
+        return [F.xxhash64(F.lit(0), n, upto(half)), F.xxhash64(F.lit(1), n, upto(-half))]
+
+    return F.array(*halves(n), *halves(n - 1))
+
+
 def _chars(line: Column) -> Column:
     """The characters of a line, each marked so that none equals a word."""
     return F.transform(F.split(line, ""), lambda x: F.concat(F.lit(" "), x))
@@ -162,6 +172,30 @@ def _apart(keys: Column, bound: Column, near, few: Column) -> Column:
     return let(F.transform(F.slice(keys, F.lit(1), few), _place_of), kept)
 
 
+#: Edits up to which 64 bits hold the places of a line's segments.
+_FEW_EDITS = 12
+
+
+def _apart_segments(keys: Column, bound: Column) -> Column:
+    """As _apart for segments, which must not be neighbours, with places as bits of a long.
+
+    Places that share a bit are taken for neighbours, which can only make more keys.
+    """
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p)
+    has = lambda seen, bits: seen.bitwiseAND(bits) != 0
+    around = lambda p: bit(p - 1).bitwiseOR(bit(p)).bitwiseOR(bit(p + 1))
+
+    def add(seen: Column, x: Column) -> Column:
+        p = _place_of(x)
+        return F.when((F.bit_count(seen) > bound) | has(seen, around(p)), seen).otherwise(seen.bitwiseOR(bit(p)))
+
+    def upto(seen: Column) -> Column:
+        last = F.array_max(F.filter(keys, lambda x: has(seen, bit(_place_of(x))))).bitwiseOR(F.lit(_PLACE))
+        return F.when(F.bit_count(seen) > bound, last).otherwise(F.lit(2**63 - 1))
+
+    return let(let(F.aggregate(keys, F.lit(0).cast("long"), add), upto), lambda last: F.filter(keys, lambda x: x <= last))
+
+
 def _runs(line: Column, bound: Column, b: Bounds) -> Column:
     """Of a line's runs of words, as longs in their order, those that its edits can't all touch. Their rank is below that of segments."""
     last_rank = (1 << LENGTH_BITS) - 1
@@ -179,7 +213,8 @@ def _long_keys(line: Column, n: Column, b: Bounds) -> Column:
     near = lambda seen, p: F.array_contains(seen, p) | F.array_contains(seen, p - 1) | F.array_contains(seen, p + 1)
 
     def keys(segments: Column, bound: Column) -> Column:
-        first = let(F.slice(segments, F.lit(1), 2 * bound + 1), lambda x: _apart(x, bound, near, F.size(x)))
+        apart = lambda x: F.when(bound <= _FEW_EDITS, _apart_segments(x, bound)).otherwise(_apart(x, bound, near, F.size(x)))
+        first = let(F.slice(segments, F.lit(1), 2 * bound + 1), apart)
         return F.when(F.size(segments) <= 3 * bound, F.concat(first, _runs(line, bound, b))).otherwise(first)
 
     return let(_edits(n, b), lambda bound: let(_segments(line), lambda segments: keys(segments, bound)))
@@ -316,9 +351,12 @@ def near_long_lines(suspects: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
     alike &= F.coalesce(_odd(F.col("wide"), F.col("r_wide")) <= 2 * bound, F.lit(True))
 
     def checked(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.filter(fits).filter(alike).select("h1", "h2", "r_h1", "r_h2").distinct()
-        earlier = suspects.select(F.col("h1").alias("r_h1"), F.col("h2").alias("r_h2"), F.col("line").alias("earlier"))
-        both = pairs.join(suspects.select("h1", "h2", "line"), ["h1", "h2"]).join(earlier, ["r_h1", "r_h2"])
+        pairs = stored(pairs.filter(fits).filter(alike).select("h1", "h2", "r_h1", "r_h2").distinct())
+        # Few lines are in a pair; only their texts are moved.
+        met = stored(pairs.select("h1", "h2").union(pairs.select("r_h1", "r_h2")).distinct())
+        texts = stored(suspects.select("h1", "h2", "line").join(broadcast_checked(met, BROADCAST_LINES), ["h1", "h2"], "left_semi"))
+        earlier = texts.select(F.col("h1").alias("r_h1"), F.col("h2").alias("r_h2"), F.col("line").alias("earlier"))
+        both = pairs.join(texts, ["h1", "h2"]).join(earlier, ["r_h1", "r_h2"])
         near = let(F.split("line", " "), lambda x: let(F.split("earlier", " "), lambda y: within_bound(x, y, b.words_an_edit)))
         return stored(both.filter(near).select("h1", "h2").distinct())
 
@@ -327,7 +365,9 @@ def near_long_lines(suspects: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
     star = checked(few.join(best.select("run", *[F.col(f"best.{c}").alias(f"r_{c}") for c in fields]), "run"))
     todo = keys(lines.join(broadcast_checked(star, BROADCAST_LINES), ["h1", "h2"], "left_anti"), F.col("spans"))
     every = keys(lines, F.col("spans"))
-    often = stored(every.groupBy("run").count().filter(F.col("count") > MANY_LINES).select("run", F.lit(True).alias("often")))
+    # Keys of one line alone meet nothing. Where too many are shared to be sent to all, only the frequent ones are told apart.
+    shared = stored(every.groupBy("run").count().filter("count > 1").select("run", (F.col("count") > MANY_LINES).alias("often")))
+    some = shared.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
     # Levels are lengths that differ by the bound; places differ by it at most, so by one step of the level's bound.
     grow = math.log(1 + 1 / b.words_an_edit)
     level = F.floor(F.log(F.col("n").cast("double")) / grow).cast("int")
@@ -340,7 +380,8 @@ def near_long_lines(suspects: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
         return F.transform(F.sequence(low, high), lambda c: at(d, c, low))
 
     nowhere = F.array(F.struct(F.lit(0).alias("level"), F.lit(0).alias("cell"), F.lit(0).alias("low")))
-    marked = lambda df: df.join(broadcast_checked(often, BROADCAST_LINES), "run", "left")
+    often = F.broadcast(shared) if some else broadcast_checked(shared.filter("often"), BROADCAST_LINES)
+    marked = lambda df: df.join(often, "run", "inner" if some else "left")
     flat = lambda df, ats: marked(df).withColumn("at", F.explode(ats)).select("run", "at.level", "at.cell", "at.low", "lower", *fields)
     asked = flat(todo, F.when(F.col("often"), F.concat(*[cells(d, 1) for d in (-1, 0, 1)])).otherwise(nowhere))
     there = flat(every, F.when(F.col("often"), cells(0, 0)).otherwise(nowhere))
@@ -352,58 +393,67 @@ def near_long_lines(suspects: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
 
 
 def judged(docs: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
-    """doc_id, place, flags of each distinct (doc_id, text): for every line in order "" (stays), "equal" or "near".
+    """doc_id, place, dropped of each distinct (doc_id, text) that loses a line: (line_no, state) of the lines that go, in
+    order; state is "equal" or "near".
 
     Lines without words always stay. Rows with the same doc_id and text are one document, however often they repeat.
     """
     rows = split_lines(docs).withColumn("line", spaced(F.col("line"))).withColumn("n", _size(F.col("line")))
     line, n, none = F.col("line"), F.col("n"), F.array().cast("array<bigint>")
-    by_words, by_chars = let(F.split(line, " "), _ends), let(_chars(line), _ends)
+    by_words, by_chars = _word_ends(line, n), let(_chars(line), _ends)
     keys = [F.when(_by_words(n, b), by_words).otherwise(none), F.when(_by_chars(n, line, b), by_chars).otherwise(none)]
     keys.append(F.when(_many(n, b), F.transform(_long_keys(line, n, b), lambda x: F.xxhash64(F.lit(2), _key_of(x)))).otherwise(none))
     lines = stored(rows.select("doc_id", "place", "line_no", "n", *_ids(line), F.concat(*keys).alias("keys")))
     full = lines.filter("n > 0")
-    firsts = stored(full.groupBy("h1", "h2").agg(F.min(_order()).alias("first")))
+    firsts = stored(full.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.count("*").alias("lines")))
     keys = lines.select("h1", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("key")
     suspects = keys.join(broadcast_checked(stored(shared), BROADCAST_LINES), "key").select("h1").distinct()
     wanted = stored(firsts.join(suspects, "h1").select("h1", "h2", "first"))
-    where = wanted.select("h1", "h2", "first", F.col("first.place").alias("w_place"), F.col("first.line_no").alias("w_line"))
-    found = split_lines(docs).withColumn("order", _order())
-    texts = found.join(
-        broadcast_checked(where, BROADCAST_LINES), (F.col("place") == F.col("w_place")) & (F.col("line_no") == F.col("w_line")) & F.col("order").eqNullSafe(F.col("first"))
-    )
+    where = wanted.groupBy(F.col("first.doc_id").alias("w_id"), F.col("first.place").alias("w_place")).agg(F.collect_list(F.struct("h1", "h2", "first")).alias("wanted"))
+    where = F.broadcast(where) if wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else where
+    # Only documents that hold a wanted line are split again, once each.
+    found = docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("place"))
+    found = found.join(where, (F.col("place") == F.col("w_place")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
+    taken = lambda lines: F.transform("wanted", lambda x: F.struct(x.h1.alias("h1"), x.h2.alias("h2"), x.first.alias("first"), F.get(lines, x.first.line_no).alias("line")))
+    texts = found.select(F.explode(let(F.split("text", "\n"), taken)).alias("x")).select("x.h1", "x.h2", "x.first", spaced(F.col("x.line")).alias("line"))
     # As text with one space between words, which is a third of what a list of words takes when it is shuffled.
-    texts = stored(texts.select("h1", "h2", "first", spaced(F.col("line")).alias("line")).dropDuplicates(["h1", "h2"]))
+    texts = stored(texts.dropDuplicates(["h1", "h2"]))
     texts = texts.withColumn("w", F.split("line", " ")).withColumn("n", F.size("w"))
     # A line of min_words words is compared both ways, as two lines; the second has another h2.
     by_chars = texts.filter(_by_chars(n, line, b)).select("h1", F.bitwise_not("h2").alias("h2"), "first", _chars(line).alias("w"))
     near = stored(near_lines(stored(texts.filter(_by_words(n, b)).select("h1", "h2", "first", "w").unionByName(by_chars))))
     near = near.unionByName(near.select("h1", F.bitwise_not("h2").alias("h2")))
     near = near.unionByName(near_long_lines(texts.filter(_many(n, b)).drop("w", "n"), b)).distinct()
-    classes = firsts.select("h1", "h2", "first").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
-    state = F.when(~_order().eqNullSafe(F.col("first")), F.lit("equal")).when(F.col("near"), F.lit("near")).otherwise(F.lit(""))
-    states = full.join(classes, ["h1", "h2"]).select("doc_id", "place", "line_no", state.alias("state"))
-    blank = lines.filter("n = 0").select("doc_id", "place", "line_no", F.lit("").alias("state"))
-    listed = F.sort_array(F.collect_set(F.struct("line_no", "state")))
-    return states.unionByName(blank).groupBy("doc_id", "place").agg(listed.alias("s")).select("doc_id", "place", F.col("s.state").alias("flags"))
+    # Most lines are the only ones of their kind and near none; the rest of the work is for the others.
+    classes = firsts.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").filter("near or lines > 1")
+    classes = broadcast_checked(stored(classes.select("h1", "h2", "first", "near")), BROADCAST_LINES)
+    state = F.when(~_order().eqNullSafe(F.col("first")), F.lit("equal")).when(F.col("near"), F.lit("near"))
+    states = full.join(classes, ["h1", "h2"]).select("doc_id", "place", "line_no", state.alias("state")).filter("state is not null")
+    return states.groupBy("doc_id", "place").agg(F.sort_array(F.collect_set(F.struct("line_no", "state"))).alias("dropped"))
 
 
 def _judged_rows(docs: DataFrame, b: Bounds) -> DataFrame:
     """doc_id, text (less its dropped lines), the packed other columns, and n_lines, n_equal, n_near of every row of docs."""
     rows = packed(docs, "doc_id", "text")
-    flags = judged(rows.select("doc_id", "text"), b).select(F.col("doc_id").alias("f_id"), F.col("place").alias("f_place"), "flags")
+    gone = judged(rows.select("doc_id", "text"), b).select(F.col("doc_id").alias("f_id"), F.col("place").alias("f_place"), "dropped")
     here = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    # Hashing the short flags spares a sort of the texts.
-    joined = rows.join(flags.hint("shuffle_hash"), (here == F.col("f_place")) & F.col("doc_id").eqNullSafe(F.col("f_id")))
-    count = lambda kind: F.size(F.filter("flags", lambda f: f == kind)).cast("long")
-    joined = joined.withColumn("lines", F.split("text", "\n"))
-    kept = F.filter("lines", lambda _, i: F.get(F.col("flags"), i) == "")
+    # Hashing the short lists of dropped lines spares a sort of the texts.
+    joined = rows.join(gone.hint("shuffle_hash"), (here == F.col("f_place")) & F.col("doc_id").eqNullSafe(F.col("f_id")), "left")
+    none = F.array().cast("array<struct<line_no:int,state:string>>")
+    joined = joined.withColumn("dropped", F.coalesce("dropped", none)).withColumn("lines", F.split("text", "\n"))
+    count = lambda kind: F.size(F.filter("dropped", lambda x: x.state == kind)).cast("long")
+    # What stays lies between dropped lines: from after one, or the beginning, up to the next, or the end.
+    at = F.col("dropped.line_no")
+    between = F.zip_with(
+        F.concat(F.array(F.lit(0)), F.transform(at, lambda i: i + 1)), F.concat(at, F.array(F.size("lines"))), lambda low, high: F.slice("lines", low + 1, high - low)
+    )
+    kept = F.when(F.size("dropped") > 0, F.array_join(F.flatten(between), "\n")).otherwise(F.col("text"))
     full = F.size(F.filter("lines", lambda x: F.ltrim(x, F.lit(SPACE_BYTES.decode())) != "")).cast("long")
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(full).cast("long")
     return joined.select(
         *[F.col(c) for c in rows.columns if c != "text"],
-        F.array_join(kept, "\n").alias("text"),
+        kept.alias("text"),
         n_lines.alias("n_lines"),
         count("equal").alias("n_equal"),
         count("near").alias("n_near"),

@@ -161,3 +161,56 @@ def test_repeated_segments(spark):
     rows = df.select(F.size(keys).alias("places"), ld.let(keys, ld._spans).alias("spans")).collect()
     assert all(len({s.run for s in r.spans}) == len(r.spans) for r in rows)
     assert max(r.places for r in rows) > 15 and min(len(r.spans) for r in rows) < 4
+
+
+def test_only_documents_that_lose_lines(spark):
+    """Lines that stay make no rows, and what is left of a text is the same wherever its dropped lines stand."""
+    again, near_again = "this line comes more than once", "this line comes more than twice"
+    docs = [(1, f"{again}\n\none of its own"), (2, f"{again}\nsecond\n\n{again}"), (3, f"\n{near_again}\n\n {again}\nthird\n"), (4, f"{again}\n{again}"), (5, None), (6, ""), (7, "\n"), (None, "x\n" * 2000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.dropped] for r in ld.judged(df).collect()}
+    assert got == {
+        2: [(0, "equal"), (3, "equal")], 3: [(1, "near"), (3, "equal")], 4: [(0, "equal"), (1, "equal")], None: [(i, "equal") for i in range(1, 2000)]
+    }
+    rows = {r.doc_id: (r.text, r.n_lines, r.n_equal, r.n_near) for r in ld.dedup(df).collect()}
+    assert rows == {
+        1: (docs[0][1], 2, 0, 0), 2: ("second\n", 3, 2, 0), 3: ("\n\nthird\n", 3, 1, 1), 4: ("", 2, 2, 0),
+        5: (None, 0, 0, 0), 6: ("", 0, 0, 0), 7: ("\n", 0, 0, 0), None: ("x\n", 2000, 1999, 0),
+    }
+
+
+def test_equal_without_broadcasts(spark, monkeypatch):
+    """Where too many lines or keys are shared to be sent to all tasks, shuffled joins give the same."""
+    rnd = random.Random(11)
+    passage = [f"p{i}{'nx'[i % 2]}" for i in range(30)]
+    lines = [passage + [rnd.choice("abcdn") + str(i % 7) for _ in range(25)] for i in range(30)]
+    lines += [edited(rnd, x, 2, "abcd") for x in lines[:20]]
+    df = spark.createDataFrame([*corpus(4), *[(100 + i, " ".join(x)) for i, x in enumerate(lines)]], "doc_id long, text string")
+    rows = lambda: sorted(tuple(r) for r in ld.dedup(df).collect())
+    sent = rows()
+    monkeypatch.setattr(ld, "BROADCAST_LINES", 0)
+    assert rows() == sent and sum(r[-1] for r in sent) > 20
+
+
+def test_places_as_bits(spark):
+    """The keys of a line are those that the greedy choice by places takes, or more where places share a bit."""
+    rnd = random.Random(2)
+    rows = []
+    for i in range(200):
+        places = rnd.sample(range(rnd.choice([12, 64, 140])), 11)
+        rows.append((i, 5, [j << ld.PLACE_BITS | p for j, p in enumerate(places)]))
+    rows += [(200, 1, [0, 1 << ld.PLACE_BITS | 1, 2 << ld.PLACE_BITS | 2]), (201, 1, [64, 1 << ld.PLACE_BITS | 63, 2 << ld.PLACE_BITS | 65, 3 << ld.PLACE_BITS | 70])]
+    df = spark.createDataFrame(rows, "i int, bound int, x array<bigint>")
+    got = {r.i: list(r.y) for r in df.select("i", ld.let(F.col("x"), lambda x: ld._apart_segments(x, F.col("bound"))).alias("y")).collect()}
+    for i, bound, keys in rows:
+        seen, most = [], len(keys)
+        for j, x in enumerate(keys):
+            p = x & ld._PLACE
+            if all(abs(p - q) > 1 for q in seen):
+                seen.append(p)
+            if len(seen) > bound:
+                most = j + 1
+                break
+        assert got[i] == keys[: len(got[i])] and len(got[i]) >= most
+        assert max(x & ld._PLACE for x in keys) > 62 or len(got[i]) == most
+    assert len(got[201]) == 4
