@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,9 +66,11 @@ BROADCAST_LINES = 1_000_000
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, place (hash of the text), line_no, line of every line of every row."""
+    """doc_id, place (hash of the text), blanks (whether the text has any that spaced() looks for), line_no, line of every line of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("place"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    # In a step of its own, as what stands beside posexplode is computed anew for each line.
+    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("place"), _blanks(text).alias("blanks"))
+    return texts.select("doc_id", "place", "blanks", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def _ids(line: Column) -> tuple[Column, Column]:
@@ -100,12 +103,17 @@ def _chars(line: Column) -> Column:
     return F.transform(F.split(line, ""), lambda x: F.concat(F.lit(" "), x))
 
 
-def spaced(line: Column) -> Column:
-    """The words of a line with one space between. Most lines are that already, which a look for bytes tells."""
+def _blanks(text: Column) -> Column:
+    """Whether there are other blanks within lines than single spaces."""
+    return reduce(Column.__or__, [F.contains(text, F.lit(blank)) for blank in ("  ", "\t", "\x0b", "\x0c", "\r")])
+
+
+def spaced(line: Column, blanks: Column | None = None) -> Column:
+    """The words of a line with one space between. Most lines are that already, which a look for bytes tells; none is
+    needed where blanks, _blanks() of the whole text, is false."""
     line = F.coalesce(line, F.lit(""))
-    other = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
-    for blank in ("  ", "\t", "\n", "\x0b", "\x0c", "\r"):
-        other = other | F.contains(line, F.lit(blank))
+    within = _blanks(line) if blanks is None else blanks & _blanks(line)
+    other = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | within
     return F.when(other, F.array_join(words(line), " ")).otherwise(line)
 
 
@@ -138,9 +146,9 @@ def _edits(n: Column, b: Bounds) -> Column:
 
 
 def _placed(rank: Column, hash_: Column, i: Column) -> Column:
-    """Rank (the lower the earlier), some bits of a hash, and a place (those beyond the bits' range at its end) as one long."""
-    high = F.shiftleft(rank.cast("long"), 63 - LENGTH_BITS).bitwiseOR(F.shiftleft(hash_.bitwiseAND(F.lit(_HASH)), PLACE_BITS))
-    return high.bitwiseOR(F.least(i, F.lit(_PLACE)).cast("long"))
+    """Rank (the lower the earlier), some bits of a hash, and a place (within its bits' range) as one long."""
+    high = F.shiftleft(rank.cast("long"), 63 - LENGTH_BITS).bitwiseOR(hash_.bitwiseAND(F.lit(_HASH << PLACE_BITS)))
+    return high.bitwiseOR(i.cast("long"))
 
 
 def _key_of(x: Column) -> Column:
@@ -152,10 +160,16 @@ def _place_of(x: Column) -> Column:
 
 
 def _segments(line: Column) -> Column:
-    """A line's segments in their order, each as one long."""
-    longest = (1 << LENGTH_BITS) - 2
-    one = lambda x, i: _placed(F.greatest(F.lit(longest) - F.length(x), F.lit(0)), F.xxhash64(x), i)
-    return F.sort_array(F.transform(F.split(line, _CUT), one))
+    """A line's segments in their order, each as one long; longest first, but those of 256 bytes and more as their length's
+    last bits say. Runs have a rank of their own."""
+    # The complement of a length has the sign bit set, and is the lower the longer the segment is.
+    one = lambda x, i: _placed(F.bitwise_not(F.octet_length(x)), F.xxhash64(x), i)
+
+    def all_segments(parts: Column) -> Column:
+        placed = F.when(F.size(parts) <= _PLACE, F.transform(parts, one))
+        return F.sort_array(placed.otherwise(F.transform(parts, lambda x, i: one(x, F.least(i, F.lit(_PLACE))))))
+
+    return let(F.split(line, _CUT), all_segments)
 
 
 def _apart(keys: Column, bound: Column, near, few: Column) -> Column:
@@ -181,16 +195,16 @@ def _apart_segments(keys: Column, bound: Column) -> Column:
 
     Places that share a bit are taken for neighbours, which can only make more keys.
     """
-    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p)
-    has = lambda seen, bits: seen.bitwiseAND(bits) != 0
-    around = lambda p: bit(p - 1).bitwiseOR(bit(p)).bitwiseOR(bit(p + 1))
+    # A place p has bit p + 1, so that it and its neighbours are three bits from p on; a place without a bit lies apart from none.
+    bits = lambda few, x: F.call_function("shiftleft", F.lit(few).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    has = lambda seen, some: seen.bitwiseAND(some) != 0
+    own = lambda x: bits(2, x)
 
     def add(seen: Column, x: Column) -> Column:
-        p = _place_of(x)
-        return F.when((F.bit_count(seen) > bound) | has(seen, around(p)), seen).otherwise(seen.bitwiseOR(bit(p)))
+        return F.when((F.bit_count(seen) > bound) | has(seen, bits(7, x)), seen).otherwise(seen.bitwiseOR(own(x)))
 
     def upto(seen: Column) -> Column:
-        last = F.array_max(F.filter(keys, lambda x: has(seen, bit(_place_of(x))))).bitwiseOR(F.lit(_PLACE))
+        last = F.array_max(F.filter(keys, lambda x: has(seen, own(x)))).bitwiseOR(F.lit(_PLACE))
         return F.when(F.bit_count(seen) > bound, last).otherwise(F.lit(2**63 - 1))
 
     return let(let(F.aggregate(keys, F.lit(0).cast("long"), add), upto), lambda last: F.filter(keys, lambda x: x <= last))
@@ -199,8 +213,9 @@ def _apart_segments(keys: Column, bound: Column) -> Column:
 def _runs(line: Column, bound: Column, b: Bounds) -> Column:
     """Of a line's runs of words, as longs in their order, those that its edits can't all touch. Their rank is below that of segments."""
     last_rank = (1 << LENGTH_BITS) - 1
-    gram = lambda h, i: _placed(F.lit(last_rank), F.xxhash64(F.slice(h, i, b.run)), i)
-    all_runs = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (b.run - 1)), lambda i: gram(h, i))
+    # The words of a run are looked up one by one, as a slice for each is a list of its own.
+    gram = lambda h, x, i: _placed(F.lit(last_rank), F.xxhash64(x, *[F.get(h, i + j) for j in range(1, b.run)]), F.least(i, F.lit(_PLACE)))
+    all_runs = lambda h: F.transform(F.slice(h, F.lit(1), F.size(h) - (b.run - 1)), lambda x, i: gram(h, x, i))
     near = lambda seen, p: F.exists(seen, lambda y: F.abs(p - y) < b.run)
     hashed = F.transform(F.split(line, " "), lambda x: F.xxhash64(x))
     # Where the few first runs don't hold enough that lie apart, all runs are keys.
@@ -298,7 +313,7 @@ def within_bound(a: Column, b: Column, words_an_edit: int) -> Column:
 
 def _bag(w: Column) -> Column:
     """For each of 64 kinds of words, by their hashes, whether their number is odd. An edit changes two of these bits at most."""
-    kind = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.lit(3), x), F.lit(64)).cast("int"))
+    kind = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(F.lit(3), x).bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(kind(x)))
 
 
@@ -309,8 +324,8 @@ WIDE, WIDE_FROM = 8, 10
 def _wide_bag(w: Column) -> Column:
     """As _bag, for WIDE * 64 kinds of words, as WIDE longs."""
     kinds = F.transform(w, lambda x: F.pmod(F.xxhash64(F.lit(5), x), F.lit(64 * WIDE)).cast("int"))
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x % 64)
-    part = lambda all_kinds, q: F.aggregate(F.filter(all_kinds, lambda x: F.floor(x / 64) == q), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x)  # noqa: E731  (by x's last six bits)
+    part = lambda all_kinds, q: F.aggregate(F.filter(all_kinds, lambda x: F.shiftright(x, 6) == q), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
     return let(kinds, lambda all_kinds: F.array(*[part(all_kinds, q) for q in range(WIDE)]))
 
 
@@ -323,18 +338,20 @@ def _odd(a: Column, b: Column) -> Column:
 FEW_KEYS = 2
 
 
-def near_long_lines(suspects: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
+def near_long_lines(suspects: DataFrame, runs: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
     """h1, h2 of the lines of suspects (h1, h2, first: order, line: words with one space between, all _many) that are near an earlier one.
 
+    runs has h1, h2 and runs (_long_keys) of each.
+
     Lines meet by key, once however often it repeats in them; at keys of many lines, by length and place too. Each is
     compared with the earliest at its lowest keys, and if it is near none of them, with all at all its keys. Only what length, place and bag of words allow is
     compared word by word.
     """
     # By let, as what lambdas take from outside them is computed anew for each of their elements.
     wide = lambda w: F.when(F.size(w) >= WIDE_FROM * b.words_an_edit, _wide_bag(w)).alias("wide")
-    facts = let(F.split("line", " "), lambda w: F.struct(F.size(w).alias("n"), _bag(w).alias("bag"), wide(w), _long_keys(F.col("line"), F.size(w), b).alias("runs")))
-    spans = let(F.col("x.runs"), _spans)
-    lines = stored(suspects.select("h1", "h2", "first", facts.alias("x")).select("h1", "h2", "first", "x.n", "x.bag", "x.wide", spans.alias("spans")))
+    facts = let(F.split("line", " "), lambda w: F.struct(F.size(w).alias("n"), _bag(w).alias("bag"), wide(w)))
+    spans = let(F.col("runs"), _spans)
+    lines = stored(suspects.select("h1", "h2", "first", facts.alias("x")).join(runs, ["h1", "h2"]).select("h1", "h2", "first", "x.n", "x.bag", "x.wide", spans.alias("spans")))
 
     def keys(df: DataFrame, spans: Column) -> DataFrame:
         """A row for each span, with those before it."""
@@ -398,15 +415,16 @@ def judged(docs: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
 
     Lines without words always stay. Rows with the same doc_id and text are one document, however often they repeat.
     """
-    rows = split_lines(docs).withColumn("line", spaced(F.col("line"))).withColumn("n", _size(F.col("line")))
+    rows = split_lines(docs).withColumn("line", spaced(F.col("line"), F.col("blanks"))).withColumn("n", _size(F.col("line")))
     line, n, none = F.col("line"), F.col("n"), F.array().cast("array<bigint>")
     by_words, by_chars = _word_ends(line, n), let(_chars(line), _ends)
     keys = [F.when(_by_words(n, b), by_words).otherwise(none), F.when(_by_chars(n, line, b), by_chars).otherwise(none)]
-    keys.append(F.when(_many(n, b), F.transform(_long_keys(line, n, b), lambda x: F.xxhash64(F.lit(2), _key_of(x)))).otherwise(none))
-    lines = stored(rows.select("doc_id", "place", "line_no", "n", *_ids(line), F.concat(*keys).alias("keys")))
+    runs = F.when(_many(n, b), _long_keys(line, n, b)).otherwise(none)
+    lines = stored(rows.select("doc_id", "place", "line_no", "n", *_ids(line), F.concat(*keys).alias("keys"), runs.alias("runs")))
     full = lines.filter("n > 0")
     firsts = stored(full.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.count("*").alias("lines")))
     keys = lines.select("h1", F.explode("keys").alias("key"))
+    keys = keys.union(lines.select("h1", F.explode("runs").alias("run")).select("h1", F.xxhash64(F.lit(2), _key_of(F.col("run")))))
     shared = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("key")
     suspects = keys.join(broadcast_checked(stored(shared), BROADCAST_LINES), "key").select("h1").distinct()
     wanted = stored(firsts.join(suspects, "h1").select("h1", "h2", "first"))
@@ -424,7 +442,10 @@ def judged(docs: DataFrame, b: Bounds = BOUNDS) -> DataFrame:
     by_chars = texts.filter(_by_chars(n, line, b)).select("h1", F.bitwise_not("h2").alias("h2"), "first", _chars(line).alias("w"))
     near = stored(near_lines(stored(texts.filter(_by_words(n, b)).select("h1", "h2", "first", "w").unionByName(by_chars))))
     near = near.unionByName(near.select("h1", F.bitwise_not("h2").alias("h2")))
-    near = near.unionByName(near_long_lines(texts.filter(_many(n, b)).drop("w", "n"), b)).distinct()
+    # The keys of long lines are made once, with those of all lines.
+    own = lines.filter(_many(n, b)).join(broadcast_checked(wanted, BROADCAST_LINES), ["h1", "h2"]).filter(_order().eqNullSafe(F.col("first")))
+    own = own.select("h1", "h2", "runs").dropDuplicates(["h1", "h2"])
+    near = near.unionByName(near_long_lines(texts.filter(_many(n, b)).drop("w", "n"), own, b)).distinct()
     # Most lines are the only ones of their kind and near none; the rest of the work is for the others.
     classes = firsts.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").filter("near or lines > 1")
     classes = broadcast_checked(stored(classes.select("h1", "h2", "first", "near")), BROADCAST_LINES)

@@ -214,3 +214,15 @@ def test_places_as_bits(spark):
         assert got[i] == keys[: len(got[i])] and len(got[i]) >= most
         assert max(x & ld._PLACE for x in keys) > 62 or len(got[i]) == most
     assert len(got[201]) == 4
+
+
+def test_long_keys_are_made_once(spark, monkeypatch):
+    """Also for lines with other blanks than single spaces, and for documents that come twice."""
+    made, keys = [], ld._long_keys
+    monkeypatch.setattr(ld, "_long_keys", lambda *args: made.append(1) or keys(*args))
+    line = [f"word{i}{'nx'[i % 2]}" for i in range(60)]
+    near_ = [*line[:20], "other", *line[21:40], "another", *line[41:]]
+    docs = [(1, " ".join(line) + "\nof few words"), (2, "\t ".join(near_) + "\nof its own"), (2, "\t ".join(near_) + "\nof its own"), (3, "  " + "\x0b".join(line) + " \r")]
+    got = sorted((r.doc_id, r.n_lines, r.n_equal, r.n_near) for r in ld.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == [(1, 2, 0, 0), (2, 2, 0, 1), (2, 2, 0, 1), (3, 1, 1, 0)]
+    assert len(made) == 1
